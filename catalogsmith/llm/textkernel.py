@@ -82,11 +82,13 @@ def lowered(codes: np.ndarray) -> np.ndarray:
 class Slab:
     """Texts end to end: codes (uint32) and bounds (where each text begins, and the end)."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], apart: bool = False):
+        """apart: a line feed follows each text (and belongs to it)."""
         self.texts = texts
-        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        whole = "\n".join([*texts, ""]) if apart else "".join(texts)
+        self.codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.bounds = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=self.bounds[1:])
+        np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + apart, out=self.bounds[1:])
         self._prefix: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
@@ -94,8 +96,11 @@ class Slab:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and text numbers of maximal runs free of white space, in order."""
-        codes, n = self.codes, len(self.codes)
-        solid = ~((codes == SPACE) | ((codes - np.uint32(9)) < 5))
+        return self.runs(~((self.codes == SPACE) | ((self.codes - np.uint32(9)) < 5)))
+
+    def runs(self, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and text numbers of maximal runs of solid code points within a text."""
+        n = len(solid)
         if not n:
             none = np.zeros(0, np.int64)
             return none, none, none
@@ -129,18 +134,18 @@ class Slab:
         return mix64(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
-def slabs(texts: list[str | None], limit: int = 1_500_000) -> Iterator[tuple[int, Slab]]:
+def slabs(texts: list[str | None], limit: int = 1_500_000, apart: bool = False) -> Iterator[tuple[int, Slab]]:
     """Runs of texts (null: empty) of about limit code points, with the number of the first; a longer text stands alone."""
     begin, size, part = 0, 0, []
     for i, text in enumerate(texts):
         text = text or ""
         if part and size + len(text) > limit:
-            yield begin, Slab(part)
+            yield begin, Slab(part, apart)
             begin, size, part = i, 0, []
         part.append(text)
         size += len(text)
     if part:
-        yield begin, Slab(part)
+        yield begin, Slab(part, apart)
 
 
 def windows(word_hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
