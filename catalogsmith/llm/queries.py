@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, language_id, pii, quality_classifier, toxicity
 from .byte_bpe import Tokenizer
 from .packing import Packer
 from .quality_rules import judge
@@ -26,9 +28,41 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(spark, f"{TOKENIZERS}/word_bpe_49k.json").pack(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tokenizer(spark, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN).digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op6_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, model).select("doc_id", "p_doc", "p_site", "quality_score", "quality_kept")
+
+
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), allowed=_remainder(3) != 1)
+    return toxicity.score(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(_remainder(4) != 2))
+    return language_id.identify(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "n_switches")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_windows(chat.with_planted(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op4_pii, op6_byte_bpe, op7_quality_classifier, op8_toxicity, op9_language_id, op10_chat)
+}
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}

@@ -26,9 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .byte_bpe import _ragged
+from .sampling import labelled_texts
 from .sparkio import keyed, mapped
 from .textkernel import Slab, slabs
 
@@ -277,18 +277,8 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: Sample = Sample(), allowed: Column | None = None) -> Model:
     """labels: ids and labels, 0 or 1; allowed: a condition on label rows that may be learned from."""
-    rows = labels.where(allowed) if allowed is not None else labels
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    rows = rows.groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id"))
-    counts = {r.label: r["count"] for r in rows.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
-    limit = F.lit(None).cast("long")
-    for value, most in ((1, sample.toxic), (0, sample.clean)):
-        share = min(1.0, most / max(counts.get(value, 0), 1))
-        limit = F.when(F.col("label") == value, F.lit(int((share - 0.5) * 1.9999 * 2**63))).otherwise(limit)
-    chosen = rows.where(F.col("h") <= limit).limit(2 * (sample.toxic + sample.clean))
-    texts = keyed(df, id_col, text_col).where(F.length("text") <= sample.chars).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    found = sorted({(r.h, r.label, r.text) for r in texts.select("h", "label", "text").limit(2 * (sample.toxic + sample.clean)).collect()})
-    return fit([f[2] for f in found], [f[1] for f in found], sample)
+    found = labelled_texts(df, labels, id_col, text_col, label_col, {1: sample.toxic, 0: sample.clean}, sample.chars, allowed)
+    return fit([f[1] for f in found], [f[0] for f in found], sample)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
