@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, pii, quality_classifier, toxicity
+from . import chat, language_id, near_duplicates, pii, quality_classifier, toxicity
 from .byte_bpe import Tokenizer
 from .packing import Packer
 from .quality_rules import judge
@@ -28,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(spark, f"{TOKENIZERS}/word_bpe_49k.json").pack(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -63,6 +67,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op4_pii, op6_byte_bpe, op7_quality_classifier, op8_toxicity, op9_language_id, op10_chat)
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_near_duplicates, op4_pii, op6_byte_bpe, op7_quality_classifier, op8_toxicity, op9_language_id, op10_chat)
 }
 ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
