@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, near_duplicates, pii, quality_classifier, toxicity
+from . import ann, chat, language_id, near_duplicates, pii, quality_classifier, toxicity
 from .byte_bpe import Tokenizer
 from .packing import Packer
 from .quality_rules import judge
@@ -36,6 +36,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tokenizer(spark, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN).digests(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_near_duplicates, op4_pii, op6_byte_bpe, op7_quality_classifier, op8_toxicity, op9_language_id, op10_chat)
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_near_duplicates, op4_pii, op5_nearest_neighbours, op6_byte_bpe, op7_quality_classifier, op8_toxicity, op9_language_id, op10_chat)
 }
 ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
