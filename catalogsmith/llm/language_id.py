@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sparkio import keyed, mapped
+from .sparkio import keyed, mapped, row_field
 from .textkernel import Slab, lookup, lowered, slabs
 
 BUCKETS_BITS = 16
@@ -207,7 +207,8 @@ def word_languages(model: Model, text: str) -> list[tuple[str, str]]:
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score and n_switches (between neighbouring words of a line); with keep, text too."""
+    """doc_id, lang_pred, score and n_switches (between neighbouring words of a line); with keep, also row: a struct of all of
+    df's columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +231,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     switch[bounds[:-1]] = False
                     switches = np.bincount(words.owner[switch], minlength=m)
                 part = batch.slice(first, m)
-                yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if keep else []), pa.array(names[best], pa.string()), pa.array(score), pa.array(switches)], names=["doc_id", *(["text"] if keep else []), "lang_pred", "score", "n_switches"])
+                columns = [part.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(switches), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_switches", "row"][: len(columns)])
 
-    return mapped(keyed(df, id_col, text_col), step, "doc_id long, " + "text string, " * keep + "lang_pred string, score double, n_switches long")
+    return mapped(keyed(df, id_col, text_col, keep), step, "doc_id long, lang_pred string, score double, n_switches long" + row_field(df, keep))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sketch import Counts, block_batches, frequency, summed
-from .sparkio import mapped, written
+from .sparkio import keyed, mapped, row_field, written
 from .textkernel import Slab, lookup, lowered, repeated, slabs
 
 KINDS = ("email", "ip", "card", "phone")
@@ -177,15 +177,16 @@ SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_s
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Disclosure = Disclosure(), terms: DataFrame | None = None, with_text: bool = True) -> DataFrame:
-    """df with the columns of SPANS but doc_id and, if asked for, clean: the text with values and revealing terms replaced."""
+    """The columns of SPANS (clean: the text with values and revealing terms replaced) and row, a struct of all of df's columns;
+    the last two only with_text."""
     spark = df.sparkSession
     terms = revealing_terms(df, text_col, limits) if terms is None else terms
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = keyed(df, id_col, text_col, with_text)
     few = None
     if terms.count() <= BROADCAST_TERMS:
         rows = sorted((r.term, r.removed) for r in terms.collect())
         few = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], bool)))
-        source = source.withColumn("terms", F.lit(None).cast("array<long>")).withColumn("gone", F.lit(None).cast("array<boolean>"))
+        source = source.select("doc_id", "text", F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<boolean>").alias("gone"), *(["row"] if with_text else []))
     else:
         source = _joined_terms(source, terms)
 
@@ -216,10 +217,10 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
                     every = ",".join([*said, *(f"term:{a}:{b}" for a, b, _ in more)])
                     marks = [(a, b, f"[{kind.upper()}]") for kind, spans in zip(KINDS, base) for a, b in spans] + [(a, b, "" if gone_ else "[TERM]") for a, b, gone_ in more]
                     out.append((*map(len, base), hashlib.sha256(",".join(said).encode()).hexdigest(), every, len(more), replaced(text, marks) if with_text else None))
-                columns = [batch.column(0).slice(first, len(slab)), *(pa.array([o[i] for o in out], pa.string() if i in (4, 5, 7) else pa.int64()) for i in range(8))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "clean"])
+                columns = [batch.column(0).slice(first, len(slab)), *(pa.array([o[i] for o in out], pa.string() if i in (4, 5, 7) else pa.int64()) for i in range(8)), *(c.slice(first, len(slab)) for c in batch.columns[4:])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "clean", "row"][: len(columns)])
 
-    out = mapped(source, step, SPANS)
+    out = mapped(source, step, SPANS + row_field(df, with_text))
     return out if with_text else out.drop("clean")
 
 
@@ -256,7 +257,9 @@ def _joined_terms(source: DataFrame, terms: DataFrame) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([_digest(t or "") for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=["doc_id", "text", "own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "own"])
 
-    texts = mapped(source, digests, "doc_id long, text string, own long")
-    return texts.join(by_text, "own", "left").select("doc_id", "text", "terms", "gone")
+    kept = source.columns[2:]
+    row = f", row {source.schema['row'].dataType.simpleString()}" if kept else ""
+    texts = mapped(source, digests, f"doc_id long, text string{row}, own long")
+    return texts.join(by_text, "own", "left").select("doc_id", "text", "terms", "gone", *kept)

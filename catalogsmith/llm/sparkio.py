@@ -45,6 +45,12 @@ def mapped(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(step, schema)
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns that a text operator works on, under names of its own; other columns, whatever their names, don't matter."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def keyed(df: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
+    """The two columns that a text operator works on, under names of its own, so that names of other columns don't matter;
+    with keep, all of df's columns come along in the struct row."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if keep else []
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row)
+
+
+def row_field(df: DataFrame, keep: bool) -> str:
+    return f", row {df.schema.simpleString()}" if keep else ""
