@@ -38,8 +38,9 @@ class Forest:
     recall: float = 0.97
     probes: int = 150
     part: int = 8192
-    #: Candidates that a leaf names, and those of a query that are ranked exactly, as multiples of the number asked for.
-    named: int = 2
+    #: Candidates that a leaf names beyond the number asked for (and the query itself), against rounding to half precision.
+    margin: int = 2
+    #: Candidates of a query that are ranked exactly, as a multiple of the number asked for.
     rerank: int = 4
 
 
@@ -217,7 +218,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
 
     asked = texts.join(queries.select("key").distinct(), "key", "left_semi").select("vec_id", "raw")
     wanted = mapped(asked.repartition("vec_id"), visits, "tree int, leaf int, part int, asked long, half binary")
-    take, each = (k + 1) * forest.rerank, (k + 1) * forest.named
+    take, each = (k + 1) * forest.rerank, k + 1 + forest.margin
 
     def rank(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(asking):
