@@ -27,11 +27,11 @@ from .sparkio import keyed, mapped
 
 #: Pieces that one lot packs together.
 LOT = 1 << 17
-#: Entries of a worker's memo before it starts afresh.
-MEMO = 500_000
+#: Entries of a worker's memo of chunks, and of that of their parts, before each starts afresh.
+MEMO, PARTS = 700_000, 800_000
 _LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 #: Separators for Python that are no white space for the tokenizer.
-_ODD = re.compile("[\x1c-\x1f]").search
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _built: dict[bytes, "WordEncoder"] = {}
 
 
@@ -44,21 +44,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(file)
         self.special = tuple(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.parts: dict[str, list[int]] = {}
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.final[i] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.flat, self.ends, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_words(self, words: list[str]) -> list[list[int]]:
+        """Of words that are one piece each: encoded in lots as one text, and parted after the tokens that end a word."""
+        out: list[list[int]] = []
+        for k in range(0, len(words), 2000):
+            lot = words[k : k + 2000]
+            ids = np.array(self._ids([" ".join(lot)])[0])
+            cut = np.flatnonzero(self.final[ids]) + 1 if len(ids) else ids
+            flat, ends = ids.tolist(), cut.tolist()
+            out += [flat[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(lot) else self._ids(lot)
+        return out
+
     def _learn(self, chunks: list[str]) -> None:
         """Chunks of letters and then signs take the ids of both parts, so that capitals and trailing signs cost no new call."""
-        both = [(m[1].lower(), m[2]) if (m := _LATIN(c)) else (c, "") for c in chunks]
-        if new := list(set(chain.from_iterable(both)).difference(self.parts, ("",))):
-            self.parts.update(zip(new, self._ids(new)))
+        both, others = [], []
+        for c in chunks:
+            if m := _LATIN(c):
+                both.append((m[1].lower(), m[2]))
+            else:
+                both.append((c, ""))
+                others.append(c)
+        if len(self.parts) > PARTS:
+            self.parts = {}
+        words = list(set(chain.from_iterable(both)).difference(self.parts, others, ("",)))
+        self.parts.update(zip(words, self._ids_of_words(words)))
+        self.parts.update(zip(others, self._ids(others)))
         self.parts.setdefault("", [])
         lists = [self.parts[a] + self.parts[b] for a, b in both]
         n, begin = len(self.memo), self.size
@@ -75,7 +98,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
             self._forget()
-        whole = [i for i, t in enumerate(texts) if _ODD(t) or "<|" in t and any(s in t for s in self.special)]
+        whole = [i for i, t in enumerate(texts) if any(c in t for c in _ODD) or "<|" in t and any(s in t for s in self.special)]
         split = [t.split() for t in texts]
         for i in whole:
             split[i] = []
