@@ -47,7 +47,7 @@ def analyse(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     fields = [f for f in fields if f != "id"]
     joined = df.crossJoin(F.broadcast(length_stats(df, fields)))
     entries = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(field_tags(f, True) for f in fields)))
-    tagged = joined.withColumn("anomalies", F.map_filter(entries, lambda _, v: F.size(v) > 0))
+    tagged = joined.withColumn("anomalies", fence(F.map_filter(entries, lambda _, v: F.size(v) > 0)))
     return tagged.withColumn("score", score(F.col("anomalies"))).select(*(col(c) for c in df.columns), "anomalies", "score")
 
 
@@ -64,16 +64,21 @@ def triage(analysed: DataFrame, fields: Sequence[str], threshold: float = THRESH
     return analysed.withColumn("triage", F.when(empty, "empty").when(F.col("score") >= threshold, "suspicious").otherwise("clean"))
 
 
-def fixed(f: str, tags: Column) -> Column:
-    """The field after the fixers that its tags call for, in their order; values of author lists then lose repetitions."""
-    has = lambda name: F.coalesce(F.array_contains(tags, name), F.lit(False))
-    c = col(f).cast("string")
-    c = F.when(has("ARTEFACTO_CID"), t.replace_cid(c)).otherwise(c)
-    c = F.when(has("REPETICION_CICLICA"), t.cut_cycle(c)).otherwise(c)
-    c = F.when(has("CHARS_DISPERSOS"), t.join_spaced(c)).otherwise(c)
-    if f in ("description", "citation"):
-        c = F.when(has("TEXTO_PEGADO"), t.split_glued(c)).otherwise(c)
-    return t.distinct_values(c) if f == "author" else c
+def fence(c: Column) -> Column:
+    """The same value, in a form that the optimizer does not copy: rules that use a field several times, one after the other,
+    would otherwise be expanded into each other and grow with the product of their uses."""
+    return F.when(F.rand(0) >= 0, c)
+
+
+def fix_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Fields after the fixers that their tags (map anomalies) call for, in their order, a projection each; values of author
+    lists then lose repetitions."""
+    steps = [("ARTEFACTO_CID", t.replace_cid), ("REPETICION_CICLICA", t.cut_cycle), ("CHARS_DISPERSOS", t.join_spaced), ("TEXTO_PEGADO", t.split_glued)]
+    for tag, fix in steps:
+        on = [f for f in fields if f != "id" and (tag != "TEXTO_PEGADO" or f in ("description", "citation"))]
+        has = {f: F.coalesce(F.array_contains(F.col("anomalies")[f], tag), F.lit(False)) for f in on}
+        df = df.withColumns({f: fence(F.when(has[f], fix(col(f))).otherwise(col(f))) for f in on})
+    return df.withColumn("author", fence(t.distinct_values(col("author")))) if "author" in fields else df
 
 
 def residual(f: str, tags: Column) -> Column:
@@ -89,10 +94,9 @@ def curate(df: DataFrame, fields: Sequence[str], decisions: DataFrame | None = N
     from .join import merge_decisions
 
     labelled = triage(analyse(df, fields), fields)
-    cleaned = {f: fixed(f, F.col("anomalies")[f]) for f in fields if f != "id"}
-    repaired = labelled.where("triage = 'suspicious'").withColumns(cleaned)
+    repaired = fix_fields(labelled.where("triage = 'suspicious'"), fields)
     left = reduce(lambda a, b: a + b, (F.size(residual(f, F.col("anomalies")[f])) for f in fields if f != "id"))
-    repaired = repaired.withColumn("left", left)
+    repaired = repaired.withColumn("left", fence(left))
     clean = labelled.where("triage = 'clean'").select(*df.columns)
     fine, open_ = repaired.where("left = 0").select(*df.columns), repaired.where("left > 0").select(*df.columns)
     review = open_.unionByName(labelled.where("triage = 'empty'").select(*df.columns))

@@ -109,7 +109,7 @@ scalar("k14_replace_cid", "noisy", lambda: t.replace_cid(C("title")), f"case whe
 scalar("k15_cut_cycle", "noisy", lambda: t.cut_cycle(C("description")), None)
 scalar("k16_split_glued", "records", lambda: t.split_glued(C("title")), None)
 scalar("k17_distinct_authors", "records", lambda: t.distinct_values(C("author")), "case when contains(author, '|') then array_to_string(list_transform(list_filter(list_transform(list_zip(string_split(author, '|'), range(1, 99)), lambda z: z), lambda z: z[1] is not null and list_position(list_transform(string_split(author, '|'), lambda q: lower(trim(q))), lower(trim(z[1]))) = z[2]), lambda z: trim(z[1])), '|') else author end")
-add("k18_dispatch", "noisy", lambda df: profile.analyse(df, _NOISY).select("row_id", *(profile.fixed(f, C("anomalies")[f]).alias(f) for f in _NOISY)))
+add("k18_dispatch", "noisy", lambda df: profile.fix_fields(profile.analyse(df, _NOISY), _NOISY).select("row_id", *_NOISY))
 scalar("k19_clean_doi", "records", lambda: t.clean_doi(C("doi")), "regexp_replace(doi, '^\\s*(https?://(dx\\.)?doi\\.org/|doi:\\s*)', '', 'i')")
 scalar("k20_clean_isbn", "records", lambda: t.clean_isbn(C("isbn")), "upper(regexp_replace(isbn, '[^0-9Xx]', '', 'g'))")
 scalar("k21_clean_issn", "records", lambda: t.clean_issn(C("issn")), "trim(replace(issn, '-', ''))")
