@@ -94,7 +94,8 @@ def curate(df: DataFrame, fields: Sequence[str], decisions: DataFrame | None = N
     from .join import merge_decisions
 
     labelled = triage(analyse(df, fields), fields)
-    repaired = fix_fields(labelled.where("triage = 'suspicious'"), fields)
+    # Both outputs branch on what is left after the fixes: these rows are computed once and kept (on disk where memory is short).
+    repaired = fix_fields(labelled.where("triage = 'suspicious'"), fields).persist()
     left = reduce(lambda a, b: a + b, (F.size(residual(f, F.col("anomalies")[f])) for f in fields if f != "id"))
     repaired = repaired.withColumn("left", fence(left))
     clean = labelled.where("triage = 'clean'").select(*df.columns)
