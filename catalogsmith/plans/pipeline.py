@@ -85,8 +85,8 @@ def _step(step: str, source: DataFrame, repository: DataFrame, params: PipelineP
     elif step == "correct":
         t["corrected"] = correct.get_corrector(params.source_name)(t["target"])
     elif step == "package":
-        ordered = dense_numbers(correct.prepare_export(t["corrected"]).withColumn("__k", _key(t["corrected"])), "__k", "__n").drop("__k")
-        t["files"] = writers.package_files(ordered, "__n")
+        ordered = dense_numbers(correct.prepare_export(t["corrected"]).withColumn("__k", _key(t["corrected"])), "__k", "item_no").drop("__k")
+        t["files"] = writers.package_files(ordered, "item_no")
 
 
 def _key(df: DataFrame):
