@@ -128,9 +128,9 @@ add("l1_chain", "records works", _chain, f"+p as (select distinct {_k} as k from
 _f = {"min-pages": "pages", "pages": "pages", "kind": "kind", "publisher": "publisher", "doi": "doi", "title": "title", "price": "price"}
 add("o1_works_search", "works", lambda w: search.search(w, "work_id", "ring", ["title"], "from-pages:10,kind:ECONOMY,has-doi:true", _f, ["work_id", "title", "pages"], "pages:desc", rows=30, offset=2), "select work_id, title, pages from works where pages >= 10 and kind = 'ECONOMY' and doi is not null and contains(lower(title), 'ring') order by pages desc, work_id limit 30 offset 2")
 add("o2_lookup", "works", lambda w: search.lookup(w, "doi", "10.28/1").select("work_id", "title"), "select work_id, title from works where doi = '10.28/1'")
-for _name, _dim, _on, _where, _sql in (("o3_journal_works", "part", "partkey", C("p_brand") == "Brand#2", "p_brand = 'Brand#2'"), ("o4_funder_works", "part", "partkey", C("p_size") > 45, "p_size > 45"), ("o5_member_works", "supplier", "suppkey", C("s_acctbal") > 9000, "s_acctbal > 9000"), ("o8_institution_works", "supplier", "suppkey", C("s_nationkey") == 3, "s_nationkey = 3"), ("o9_author_works", "supplier", "suppkey", C("s_name").endswith("7"), "s_name like '%7'")):
+for _name, _dim, _on, _sql in (("o3_journal_works", "part", "partkey", "p_brand = 'Brand#2'"), ("o4_funder_works", "part", "partkey", "p_size > 45"), ("o5_member_works", "supplier", "suppkey", "s_acctbal > 9000"), ("o8_institution_works", "supplier", "suppkey", "s_nationkey = 3"), ("o9_author_works", "supplier", "suppkey", "s_name like '%7'")):
     _p = _dim[0]
-    add(_name, f"lineitem {_dim}", lambda li, d, on=_on, p=_p, w=_where: search.works_of(li.withColumnRenamed(f"l_{on}", f"{p}_{on}"), d, f"{p}_{on}", w).select("l_orderkey", "l_linenumber"), f"select l_orderkey, l_linenumber from lineitem where l_{_on} in (select {_p}_{_on} from {_dim} where {_sql})")
+    add(_name, f"lineitem {_dim}", lambda li, d, on=_on, p=_p, w=_sql: search.works_of(li.withColumnRenamed(f"l_{on}", f"{p}_{on}"), d, f"{p}_{on}", F.expr(w)).select("l_orderkey", "l_linenumber"), f"select l_orderkey, l_linenumber from lineitem where l_{_on} in (select {_p}_{_on} from {_dim} where {_sql})")
 add("o6_prefix", "works", lambda w: search.prefixed(w, "doi", "10.28/").select("work_id"), "select work_id from works where starts_with(doi, '10.28/')")
 add("o7_types", "works", lambda w: search.distinct_values(w, "kind"), "select distinct kind from works")
 add("o10_filter_sort", "works", lambda w: search.search(w, "work_id", where="publisher:Brand#2,until-price:1500", fields=_f, select=["work_id", "price"], sort="price:desc", rows=25), "select work_id, price from works where publisher = 'Brand#2' and price <= 1500 order by price desc, work_id limit 25")

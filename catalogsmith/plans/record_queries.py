@@ -114,8 +114,8 @@ scalar("k19_clean_doi", "records", lambda: t.clean_doi(C("doi")), "regexp_replac
 scalar("k20_clean_isbn", "records", lambda: t.clean_isbn(C("isbn")), "upper(regexp_replace(isbn, '[^0-9Xx]', '', 'g'))")
 scalar("k21_clean_issn", "records", lambda: t.clean_issn(C("issn")), "trim(replace(issn, '-', ''))")
 _sim = "case percent % 6 when 0 then 'NO_DUPLICATE' when 1 then '' when 2 then cast(percent / 100.0 as double)::string when 3 then '1.0' when 4 then 'high' else cast(percent as string) end"
-_raw = F.expr("case percent % 6 when 0 then 'NO_DUPLICATE' when 1 then '' when 2 then cast(percent / cast(100.0 as double) as string) when 3 then '1.0' when 4 then 'high' else cast(percent as string) end")
-scalar("k22_similarity", "records", lambda: F.round(t.similarity(_raw), 4), f"round(case when upper(trim({_sim})) in ('', 'NO_DUPLICATE', 'NONE') then 0.0 when try_cast(trim({_sim}) as double) is null then 100.0 when try_cast(trim({_sim}) as double) <= 1.0 and try_cast(trim({_sim}) as double) > 0 then try_cast(trim({_sim}) as double) * 100 else try_cast(trim({_sim}) as double) end, 4)")
+_RAW = ("case percent % 6 when 0 then 'NO_DUPLICATE' when 1 then '' when 2 then cast(percent / cast(100.0 as double) as string) when 3 then '1.0' when 4 then 'high' else cast(percent as string) end")
+scalar("k22_similarity", "records", lambda: F.round(t.similarity(F.expr(_RAW)), 4), f"round(case when upper(trim({_sim})) in ('', 'NO_DUPLICATE', 'NONE') then 0.0 when try_cast(trim({_sim}) as double) is null then 100.0 when try_cast(trim({_sim}) as double) <= 1.0 and try_cast(trim({_sim}) as double) > 0 then try_cast(trim({_sim}) as double) * 100 else try_cast(trim({_sim}) as double) end, 4)")
 QUERIES["k23_unescape"] = lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", t.unescape_html(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
 scalar("k24_separators", "values_list", lambda: t.rewrite_separator(C("p_name"), " ", "; "), "replace(p_name, ' ', '; ')")
 scalar("k25_detect_separator", "values_list", lambda: F.get(t.valid_separators(C("many")), F.lit(0)), "case when contains(many, '||') then '||' when contains(many, '|') then '|' end")
