@@ -94,7 +94,7 @@ _tag = lambda on, name: f"case when {on} then '{name}' end"
 add(
     "k12_row_analysis",
     "noisy",
-    lambda df: profile.analyse(df.drop("description"), _NOISY[:3]).select("row_id", F.to_json("anomalies").alias("anomalies"), F.round("score", 4).alias("score")),
+    lambda df: profile.analyse(df, _NOISY).select("row_id", F.to_json("anomalies").alias("anomalies"), F.round("score", 4).alias("score")),
     f""", tags as (select row_id,
   case when {blank('title')} then ['CAMPO_VACIO'] else list_filter([{_tag(SPACED, 'CHARS_DISPERSOS')}, {_tag(CID, 'ARTEFACTO_CID')}, {_tag(glued_sql('title'), 'TEXTO_PEGADO')}, {_tag(CONTROL.replace('{c}', 'title'), 'CHARS_CONTROL')}], lambda x: x is not null) end as t,
   case when {blank('author')} then ['CAMPO_VACIO'] else [] end as a, case when {blank('type')} then ['CAMPO_VACIO'] else [] end as y from noisy),
@@ -157,7 +157,7 @@ add("e2_all_quarantined", "records", lambda df: df.agg((F.count_if(sanitize.quar
 add(
     "e3_triage",
     "noisy",
-    lambda df: profile.triage(profile.analyse(df.drop("description"), _NOISY[:3]), _NOISY[:3]).select("row_id", "triage"),
+    lambda df: profile.triage(profile.analyse(df, _NOISY), _NOISY).select("row_id", "triage"),
     f"select row_id, case when {blank('title')} and {blank('author')} and {blank('type')} then 'empty' when {blank('title')} or {blank('author')} or {blank('type')} or {SPACED} or {CID} or {glued_sql('title')} or {CONTROL.replace('{c}', 'title')} then 'suspicious' else 'clean' end as triage from noisy",
 )
 add("e4_blank_families", "records", lambda df: df.agg(F.count_if(is_blank(C("citation"))).alias("blank"), F.count_if(C("citation").isin("", "nan", "None")).alias("empty_cell")), f"select count(*) filter (where {blank('citation')}) as blank, count(*) filter (where {empty_cell('citation')}) as empty_cell from records")
@@ -201,7 +201,7 @@ scalar("m6_value_map", "records", lambda: correct.map_values(C("date"), {"June":
 scalar("m7_regex_extract", "records", lambda: correct.extract(C("date"), r"(\d{4})"), "case when regexp_matches(date, '\\d{4}') then regexp_extract(date, '(\\d{4})', 1) else date end")
 scalar("m8_date_strategy", "records", lambda: correct.strategy("date_normalization")(C("date")), clean_date_sql("date"))
 add("m10_transaction", "records", lambda df: correct.repair(df, "id", "date", "regex_extraction", pattern=r"(\d{4})").select("row_id", "date"), "select row_id, case when regexp_matches(date, '\\d{4}') then regexp_extract(date, '(\\d{4})', 1) else date end as date from records")
-add("m12_curation", "noisy", lambda df: profile.curate(df.withColumn("id", C("row_id").cast("string")).drop("description"), ["id", "title", "author", "type"])[1].select("row_id"), f"select row_id from noisy where {blank('title')} or {blank('author')} or {blank('type')} or {glued_sql('title')} or {CONTROL.replace('{c}', 'title')}")
+add("m12_curation", "noisy", lambda df: profile.curate(df.withColumn("id", C("row_id").cast("string")), ["id", *_NOISY])[1].select("row_id"), f"select row_id from noisy where {blank('title')} or {blank('author')} or {blank('type')} or {glued_sql('title')} or {CONTROL.replace('{c}', 'title')}")
 add("i8_cap_list", "values_list", lambda df: df.select("row_id", correct.capped_list(C("many"), 2).alias("value")), "select row_id, p_brand || '|' || p_type as value from values_list")
 add("h7_ordered_distinct", "values_list", lambda df: df.select("row_id", F.array_join(F.array_distinct(F.array("p_brand", "p_type", "p_brand")), "|").alias("value")), "select row_id, p_brand || '|' || p_type as value from values_list")
 add("b2_canonical_columns", "records", lambda df: correct.canonical_columns(df.select("id", "title", "place", C("price").alias("_internal"))), "select id, title, " + ", ".join(f"'' as {f}" for f in CURATION_FIELDS if f not in ("id", "title")) + ", place from records")

@@ -2,10 +2,13 @@
 
 import random
 import re
+from statistics import mean, stdev
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalogsmith.functions import text as t
+from catalogsmith.plans.record_queries import QUERIES
 
 UNIT = "a passage that comes again; "
 
@@ -31,3 +34,36 @@ def test_cycles_of_long_texts(spark):
     got = rows.select("i", t.cyclic(F.col("v")).alias("on"), t.cut_cycle(F.col("v")).alias("cut")).orderBy("i").collect()
     assert [r.on for r in got] == [True, False, False, True]
     assert [r.cut for r in got] == [lead + " " + UNIT[:-2], lead, None, "x" * 15]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """40 documents of about 300 characters, but 13 is very long and 19 has a cycle after character 3000."""
+    rng = random.Random(4)
+    texts = [words(rng, 55) for _ in range(40)]
+    texts[13], texts[19] = words(rng, 3600), words(rng, 600) + " " + UNIT * 3 + "tail"
+    path = str(tmp_path_factory.mktemp("whole"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    assert len(texts[13]) > 15_000 and texts[19].index(UNIT) > 3000
+    return path, texts
+
+
+def test_queries_read_whole_texts(spark, folder):
+    path, texts = folder
+    run = lambda name: QUERIES[name](spark, path).collect()
+    sizes = [len(x) for x in texts]
+    outliers = {i for i, n in enumerate(sizes) if n >= 200 and (n - mean(sizes)) / stdev(sizes) > 3}
+    assert outliers == {13} == {r.row_id for r in run("k10_length_outlier") if r.value}
+    stats = run("g1_length_stats")[0]
+    assert abs(stats.mean_description - mean(sizes)) < 1e-3 and abs(stats.sd_description - stdev(sizes)) < 1e-3
+    assert {r.row_id for r in run("k7_cyclic") if r.value} == {19}
+    cut = texts[19][: texts[19].index(UNIT) + len(UNIT)].rstrip("–,; ")
+    for name, field in (("k15_cut_cycle", "value"), ("k18_dispatch", "description")):
+        assert {r.row_id: r[field] for r in run(name)} == {i: cut if i == 19 else x for i, x in enumerate(texts)}
+    # 13, 19 and 26 have no anomaly but in their descriptions
+    found = {r.row_id: (r.anomalies, r.score) for r in run("k12_row_analysis")}
+    assert found[13] == ('{"description":["LONGITUD_ANOMALA"]}', 0.35) and found[19] == ('{"description":["REPETICION_CICLICA"]}', 0.8) and found[26] == ("{}", 0.0)
+    label = {r.row_id: r.triage for r in run("e3_triage")}
+    assert label[13] == label[19] == "suspicious" and label[26] == "clean"
+    review = {r.row_id for r in run("m12_curation")}
+    assert 13 in review and not {19, 26} & review
