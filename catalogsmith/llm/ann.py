@@ -6,7 +6,8 @@ its leaf in every tree. A query's search keeps the branches of all trees in one
 they were passed over, and takes leaves in that order until these hold a share of all vectors. That share is the least that
 reaches ``recall`` on the sample, measured there against brute force, so it follows the data: vectors with structure need few
 leaves, vectors close to random in many dimensions need many. Leaf and queries meet in one task, which ranks the leaf for
-each; a query's best are then ranked exactly, in double precision, on the original vectors.
+each in double precision on the original vectors, so that near-equal vectors are told apart, and names its best, as many as
+asked for and one (the query itself); ties go to smaller ids.
 
 Equal vectors are indexed once, with their least ids, as many as a result can show; equal queries are searched once. So any
 number of copies costs nothing, and ties go to smaller ids. A leaf that holds more than ``part`` vectors is dealt to several
@@ -38,9 +39,7 @@ class Forest:
     recall: float = 0.97
     probes: int = 150
     part: int = 8192
-    #: Candidates that a leaf names beyond the number asked for (and the query itself), against rounding to half precision.
-    margin: int = 2
-    #: Candidates of a query that are ranked exactly, as a multiple of the number asked for.
+    #: Candidates of a query whose copies are looked up and ranked, as a multiple of the number asked for.
     rerank: int = 4
 
 
@@ -190,17 +189,16 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
             if not batch.num_rows:
                 continue
             x = _unit(_matrix(batch.column(1))).astype(np.float32)
-            half = pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())
             for t, tree in enumerate(shared.value):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(route(tree, x), pa.int32()), batch.column(0), half], names=["tree", "leaf", "vec_id", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(route(tree, x), pa.int32()), batch.column(0), batch.column(1)], names=["tree", "leaf", "vec_id", "raw"])
 
-    placed = mapped(texts.select("vec_id", "raw"), leaves, "tree int, leaf int, vec_id long, half binary")
+    placed = mapped(texts.select("vec_id", "raw"), leaves, "tree int, leaf int, vec_id long, raw binary")
     sizes = [np.zeros(tree.leaves, np.int64) for tree in trees]
     for r in placed.groupBy("tree", "leaf").count().collect():  # a row per leaf: bounded by the sample
         sizes[r.tree][r.leaf] = r["count"]
     known = spark.sparkContext.broadcast(sizes)
     part = forest.part
-    placed = mapped(placed, _dealt(known, part), "tree int, leaf int, part int, vec_id long, half binary")
+    placed = mapped(placed, _dealt(known, part), "tree int, leaf int, part int, vec_id long, raw binary")
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,31 +209,37 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
             for i, query in enumerate(x):
                 for t, leaf in search(shared.value, known.value, query, want):
                     out += [(t, leaf, p, i) for p in range(-(-int(known.value[t][leaf]) // part))]
-            ids = batch.column(0).to_pylist()
-            half = [r.tobytes() for r in x.astype("<f2")]
+            ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             columns = [pa.array([o[j] for o in out], pa.int32()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids[o[3]] for o in out], pa.int64()), pa.array([half[o[3]] for o in out], pa.binary())], names=["tree", "leaf", "part", "asked", "half"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids[o[3]] for o in out], pa.int64()), pa.array([raw[o[3]] for o in out], pa.binary())], names=["tree", "leaf", "part", "asked", "raw"])
 
     asked = texts.join(queries.select("key").distinct(), "key", "left_semi").select("vec_id", "raw")
-    wanted = mapped(asked.repartition("vec_id"), visits, "tree int, leaf int, part int, asked long, half binary")
-    take, each = (k + 1) * forest.rerank, k + 1 + forest.margin
+    wanted = mapped(asked.repartition("vec_id"), visits, "tree int, leaf int, part int, asked long, raw binary")
+    take, each = (k + 1) * forest.rerank, k + 1
 
     def rank(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(asking):
-            return pd.DataFrame({"asked": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
-        x = np.stack([np.frombuffer(b, "<f2") for b in held["half"]]).astype(np.float32)
-        ids, asked_ids, out_ids, nears = held["vec_id"].to_numpy(), [], [], []
+            return pd.DataFrame({"asked": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)})
+        x = _unit(np.stack([np.frombuffer(b, "<f4") for b in held["raw"]]))
+        order = np.argsort(held["vec_id"].to_numpy())
+        x, ids, asked_ids, out_ids, nears = x[order], held["vec_id"].to_numpy()[order], [], [], []
+        most = min(each, len(ids))
         for begin in range(0, len(asking), 512):
             some = asking.iloc[begin : begin + 512]
-            close = np.stack([np.frombuffer(b, "<f2") for b in some["half"]]).astype(np.float32) @ x.T
-            best = np.argpartition(-close, min(each, len(ids)) - 1, axis=1)[:, :each]
-            asked_ids.append(np.repeat(some["asked"].to_numpy(), best.shape[1]))
+            close = _unit(np.stack([np.frombuffer(b, "<f4") for b in some["raw"]])) @ x.T
+            best = np.argpartition(-close, most - 1, axis=1)[:, :most]
+            least = np.take_along_axis(close, best, 1).min(1)
+            for i in np.flatnonzero((close >= least[:, None]).sum(1) > most):  # a tie at the last place
+                level = np.flatnonzero(close[i] == least[i])
+                above = np.flatnonzero(close[i] > least[i])
+                best[i] = np.concatenate([above, level[: most - len(above)]])
+            asked_ids.append(np.repeat(some["asked"].to_numpy(), most))
             out_ids.append(ids[best].ravel())
             nears.append(np.take_along_axis(close, best, 1).ravel())
         return pd.DataFrame({"asked": np.concatenate(asked_ids), "vec_id": np.concatenate(out_ids), "near": np.concatenate(nears)})
 
     by = ["tree", "leaf", "part"]
-    close = placed.groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(rank, "asked long, vec_id long, near float")
+    close = placed.groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(rank, "asked long, vec_id long, near double")
     # A vector may be named once by each tree; the limit on row_number applies within tasks before the shuffle.
     top = Window.partitionBy("asked").orderBy(F.desc("near"), "vec_id")
     best = close.withColumn("r", F.row_number().over(top)).where(F.col("r") <= take * forest.trees).select("asked", "vec_id").distinct()
@@ -253,7 +257,7 @@ def _dealt(known, part: int):
                 size[tree == t] = known.value[t][leaf[tree == t]]
             parts = np.maximum(-(-size // part), 1)
             mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((mixed.astype(np.int64) % parts).astype(np.int32)), batch.column(2), batch.column(3)], names=["tree", "leaf", "part", "vec_id", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((mixed.astype(np.int64) % parts).astype(np.int32)), batch.column(2), batch.column(3)], names=["tree", "leaf", "part", "vec_id", "raw"])
 
     return step
 
