@@ -2,8 +2,8 @@
 
 Emails, IP addresses, card and telephone numbers are found by pattern, in linear time. A term then counts as revealing if,
 over the whole corpus, the texts that hold it near one protected value are most of the texts that hold it at all: with c the
-distinct texts with the term within NEAR words of the value, n those with the term (from a count-min sketch over all
-documents, so never too few), e those with the value and N all, it must have c >= support, disclosure c / n at least
+distinct texts with the term within NEAR words of the value, n those with the term (counted exactly for the terms that can
+still qualify), e those with the value and N all, it must have c >= support, disclosure c / n at least
 ``generalise``, and at least ``bits`` of pointwise information log2(c N / (n e)). Its occurrences anywhere become [TERM], or
 are removed where c / n reaches ``remove``.
 
@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import Counts, block_batches, frequency, summed
 from .sparkio import keyed, mapped, row_field, written
 from .textkernel import Slab, lookup, lowered, repeated, slabs
 
@@ -111,7 +110,7 @@ def _terms(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, owner, slab.hash(starts, ends, lowered(slab.codes)).view(np.int64)
 
 
-EVIDENCE = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary()), ("value", pa.int64()), ("term", pa.int64()), ("text", pa.int64())])
+EVIDENCE = pa.schema([("value", pa.int64()), ("term", pa.int64()), ("text", pa.int64())])
 
 
 def _digest(text: str) -> int:
@@ -119,19 +118,19 @@ def _digest(text: str) -> int:
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of value and near term, by text; and the sketch of all terms' frequencies."""
-    counts = Counts()
+    """Pairs of value and near term, by text (term 0: the value itself); and a row without value for every text."""
     for batch in batches:
         values, terms, texts = [], [], []
         for _, slab in slabs(batch.column(0).to_pylist()):
             starts, ends, owner, hashes = _terms(slab)
-            _, later = repeated(hashes.view(np.uint64), owner)
-            counts.add(hashes[~later].view(np.uint64), len(slab))
             for k, text in enumerate(slab.texts):
+                own, first = _digest(text), slab.bounds[k]
+                values.append(None)
+                terms.append(None)
+                texts.append(own)
                 found = base_spans(text)
                 if not any(found):
                     continue
-                own, first = _digest(text), slab.bounds[k]
                 for kind, spans in zip(KINDS, found):
                     for a, b in spans:
                         value = _digest(f"{kind}:{text[a:b].lower()}")
@@ -142,31 +141,45 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             terms.append(h)
                             texts.append(own)
                         values.append(value)
-                        terms.append(0)  # the value itself
+                        terms.append(0)
                         texts.append(own)
-        if values:
-            none = pa.nulls(len(values))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(values, pa.int64()), pa.array(terms, pa.int64()), pa.array(texts, pa.int64())], schema=EVIDENCE)
-    for b in block_batches(counts):
-        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(1, pa.int64()) for _ in range(3))], schema=EVIDENCE)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (values, terms, texts)], schema=EVIDENCE)
 
 
-def revealing_terms(df: DataFrame, text_col: str = "text", limits: Disclosure = Disclosure()) -> DataFrame:
-    """term (hash, long) and removed (boolean: disclosure at or over limits.remove)."""
-    spark = df.sparkSession
-    found = written(mapped(df.select(F.col(text_col).cast("string").alias("text")), _evidence, "block int, salt int, counts binary, value long, term long, text long"), "pii-evidence")
-    sketch, documents = summed(found.where("block is not null").select("block", "salt", "counts"))
-    shared = spark.sparkContext.broadcast(sketch)
-    pairs = found.where("value is not null").select("value", "term", "text").distinct().groupBy("value", "term").agg(F.count("*").alias("c"))
-    values = pairs.where("term = 0").select("value", F.col("c").alias("e"))
-    likely = pairs.where((F.col("term") != 0) & (F.col("c") >= limits.support)).join(values, "value")
+def _frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term and n, the number of documents with it, for the wanted terms: broadcast if few, else joined."""
+    known = None
+    if wanted.count() <= BROADCAST_TERMS:
+        known = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r.term for r in wanted.collect()], np.int64)))
 
-    def with_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = frequency(shared.value, batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64))], names=["term", "c", "e", "n"])
+            for _, slab in slabs(batch.column(0).to_pylist()):
+                _, _, owner, hashes = _terms(slab)
+                if known is not None:
+                    some = np.isin(hashes, known.value)
+                    owner, hashes = owner[some], hashes[some]
+                _, later = repeated(hashes.view(np.uint64), owner)
+                term, n = np.unique(hashes[~later], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+
+    counted = mapped(texts, step, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counted if known is not None else counted.join(wanted, "term", "left_semi")
+
 
-    counted = likely.select("term", "c", "e").mapInArrow(with_frequency, "term long, c long, e long, n long")
+def revealing_terms(df: DataFrame, text_col: str = "text", limits: Disclosure = Disclosure()) -> DataFrame:
+    """term (hash, long) and removed (boolean: disclosure at or over limits.remove)."""
+    texts = df.select(F.col(text_col).cast("string").alias("text"))
+    found = written(mapped(texts, _evidence, "value long, term long, text long"), "pii-evidence")
+    documents = found.where("value is null").count()
+    evidence = found.where("value is not null")
+    pairs = evidence.distinct().groupBy("value", "term").agg(F.count("*").alias("c"))
+    values = pairs.where("term = 0").select("value", F.col("c").alias("e"))
+    # The texts with a term near any value are at most its n: what fails by these alone is not counted in all documents.
+    least = evidence.where("term != 0").select("term", "text").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    enough = pairs.where((F.col("term") != 0) & (F.col("c") >= limits.support)).join(least, "term").where(F.col("c") / F.col("least") >= limits.generalise)
+    likely = written(enough.join(values, "value").select("term", "c", "e"), "pii-likely")
+    counted = likely.join(_frequencies(texts, likely.select("term").distinct()), "term")
     share = F.col("c") / F.greatest("n", "c")
     information = F.log2(share * documents / F.col("e")) if documents else F.lit(0.0)
     shown = counted.where((share >= limits.generalise) & (information >= limits.bits))
