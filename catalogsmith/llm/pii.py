@@ -3,7 +3,7 @@
 Emails, IP addresses, card and telephone numbers are found by pattern, in linear time. A term then counts as revealing if,
 over the whole corpus, the texts that hold it near one protected value are most of the texts that hold it at all: with c the
 distinct texts with the term within NEAR words of the value, n those with the term (counted exactly for the terms that can
-still qualify), e those with the value and N all, it must have c >= support, disclosure c / n at least
+still qualify), e those with the value and N all distinct texts, it must have c >= support, disclosure c / n at least
 ``generalise``, and at least ``bits`` of pointwise information log2(c N / (n e)). Its occurrences anywhere become [TERM], or
 are removed where c / n reaches ``remove``.
 
@@ -147,7 +147,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term and n, the number of documents with it, for the wanted terms: broadcast if few, else joined."""
+    """term and n, the number of distinct texts with it, for the wanted terms: broadcast if few, else joined."""
     known = None
     if wanted.count() <= BROADCAST_TERMS:
         known = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r.term for r in wanted.collect()], np.int64)))
@@ -160,18 +160,20 @@ def _frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     some = np.isin(hashes, known.value)
                     owner, hashes = owner[some], hashes[some]
                 _, later = repeated(hashes.view(np.uint64), owner)
-                term, n = np.unique(hashes[~later], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+                own = np.zeros(len(slab), np.int64)
+                for k in np.unique(owner):
+                    own[k] = _digest(slab.texts[k])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[~later], pa.int64()), pa.array(own[owner[~later]], pa.int64())], names=["term", "text"])
 
-    counted = mapped(texts, step, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counted if known is not None else counted.join(wanted, "term", "left_semi")
+    held = mapped(texts, step, "term long, text long")
+    return (held if known is not None else held.join(wanted, "term", "left_semi")).distinct().groupBy("term").agg(F.count("*").alias("n"))
 
 
 def revealing_terms(df: DataFrame, text_col: str = "text", limits: Disclosure = Disclosure()) -> DataFrame:
     """term (hash, long) and removed (boolean: disclosure at or over limits.remove)."""
     texts = df.select(F.col(text_col).cast("string").alias("text"))
     found = written(mapped(texts, _evidence, "value long, term long, text long"), "pii-evidence")
-    documents = found.where("value is null").count()
+    documents = found.where("value is null").select("text").distinct().count()
     evidence = found.where("value is not null")
     pairs = evidence.distinct().groupBy("value", "term").agg(F.count("*").alias("c"))
     values = pairs.where("term = 0").select("value", F.col("c").alias("e"))
