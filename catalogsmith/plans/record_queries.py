@@ -213,7 +213,7 @@ add(
     "a9_json_harvest",
     "records",
     lambda df: readers.flatten_articles(
-        df.where("row_id % 50 = 0").select(
+        df.select(
             F.from_json(
                 F.to_json(F.struct(C("title"), F.lit("Marzo").alias("month"), F.array(F.struct(C("author").alias("name"))).alias("author"), F.array(F.struct(F.lit("doi").alias("type"), C("doi").alias("id"))).alias("identifier"), C("citation").alias("abstract"), F.lit("2011").alias("year"))),
                 "title string, month string, year string, abstract string, author array<struct<name:string>>, identifier array<struct<type:string,id:string>>, link array<struct<type:string,url:string>>, journal struct<title:string>, keywords array<string>",
