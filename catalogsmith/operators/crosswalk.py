@@ -133,7 +133,7 @@ def guard_target(mappings: DataFrame, catalog: DataFrame, fallback: str = "local
     grammar = r"^([a-zA-Z0-9._-]+)(?:\[([a-zA-Z]{2})\])?$"
     base, lang = F.regexp_extract("replace", grammar, 1), F.regexp_extract("replace", grammar, 2)
     named = mappings.withColumn("base", base).withColumn("lang", lang).where("base != ''")
-    known = named.join(F.broadcast(catalog.limit(10_000)), F.col("base") == F.col("field"), "left")
+    known = named.join(catalog, F.col("base") == F.col("field"), "left")
     wanted = F.when(F.col("field").isNotNull() & (F.col("lang") != "") & ~F.col("allow_lang"), F.col("base")).when(F.col("field").isNotNull(), F.col("replace")).when(F.lower("base").rlike("identifier|id"), F.lit(fallback))
     action = F.when(F.col("field").isNull(), F.when(wanted.isNotNull(), "fallback").otherwise("dropped")).when(wanted != F.col("replace"), "stripped").otherwise("kept")
     return known.select("pos", "left", wanted.alias("replace"), action.alias("action"))
@@ -143,7 +143,7 @@ def compatibility(mappings: DataFrame, header: DataFrame, catalog: DataFrame) ->
     """Each mapping as incompatible (a source column is missing), invalid (no such target) or valid."""
     missing = mapping_parts(mappings).where("part not like '%*%'").join(header, F.col("part") == F.col("column"), "left_anti").select("pos").distinct().withColumn("gone", F.lit(True))
     named = mappings.join(missing, "pos", "left").withColumn("base", F.regexp_extract("replace", r"^([^\[]+)", 1))
-    known = named.join(F.broadcast(catalog.limit(10_000)), F.col("base") == F.col("field"), "left")
+    known = named.join(catalog, F.col("base") == F.col("field"), "left")
     status = F.when(F.col("gone"), "incompatible").when(F.col("field").isNull(), "invalid").otherwise("valid")
     return known.select("pos", "left", "replace", status.alias("status"))
 
