@@ -12,7 +12,6 @@ Null or empty text: the end id alone, a piece of one token. Repeated rows are pa
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -24,19 +23,79 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import _lots, _ragged
 from .sparkio import keyed, mapped
+from .textkernel import Slab, lowered
 
 #: Pieces that one lot packs together.
 LOT = 1 << 17
-#: Entries of a worker's memo of chunks, and of that of their parts, before each starts afresh.
-MEMO, PARTS = 700_000, 800_000
-_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+#: Parts of words that a worker remembers (about 30 bytes each) before it starts afresh.
+MEMO = 3_000_000
 #: Separators for Python that are no white space for the tokenizer.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Kinds of code points: a word of Latin letters and then signs is two parts that are encoded apart; any other word is one.
+_SPACE, _LETTER, _SIGN, _OTHER = range(4)
 _built: dict[bytes, "WordEncoder"] = {}
+_kinds: list[np.ndarray] = []
+
+
+def _kind_table() -> np.ndarray:
+    if not _kinds:
+        kind = np.full(0x10001, _OTHER, np.uint8)
+        for i in range(0x3001):
+            if chr(i).isspace():
+                kind[i] = _SPACE
+        for low, high in ("AZ", "az", "ÀÖ", "Øö", "øÿ"):
+            kind[ord(low) : ord(high) + 1] = _LETTER
+        for low, high in ("!&", "(/", ":@", "[`", "{~"):
+            kind[ord(low) : ord(high) + 1] = _SIGN
+        _kinds.append(kind)
+    return _kinds[0]
+
+
+class PartTable:
+    """Hashes of parts to their numbers, from 0 in the order of coming: open addressing with linear probing, by whole arrays."""
+
+    def __init__(self) -> None:
+        self.bits, self.size = 16, 0
+        self.keys, self.numbers = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers, -1 where there is none."""
+        slot = self._slot(hashes)
+        out = self.numbers[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[slot] != hashes))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (1 << self.bits) - 1
+            out[left] = self.numbers[slot[left]]
+            left = left[(out[left] >= 0) & (self.keys[slot[left]] != hashes[left])]
+        return out
+
+    def _place(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        slot, left = self._slot(hashes), np.arange(len(hashes))
+        while len(left):
+            free = left[self.numbers[slot[left]] < 0]
+            self.numbers[slot[free]] = numbers[free]  # of several for one slot the last stays
+            won = self.numbers[slot[free]] == numbers[free]
+            self.keys[slot[free[won]]] = hashes[free[won]]
+            left = left[self.numbers[slot[left]] != numbers[left]]
+            slot[left] = (slot[left] + 1) & (1 << self.bits) - 1
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Distinct hashes that are not there yet."""
+        while 3 * (self.size + len(hashes)) > 1 << self.bits:
+            full = self.numbers >= 0
+            keys, numbers = self.keys[full], self.numbers[full]
+            self.bits += 1
+            self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            self._place(keys, numbers)
+        self._place(hashes, np.arange(self.size, self.size + len(hashes), dtype=np.int32))
+        self.size += len(hashes)
 
 
 class WordEncoder:
-    """A tokenizers file whose pieces never cross white space, with a memo of chunks between white space."""
+    """A tokenizers file whose pieces never cross white space, with a table of the ids of words (or their two parts) met before."""
 
     def __init__(self, file: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,72 +103,86 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(file)
         self.special = tuple(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.parts: dict[str, list[int]] = {}
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.final[i] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.table = PartTable()
         self.flat, self.ends, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_words(self, words: list[str]) -> list[list[int]]:
-        """Of words that are one piece each: encoded in lots as one text, and parted after the tokens that end a word."""
-        out: list[list[int]] = []
+    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end and the number of each, of words that are one piece each: encoded in lots as one text, and parted after
+        the tokens that end a word."""
+        flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(0, len(words), 2000):
             lot = words[k : k + 2000]
-            ids = np.array(self._ids([" ".join(lot)])[0])
-            cut = np.flatnonzero(self.final[ids]) + 1 if len(ids) else ids
-            flat, ends = ids.tolist(), cut.tolist()
-            out += [flat[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(lot) else self._ids(lot)
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks of letters and then signs take the ids of both parts, so that capitals and trailing signs cost no new call."""
-        both, others = [], []
-        for c in chunks:
-            if m := _LATIN(c):
-                both.append((m[1].lower(), m[2]))
-            else:
-                both.append((c, ""))
-                others.append(c)
-        if len(self.parts) > PARTS:
-            self.parts = {}
-        words = list(set(chain.from_iterable(both)).difference(self.parts, others, ("",)))
-        self.parts.update(zip(words, self._ids_of_words(words)))
-        self.parts.update(zip(others, self._ids(others)))
-        self.parts.setdefault("", [])
-        lists = [self.parts[a] + self.parts[b] for a, b in both]
-        n, begin = len(self.memo), self.size
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        while len(self.ends) < n + len(lists):
+            ids = np.array(self._ids([" ".join(lot)])[0], np.int64)
+            cut = np.flatnonzero(self.final[ids]) + 1
+            if len(cut) != len(lot):
+                each = self._ids(lot)
+                ids, cut = np.fromiter(chain.from_iterable(each), np.int64), np.cumsum([len(e) for e in each])
+            flat.append(ids)
+            sizes.append(np.diff(cut, prepend=0))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, begin, more = self.table.size, self.size, len(sizes)
+        while len(self.ends) < n + more:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(self.flat) < begin + lengths.sum():
+        while len(self.flat) < begin + len(flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.ends[n : n + len(lists)] = begin + np.cumsum(lengths)
-        self.size = begin + int(lengths.sum())
-        self.flat[begin : self.size] = np.fromiter(chain.from_iterable(lists), np.int32, self.size - begin)
-        self.memo.update(zip(chunks, range(n, n + len(chunks))))
+        self.table.add(hashes)
+        self.ends[n : n + more] = begin + np.cumsum(sizes)
+        self.size = begin + len(flat)
+        self.flat[begin : self.size] = flat
+
+    def _numbers(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, plain: bool) -> np.ndarray:
+        """The numbers of segments of the text, after learning the ids of new ones; plain: each is one piece."""
+        found = self.table.find(hashes)
+        if len(miss := np.flatnonzero(found < 0)):
+            new, first = np.unique(hashes[miss], return_index=True)
+            at = miss[first]
+            words = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            if plain:
+                flat, sizes = self._ids_of_words(words)
+            else:
+                each = self._ids(words)
+                flat, sizes = np.fromiter(chain.from_iterable(each), np.int64), np.array([len(e) for e in each])
+            self._learn(new, flat, sizes)
+            found[miss] = self.table.find(hashes[miss])
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
+        if self.table.size > MEMO:
             self._forget()
         whole = [i for i, t in enumerate(texts) if any(c in t for c in _ODD) or "<|" in t and any(s in t for s in self.special)]
-        split = [t.split() for t in texts]
-        for i in whole:
-            split[i] = []
-        if new := list(set().union(*split).difference(self.memo)):
-            self._learn(new)
-        which = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64)
-        ends = self.ends[which]
-        begins = np.where(which > 0, self.ends[which - 1], 0)
-        ids = self.flat[_ragged(begins, ends - begins)].astype("<u4")
-        at = np.concatenate([[0], np.cumsum(ends - begins)])[np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)]
-        out = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+        slab = Slab(["" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts)
+        text = "".join(slab.texts)
+        kind = _kind_table()[np.minimum(slab.codes, 0x10000)]
+        starts, ends, owner = slab.runs(kind != _SPACE)
+        letters = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+        signs = np.concatenate([[0], np.cumsum(kind == _SIGN)])
+        middle = starts + letters[ends] - letters[starts]
+        two = (middle + signs[ends] - signs[starts] == ends) & (letters[middle] - letters[starts] == middle - starts)
+        low = lowered(slab.codes)
+        # Two places a word: its letters and its signs, or the word as it stands and nothing.
+        number = np.full(2 * len(starts), -1, np.int64)
+        at = np.flatnonzero(two & (middle > starts))
+        number[2 * at] = self._numbers(text, starts[at], middle[at], slab.hash(starts[at], middle[at], low), True)
+        at = np.flatnonzero(two & (middle < ends))
+        number[2 * at + 1] = self._numbers(text, middle[at], ends[at], slab.hash(middle[at], ends[at]), True)
+        at = np.flatnonzero(~two)
+        number[2 * at] = self._numbers(text, starts[at], ends[at], slab.hash(starts[at], ends[at]) ^ np.uint64(1), False)
+        stop = np.where(number >= 0, self.ends[number], 0)
+        begin = np.where(number > 0, self.ends[number - 1], 0)
+        ids = self.flat[_ragged(begin, stop - begin)].astype("<u4")
+        upto = np.concatenate([[0], np.cumsum(stop - begin)])[2 * np.searchsorted(owner, np.arange(len(texts) + 1))]
+        out = [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
         for i in whole:
             out[i] = np.array(self._ids([texts[i]])[0], "<u4")
         return out
