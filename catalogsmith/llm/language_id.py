@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sparkio import keyed, mapped, row_field
+from .sparkio import keyed, mapped, with_row
 from .textkernel import Slab, lookup, lowered, slabs
 
 BUCKETS_BITS = 16
@@ -234,4 +234,4 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 columns = [part.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(switches), *part.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_switches", "row"][: len(columns)])
 
-    return mapped(keyed(df, id_col, text_col, keep), step, "doc_id long, lang_pred string, score double, n_switches long" + row_field(df, keep))
+    return mapped(keyed(df, id_col, text_col, keep), step, with_row("doc_id long, lang_pred string, score double, n_switches long", df, keep))

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .sparkio import keyed, mapped, row_field, written
+from .sparkio import keyed, mapped, with_row, written
 from .textkernel import Slab, lookup, lowered, repeated, slabs
 
 KINDS = ("email", "ip", "card", "phone")
@@ -235,7 +236,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
                 columns = [batch.column(0).slice(first, len(slab)), *(pa.array([o[i] for o in out], pa.string() if i in (4, 5, 7) else pa.int64()) for i in range(8)), *(c.slice(first, len(slab)) for c in batch.columns[4:])]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "clean", "row"][: len(columns)])
 
-    out = mapped(source, step, SPANS + row_field(df, with_text))
+    out = mapped(source, step, with_row(SPANS, df, with_text))
     return out if with_text else out.drop("clean")
 
 
@@ -275,6 +276,5 @@ def _joined_terms(source: DataFrame, terms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "own"])
 
     kept = source.columns[2:]
-    row = f", row {source.schema['row'].dataType.simpleString()}" if kept else ""
-    texts = mapped(source, digests, f"doc_id long, text string{row}, own long")
+    texts = mapped(source, digests, StructType([*source.schema.fields, StructField("own", LongType())]))
     return texts.join(by_text, "own", "left").select("doc_id", "text", "terms", "gone", *kept)
