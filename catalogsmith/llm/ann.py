@@ -26,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .sparkio import mapped, written
+from .sparkio import mapped, quoted, written
 
 
 @dataclass(frozen=True)
@@ -137,26 +138,34 @@ def share_to_visit(trees: list[Tree], sample: np.ndarray, k: int, forest: Forest
 
 def _unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
+    x = x / np.abs(x).max(1, initial=0, keepdims=True) if len(x) else x
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a fixed length from a binary column of float32."""
-    return np.stack([np.frombuffer(b, "<f4") for b in column.to_pylist()]) if len(column) else np.zeros((0, 1), np.float32)
+def _numbers(raw: bytes) -> np.ndarray:
+    """A vector from its bytes: one that tells the type (4: float32, 8: float64, as in the table), then the numbers."""
+    return np.frombuffer(raw, f"<f{raw[0]}", offset=1)
+
+
+def _matrix(rows: pa.Array | list[bytes]) -> np.ndarray:
+    """Rows of a fixed length from vectors' bytes."""
+    rows = rows if isinstance(rows, list) else rows.to_pylist()
+    return np.stack([_numbers(b) for b in rows]) if rows else np.zeros((0, 1), np.float32)
 
 
 def sound(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and raw (float32, little-endian) of the vectors that take part, each id once."""
+    """vec_id and raw (see _numbers) of the vectors that take part: as float32 if the table has floats, else as float64."""
     v = F.col("v")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
+    size = 4 if df.schema[vector_col].dataType == ArrayType(FloatType(), df.schema[vector_col].dataType.containsNull) else 8
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.col(quoted(vector_col)).cast("array<float>" if size == 4 else "array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(good)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            flat, bounds = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            raw = [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            flat, bounds = lists.flatten().to_numpy(zero_copy_only=False).astype(f"<f{size}"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            raw = [bytes([size]) + flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
     found = mapped(rows, step, "vec_id long, raw binary")
@@ -176,7 +185,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     count = texts.count()
     bound = F.lit(int((min(1.0, 1.1 * forest.sample / max(count, 1)) - 0.5) * 1.9999 * 2**63))
     rows = sorted((r.h, bytes(r.raw)) for r in texts.select("raw", F.xxhash64("key").alias("h")).where(F.col("h") <= bound).limit(2 * forest.sample).collect())
-    sample = np.stack([np.frombuffer(r[1], "<f4") for r in rows]) if rows else np.zeros((0, 1), np.float32)
+    sample = _matrix([r[1] for r in rows])
     sample = _unit(sample).astype(np.float32) if len(rows) else sample
     depth = max(0, int(np.ceil(np.log2(max(count, 1) / forest.leaf))))
     trees = [grow(sample, depth, np.random.default_rng(seed + t)) for t in range(forest.trees)]
@@ -220,13 +229,13 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     def rank(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(asking):
             return pd.DataFrame({"asked": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)})
-        x = _unit(np.stack([np.frombuffer(b, "<f4") for b in held["raw"]]))
+        x = _unit(_matrix(list(held["raw"])))
         order = np.argsort(held["vec_id"].to_numpy())
         x, ids, asked_ids, out_ids, nears = x[order], held["vec_id"].to_numpy()[order], [], [], []
         most = min(each, len(ids))
         for begin in range(0, len(asking), 512):
             some = asking.iloc[begin : begin + 512]
-            close = _unit(np.stack([np.frombuffer(b, "<f4") for b in some["raw"]])) @ x.T
+            close = _unit(_matrix(list(some["raw"]))) @ x.T
             best = np.argpartition(-close, most - 1, axis=1)[:, :most]
             least = np.take_along_axis(close, best, 1).min(1)
             for i in np.flatnonzero((close >= least[:, None]).sum(1) > most):  # a tie at the last place
@@ -272,6 +281,8 @@ def _exact(best: DataFrame, members: DataFrame, queries: DataFrame, texts: DataF
             if not batch.num_rows:
                 continue
             a, b = (_matrix(batch.column(i)).astype(np.float64) for i in (2, 3))
+            if max(np.abs(a).max(), np.abs(b).max()) > 1e100 or min(np.abs(a).max(1).min(), np.abs(b).max(1).min()) < 1e-100:
+                a, b = (x / np.abs(x).max(1, keepdims=True) for x in (a, b))  # their squares are beyond a double
             cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], names=["q_key", "c_key", "score"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sparkio import keyed, mapped, with_row
-from .textkernel import Slab, lookup, lowered, slabs
+from .textkernel import Slab, letters, lowered, slabs
 
 BUCKETS_BITS = 16
 CHAIN = 256
@@ -58,7 +58,7 @@ class Words:
     """The words of a slab (texts kept apart) and the buckets of their features."""
 
     def __init__(self, slab: Slab):
-        letter = lookup("letter", slab.codes, True)
+        letter = letters(slab.codes)
         low = np.where(letter, lowered(slab.codes), 0).astype(np.uint32)
         self.starts, self.ends, self.owner = slab.runs(letter)
         self.lengths = self.ends - self.starts

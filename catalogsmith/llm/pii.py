@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .sparkio import keyed, mapped, with_row, written
-from .textkernel import Slab, lookup, lowered, repeated, slabs
+from .textkernel import Slab, letters, lowered, repeated, slabs
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a value that count as its context.
@@ -100,13 +100,13 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 def _terms(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, text numbers and hashes of terms: words without signs at their ends, in lower case, of four letters or more."""
     starts, ends, owner = slab.words()
-    solid = lookup("letter", slab.codes, True) | (slab.codes - np.uint32(ord("0")) < 10)
-    for _ in range(4):
-        starts = starts + ((starts < ends) & ~solid[np.minimum(starts, len(solid) - 1)])
-        ends = ends - ((starts < ends) & ~solid[ends - 1])
-    letters = np.zeros(len(solid) + 1, np.int64)
-    np.cumsum(lookup("letter", slab.codes, True), out=letters[1:])
-    good = (letters[ends] - letters[starts]) >= 4
+    letter = letters(slab.codes)
+    solid = np.flatnonzero(letter | (slab.codes - np.uint32(ord("0")) < 10))
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = high > low
+    starts, ends, owner = solid[low[some]], solid[high[some] - 1] + 1, owner[some]
+    upto = np.concatenate([[0], np.cumsum(letter)])
+    good = (upto[ends] - upto[starts]) >= 4
     starts, ends, owner = starts[good], ends[good], owner[good]
     return starts, ends, owner, slab.hash(starts, ends, lowered(slab.codes)).view(np.int64)
 

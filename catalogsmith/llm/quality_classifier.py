@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .quality_rules import _base, _histograms, _shares
 from .sampling import labelled_texts
-from .sparkio import mapped, written
+from .sparkio import mapped, quoted, written
 from .textkernel import Slab, slabs
 
 
@@ -109,21 +110,21 @@ def site_keys(site: Column) -> tuple[Column, Column]:
 
 
 def document_evidence(df: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """df with __p (double) in front of its columns, by place: names may clash."""
+    """p (double) and row, a struct of all of df's columns, so that names may clash."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    place = df.columns.index(text_col)
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
+    schema = StructType([StructField("p", DoubleType()), StructField("row", StructType(df.schema.fields), False)])
+    rows = df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for first, slab in slabs(batch.column(place).to_pylist()):
+            for first, slab in slabs(batch.column(1).to_pylist()):
                 x, n = measures(slab)
                 z = np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights[:-1] + model.weights[-1]
                 p = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))) if model.informed else 1.0, 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(p), *batch.slice(first, len(slab)).columns], names=["p", *(f"c{i}" for i in range(batch.num_columns))])
+                yield pa.RecordBatch.from_arrays([pa.array(p), batch.column(0).slice(first, len(slab))], names=["p", "row"])
 
-    return mapped(df, step, "p double, " + fields).toDF("__p", *df.columns)
+    return mapped(rows, step, schema)
 
 
 def _strength(groups: DataFrame) -> Column:
@@ -138,7 +139,7 @@ def _strength(groups: DataFrame) -> Column:
 
 def site_posteriors(evidence: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
     """path_key and site (posterior mean) for every path; and the global prior. One grouped pass over documents."""
-    p = F.col("__p")
+    p = F.col("p")
     paths = written(evidence.select(host.alias("host"), path.alias("path_key"), p.alias("p")).where("host is not null").groupBy("host", "path_key").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
     hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q")))
     top = hosts.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.5)).alias("prior"), _strength(hosts).alias("k")).first()
@@ -153,14 +154,21 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def judged(df: DataFrame, model: Model, text_col: str = "text", site_col: str = "source", site_weight: float = 0.5, threshold: float = 0.35) -> DataFrame:
+    """row (a struct of df's columns, of any names), p_doc, p_site, quality_score and quality_kept."""
+    found = document_evidence(df, model, text_col)
+    host, path = site_keys(F.col("row").getField(site_col))
+    sites, prior = site_posteriors(found, host, path)
+    joined = found.withColumn("path", path).join(sites, F.col("path") == F.col("path_key"), "left")
+    site = F.coalesce(F.col("site"), F.lit(prior))
+    odds = _logit(F.col("p")) + site_weight * (_logit(site) - _logit(F.lit(prior)))
+    score = F.when(F.col("p") == 0, 0.0).otherwise(1 / (1 + F.exp(-odds)))
+    return joined.select("row", F.col("p").alias("p_doc"), site.alias("p_site"), score.alias("quality_score"), (score >= threshold).alias("quality_kept"))
+
+
 def classify(df: DataFrame, model: Model, text_col: str = "text", site_col: str = "source", site_weight: float = 0.5, threshold: float = 0.35) -> DataFrame:
-    """df's columns, then p_doc, p_site, quality_score and quality_kept."""
-    names = df.columns
-    keyed = document_evidence(df, model, text_col)
-    sites, prior = site_posteriors(keyed, *site_keys(F.col(f"`{site_col}`")))
-    placed = keyed.withColumn("__path", site_keys(F.col(f"`{site_col}`"))[1])
-    joined = placed.join(sites.withColumnsRenamed({"path_key": "__key", "site": "__site"}), F.col("__path") == F.col("__key"), "left")
-    site = F.coalesce(F.col("__site"), F.lit(prior))
-    odds = _logit(F.col("__p")) + site_weight * (_logit(site) - _logit(F.lit(prior)))
-    score = F.when(F.col("__p") == 0, 0.0).otherwise(1 / (1 + F.exp(-odds)))
-    return joined.select(*(F.col(f"`{c}`") for c in names), F.col("__p").alias("p_doc"), site.alias("p_site"), score.alias("quality_score"), (score >= threshold).alias("quality_kept"))
+    """df's columns, then p_doc, p_site, quality_score and quality_kept; a column of df that has one of these names gives way to
+    the new one (judged() keeps both)."""
+    new = ("p_doc", "p_site", "quality_score", "quality_kept")
+    found = judged(df, model, text_col, site_col, site_weight, threshold)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c not in new), *new)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,9 @@ from .packing import Packer
 from .quality_rules import judge
 from .sparkio import table
 
-#: The folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-#: Fixed value: the pattern that splits text before the merges of the rank files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The folder of the public tokenizers' files, and the pattern that splits text before the merges of the rank files.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+PATTERN = public_tokenizers.PATTERN
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Packer(spark, f"{TOKENIZERS}/word_bpe_49k.json").pack(table(spark, sf_dir, "documents"))
+    return Packer(spark, public_tokenizers.path("word_bpe_49k.json")).pack(table(spark, sf_dir, "documents"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tokenizer(spark, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN).digests(table(spark, sf_dir, "documents"))
+    return Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), PATTERN).digests(table(spark, sf_dir, "documents"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

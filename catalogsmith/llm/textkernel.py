@@ -55,13 +55,18 @@ def _letter_table() -> np.ndarray:
     return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x10000)])
 
 
+def _high_letter_table() -> np.ndarray:
+    """Beyond U+FFFF letters lie in planes 1 to 3 alone."""
+    return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x10000, 0x40000)])
+
+
 _tables: dict[str, np.ndarray] = {}
 
 
 def table(name: str) -> np.ndarray:
-    """Tables over the first 65,536 code points, built at first use in each worker."""
+    """Tables over the first 65,536 code points (and of letters beyond), built at first use in each worker."""
     if name not in _tables:
-        _tables[name] = {"lower": _lower_table, "letter": _letter_table}[name]()
+        _tables[name] = {"lower": _lower_table, "letter": _letter_table, "high letter": _high_letter_table}[name]()
     return _tables[name]
 
 
@@ -73,6 +78,16 @@ def lookup(name: str, codes: np.ndarray, beyond: int | bool) -> np.ndarray:
     return out
 
 
+def letters(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters, by Unicode category."""
+    out = table("letter")[np.minimum(codes, 0xFFFF)]
+    high = np.flatnonzero(codes > 0xFFFF)
+    if len(high):
+        beyond = codes[high] - np.uint32(0x10000)
+        out[high] = table("high letter")[np.minimum(beyond, 0x2FFFF)] & (beyond < 0x30000)
+    return out
+
+
 def lowered(codes: np.ndarray) -> np.ndarray:
     out = table("lower")[np.minimum(codes, 0xFFFF)]
     high = codes > 0xFFFF
