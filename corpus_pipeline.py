@@ -6,13 +6,13 @@ costs no more than tasks of one stage. All but the last return the columns of ``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalogsmith.llm import language_id, near_duplicates, pii, quality_classifier
 from catalogsmith.llm.packing import Packer
 from catalogsmith.llm.queries import TOKENIZERS
-from catalogsmith.llm.sparkio import table, written
+from catalogsmith.llm.sparkio import quoted, table, written
 
 #: A document stays if the language named for it has at least this mean probability over its words.
 LEAST_LANGUAGE = 0.5
@@ -21,7 +21,7 @@ LEAST_LANGUAGE = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the hierarchical classifier rejects."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.classify(docs, model).where("quality_kept").select(*docs.columns)
+    return quality_classifier.judged(docs, model).where("quality_kept").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +32,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near-duplicates the document of least id; rows without an id stay."""
+    """Keeps of each class of near-duplicates the document of least id; rows without an id stay. Of rows with one id the one of
+    least text stays (a null text before all)."""
     found = near_duplicates.classes(docs.where("doc_id is not null"))
-    first = found.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    first = written(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "pipeline-first")
+    kept = docs.join(first.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(first.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    one = repeated.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), place.alias("place")).where("place = 1").select("row.*")
+    return kept.select(*map(quoted, docs.columns)).unionByName(one).unionByName(docs.where("doc_id is null"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and what reveals it; n_chars follows the text."""
     clean = pii.sanitise(docs)
     others = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    return clean.select(*(others.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return clean.select(*(others.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
