@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import col, is_blank
+from ..functions.text import SEPARATOR_PATTERNS, SEPARATORS
+from ..schema import col, is_blank, ws_trim
 
 
 def best_per_group(df: DataFrame, group: str, score: str, least: bool = True) -> DataFrame:
@@ -77,3 +78,24 @@ def column_samples(df: DataFrame, order: str, columns: Sequence[str], n: int = 3
     cells = df.select(order, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns))).alias("x")).select(order, "x.*").where(~is_blank(F.col("value")))
     w = Window.partitionBy("column").orderBy(order)
     return cells.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).select("column", "pos", F.substring("value", 1, width).alias("value"))
+
+
+def detect_separator(df: DataFrame, column: str, order_by: str, patterns: Sequence[str] = ()) -> DataFrame:
+    """One row, type (literal, regex or unknown) and value: of the first non-blank value in the order of order_by, the first
+    candidate that parts it into two or more; patterns are tried after the known ones."""
+    value = ws_trim(col(column).cast("string"))
+    first = df.where(value != "").agg(F.min_by(col(column).cast("string"), col(order_by)).alias("v"))
+    parts = lambda by: F.size(F.filter(F.split("v", by), lambda x: ws_trim(x) != "")) > 1
+    found = [F.when(parts("\\Q" + s + "\\E"), F.struct(F.lit("literal").alias("type"), F.lit(s).alias("value"))) for s in SEPARATORS]
+    found += [F.when(parts(p), F.struct(F.lit("regex").alias("type"), F.lit(p).alias("value"))) for p in (*SEPARATOR_PATTERNS, *patterns)]
+    return first.select(F.coalesce(*found, F.struct(F.lit("unknown").alias("type"), F.lit("").alias("value"))).alias("x")).select("x.type", "x.value")
+
+
+def separator_shares(df: DataFrame, column: str, patterns: Sequence[str] = (), literal: float = 0.8, regex: float = 0.6) -> DataFrame:
+    """separator, type, share and chosen for all candidates in one pass over the non-blank values: the share that holds a literal,
+    or that a pattern parts; chosen where it is over literal or regex."""
+    value = col(column).cast("string")
+    kinds = [(s, "literal", value.contains(s), literal) for s in SEPARATORS] + [(p, "regex", F.size(F.filter(F.split(value, p), lambda x: ws_trim(x) != "")) > 1, regex) for p in patterns]
+    one = df.where(ws_trim(value) != "").agg(*(F.avg(on.cast("int")).alias(f"s{i}") for i, (_, _, on, _) in enumerate(kinds)))
+    rows = [F.struct(F.lit(s).alias("separator"), F.lit(kind).alias("type"), F.round(f"s{i}", 4).alias("share"), F.coalesce(F.col(f"s{i}") > least, F.lit(False)).alias("chosen")) for i, (s, kind, _, least) in enumerate(kinds)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

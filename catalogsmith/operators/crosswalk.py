@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import rewrite_separator, unescape_basic
+from ..functions.text import rewrite_separator, unescaped
 from ..schema import CRITICAL_FIELDS, GENERIC_FIELDS, col, is_blank, matches, parse_target, ws_trim
 
 
@@ -86,7 +86,7 @@ def combined(columns: Sequence[str], settings: Settings) -> Column:
     """One field of several: non-empty values, each with its separators rewritten, joined by the new separator."""
     sep = settings.replace_separator
     cells = [rewrite_separator(ws_trim(col(c).cast("string")), settings.original_separator, sep, settings.separator_regex) for c in columns]
-    return unescape_basic(F.concat_ws(sep, *(F.nullif(F.btrim(x, F.lit(sep)), F.lit("")) for x in cells)))
+    return unescaped(F.concat_ws(sep, *(F.nullif(F.btrim(x, F.lit(sep)), F.lit("")) for x in cells)))
 
 
 def compile_mapping(mapping: Mapping, columns: Sequence[str], crosswalk: Crosswalk) -> Column:

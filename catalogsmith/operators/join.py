@@ -119,8 +119,8 @@ def row_sync(source: DataFrame, generic: DataFrame, fields: dict[str, str]) -> D
 
 
 def merge_decisions(df: DataFrame, decisions: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Non-empty corrections by id."""
-    one = decisions.groupBy(col(key).alias("__key")).agg(*(F.first(F.nullif(col(f), F.lit("")), True).alias(f"d_{f}") for f in fields))
+    """Non-empty corrections by id; of several for one id and field the least, so that a rerun decides alike."""
+    one = decisions.groupBy(col(key).alias("__key")).agg(*(F.min(F.nullif(col(f), F.lit(""))).alias(f"d_{f}") for f in fields))
     joined = df.join(one, col(key) == F.col("__key"), "left")
     return joined.select(*(F.coalesce(F.col(f"d_{c}"), col(c)).alias(c) if c in fields else col(c) for c in df.columns))
 

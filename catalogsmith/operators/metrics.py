@@ -37,3 +37,58 @@ def never_grows(steps: list[tuple[str, DataFrame]]) -> DataFrame:
 def split_rate(column: Column, pattern: str) -> Column:
     """The share of values that a pattern parts into two or more: an aggregate."""
     return F.round(F.avg((F.size(F.filter(F.split(column, pattern), lambda x: x != "")) > 1).cast("int")), 4)
+
+
+def _share(df: DataFrame, on: Column, name: str) -> DataFrame:
+    """One row: the share of rows for which on holds; 1 for no rows."""
+    return df.agg(F.coalesce(F.round(F.avg(F.coalesce(on, F.lit(False)).cast("int")), 4), F.lit(1.0)).alias(name))
+
+
+def schema_adherence(proposed: DataFrame, fields: DataFrame) -> DataFrame:
+    """The share of non-empty targets (replace) that are fields of the schema (field)."""
+    rows = proposed.where(F.trim("replace") != "").join(fields.distinct(), F.col("replace") == F.col("field"), "left")
+    return _share(rows, F.col("field").isNotNull(), "schema_adherence")
+
+
+def target_conformance(proposed: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The share of target names whose base name is in the catalog (field, allow_lang), with a language only where it allows one."""
+    base = F.regexp_extract("replace", r"^([a-zA-Z0-9._-]+)(?:\[([a-zA-Z]{2})\])?$", 1)
+    lang = F.regexp_extract("replace", r"^([a-zA-Z0-9._-]+)(?:\[([a-zA-Z]{2})\])?$", 2)
+    rows = proposed.select(base.alias("base"), lang.alias("lang")).join(catalog, F.col("base") == F.col("field"), "left")
+    return _share(rows, F.col("field").isNotNull() & ((F.col("lang") == "") | F.col("allow_lang")), "target_conformance")
+
+
+def core_preservation(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The share of distinct sources (left) of one mapping that another still uses."""
+    old, new = before.select(F.col("left").alias("was")).distinct(), after.select(F.col("left").alias("still")).distinct()
+    return _share(old.join(new, F.col("was") == F.col("still"), "left"), F.col("still").isNotNull(), "core_preservation")
+
+
+def forbidden_absence(proposed: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """The share of forbidden names (field) that no mapping targets."""
+    used = proposed.select("replace").distinct()
+    return _share(forbidden.join(used, F.col("field") == F.col("replace"), "left"), F.col("replace").isNull(), "forbidden_absence")
+
+
+def cell_preservation(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The share of non-empty cells of some fields that a step left as they were; a lost row loses all its cells."""
+    old = before.select(F.col(key).alias("k"), F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.col(f).cast("string") for f in fields)))).alias("f", "v")).where("v <> ''")
+    new = after.select(F.col(key).alias("k2"), F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.col(f).cast("string") for f in fields)))).alias("f2", "v2"))
+    return _share(old.join(new, (F.col("k") == F.col("k2")) & (F.col("f") == F.col("f2")), "left"), F.col("v") == F.col("v2"), "cell_preservation")
+
+
+def agreement(df: DataFrame, expected: Column, actual: Column, name: str = "agreement") -> DataFrame:
+    """The share of cases in which what was done (a strategy, column, action or tool) is what was expected; two nulls agree."""
+    return _share(df, expected.eqNullSafe(actual), name)
+
+
+def calibration(df: DataFrame, confidence: Column, right: Column, bins: int = 10) -> DataFrame:
+    """bin, n, mean confidence and accuracy: whether a stated confidence (0 to 1) is kept."""
+    which = F.least(F.floor(confidence * bins), F.lit(bins - 1)).cast("int")
+    return df.groupBy(which.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(confidence), 4).alias("confidence"), F.round(F.avg(right.cast("int")), 4).alias("accuracy"))
+
+
+def token_exactness(values: DataFrame, column: str, pattern: str, expected: str) -> DataFrame:
+    """The share of values that a pattern parts into exactly the tokens listed in the array column expected."""
+    tokens = F.filter(F.transform(F.split(column, pattern), F.trim), lambda x: x != "")
+    return _share(values, tokens == F.col(expected), "token_exactness")

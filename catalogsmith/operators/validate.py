@@ -11,12 +11,16 @@ from ..schema import col, dense_numbers, find_column, is_blank, ws_trim
 
 #: Names by which a role is recognised: exact ones, and prefixes.
 ROLES = {
-    "title": (["title", "titulo", "título", "item title"], ["dc.title"]),
-    "doi": (["doi", "item doi"], ["dc.identifier.doi"]),
-    "id": (["id", "identifier", "uuid", "handle"], ["dc.identifier.uri"]),
+    "title": (["title", "dc.title", "titulo", "título", "item title", "item_title", "document title", "document_title", "article title", "article_title"], ["dc.title", "dcterms.title"]),
+    "doi": (["doi", "item doi", "item_doi", "dc.identifier.doi", "article doi", "article_doi", "document doi", "document_doi"], ["dc.identifier.doi"]),
+    "id": (
+        ["id", "handle", "uri", "url", "pmid", "dc.identifier.uri", "sedici.identifier.other", "identifier", "item id", "item_id", "document id", "document_id"],
+        ["dc.identifier.uri", "sedici.identifier.other"],
+    ),
 }
 HABITUAL = ("author", "date", "issn", "type")
-KEY_NAMES = ["id", "doc_id", "identifier", "uuid", "handle", "dc.identifier.uri", "url", "item_id"]
+#: Names of a key column, in the order in which they are tried.
+KEY_NAMES = ["id", "sedici.identifier.other", "dc.identifier.uri", "doi", "pmid", "handle", "url", "uri"]
 
 
 class InvalidInput(ValueError):
@@ -64,11 +68,12 @@ def check_repository(df: DataFrame) -> None:
 
 
 def resolve_key(columns: Sequence[str], mapped: str | None = None) -> str | None:
-    """The first existing part of the mapped key, else the first usual name."""
+    """The first existing part of the mapped key, else the first usual name that is there, in any case."""
     for part in (mapped or "").split("+"):
         if part.strip() in columns:
             return part.strip()
-    return find_column(columns, KEY_NAMES)
+    by_name = {c.lower(): c for c in columns}
+    return next((by_name[k] for k in KEY_NAMES if k in by_name), None)
 
 
 def integrity(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

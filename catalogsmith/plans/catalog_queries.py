@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, validate
-from ..schema import dense_numbers, ws_trim
+from ..schema import GENERIC_FIELDS, dense_numbers, ws_trim
 from .views import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +155,16 @@ add("p4_l2_documents", "embeddings documents", lambda e, d: retrieve.l2_document
 add("p5_format_hits", "works", lambda w: retrieve.format_hits(aggregate.top_k(w, "price", "work_id", 5), "work_id", "price").select("line"), "select printf('[%d] %.3f', work_id, price) as line from works order by price, work_id limit 5")
 
 # 2.T metrics
-add("t1_mapping_metrics", "mappings header", lambda m, h: metrics.mapping_metrics(m.select("left", "replace").where("pos < 7"), m.where("pos in (1, 2, 8)").select("left", "replace"), h, m.sparkSession.createDataFrame([(f,) for f in ("id", "title", "author", "date", "type")], "field string")), "select 0.7143 as header_fidelity, 0.8 as critical_coverage, 0.6667 as mapping_accuracy")
+add("t1_mapping_metrics", "mappings header", lambda m, h: metrics.mapping_metrics(m.select("left", "replace").where("pos < 7"), m.where("pos in (1, 2, 8)").select("left", "replace"), h, m.sparkSession.createDataFrame([(f,) for f in ("id", "title", "author", "date", "type")], "field string")), """+ p as (select "left", "replace" from mappings where pos < 7), parts as (select trim(unnest(string_split("left", '+'))) as part from p)
+select (select round(avg((part in (select "column" from header))::int), 4) from parts) as header_fidelity, (select round(avg((f in (select "replace" from p))::int), 4) from (values ('id'), ('title'), ('author'), ('date'), ('type')) as c(f)) as critical_coverage,
+  (select round(avg((exists (select 1 from p where p."left" = e."left" and p."replace" = e."replace"))::int), 4) from mappings e where pos in (1, 2, 8)) as mapping_accuracy""")
 add("t4_escalation_matrix", "records", lambda r: metrics.escalation_matrix(r, C("percent") < 50, C("percent") % 2 == 0), "select case when percent < 50 and percent % 2 = 0 then 'correct_escalation' when percent >= 50 and percent % 2 = 1 then 'correct_auto' when percent % 2 = 0 then 'over_caution' else 'missed_escalation' end as outcome, count(*) as n from records group by 1")
 add("t6_never_grows", "records", lambda r: metrics.never_grows([("all", r), ("some", r.where("percent < 50")), ("more", r.where("percent < 60"))]), "select 0 as step, 'all' as name, count(*) as rows, true as ok from records union all select 1, 'some', count(*), true from records where percent < 50 union all select 2, 'more', count(*), false from records where percent < 60")
+add("t1_schema_adherence", "mappings", lambda m: metrics.schema_adherence(m, m.sparkSession.createDataFrame([(f,) for f in GENERIC_FIELDS], "field string")), """select round(avg(("replace" in ('id', 'title', 'author', 'date', 'description', 'subject', 'type', 'subtitle', 'issn', 'doi', 'isbn', 'citation'))::int), 4) as schema_adherence from mappings where trim("replace") <> ''""")
+add("t2_token_exactness", "values_list", lambda v: metrics.token_exactness(v.withColumn("wanted", F.array("p_brand", "p_type", "p_brand")), "many", r"\|+", "wanted"), "select round(avg((p_partkey % 4 <> 0)::int), 4) as token_exactness from part")
+add("t3_target_conformance", "targets target_catalog", metrics.target_conformance, """select round(avg(coalesce(field is not null and (lang = '' or allow_lang), false)::int), 4) as target_conformance from (select regexp_extract("replace", '^([a-zA-Z0-9._-]+)(?:\\[([a-zA-Z]{2})\\])?$', 1) as base, regexp_extract("replace", '^([a-zA-Z0-9._-]+)(?:\\[([a-zA-Z]{2})\\])?$', 2) as lang from targets) left join target_catalog on base = field""")
+add("t3_core_preservation", "mappings targets", metrics.core_preservation, """select round(avg(("left" in (select "left" from targets))::int), 4) as core_preservation from (select distinct "left" from mappings)""")
+add("t3_forbidden_absence", "mappings target_catalog", lambda m, c: metrics.forbidden_absence(m, c.select("field").union(c.sparkSession.sql("select 'weird'"))), """select round(avg((f not in (select "replace" from mappings))::int), 4) as forbidden_absence from (select field as f from target_catalog union all select 'weird')""")
+add("t4_agreement", "records", lambda r: metrics.agreement(r, F.when(C("percent") < 40, "merge").otherwise("keep"), F.when(C("percent") < 30, "merge").otherwise("keep")), "select round(avg((percent < 30 or percent >= 40)::int), 4) as agreement from records")
+add("t4_calibration", "records", lambda r: metrics.calibration(r, C("percent") / 100, C("percent") % 3 == 0), "select cast(floor(percent / 10.0) as int) as bin, count(*) as n, round(avg(percent / 100.0), 4) as confidence, round(avg((percent % 3 = 0)::int), 4) as accuracy from records group by 1")
+add("t5_cell_preservation", "records", lambda r: metrics.cell_preservation(r, r.where("percent > 0").withColumn("title", F.upper("title")), "row_id", ["title", "doi"]), """select round(avg((percent > 0 and (f = 'doi' or v = upper(v)))::int), 4) as cell_preservation from (select percent, 'title' as f, title as v from records union all select percent, 'doi', doi from records) where v <> ''""")

@@ -23,7 +23,7 @@ select cast(o_orderkey as bigint) as row_id, 'rec' || {_KEY} as id,
   case when o_orderkey % 10 = 3 then '978-0-306-x' || cast(o_orderkey % 10 as string) else '' end as isbn,
   case o_orderkey % 4 when 0 then 'https://doi.org/10.1/' || cast(o_custkey as string) when 1 then 'DOI: 10.2/A' || {_KEY} when 2 then '' else '10.3/' || {_KEY} end as doi,
   case o_orderkey % 12 when 0 then 'Revista X, vol. 3' when 1 then 'Proc. 2011 Conf.' when 2 then 'None' else '' end as citation,
-  case o_orderkey % 6 when 0 then 'English' when 1 then 'spanish ' when 2 then 'POR' when 3 then 'FR' when 4 then 'Klingon' else '' end as language,
+  case o_orderkey % 6 when 0 then 'English' when 1 then 'spanish ' when 2 then 'POR' when 3 then 'FR' when 4 then 'Klingon' else case o_orderkey % 4 when 1 then 'ZH' when 3 then 'CA' else '' end end as language,
   case o_orderkey % 3 when 0 then '' when 1 then 'La Plata' else 'nan' end as place, case when o_orderkey % 2 = 0 then 'Quito' else '' end as affiliation,
   cast(o_custkey as bigint) as custkey, o_totalprice as price, cast(o_orderkey as bigint) % 100 as percent
 from {{orders}}""",
@@ -31,7 +31,7 @@ from {{orders}}""",
 select cast(doc_id as bigint) as row_id,
   case doc_id % 7 when 0 then 'E s t i m a r  T e x t u r a s e n' when 1 then 'di(cid:27)erent (cid:99) e(cid:14)cient (cid:32) text' when 2 then 'Pseudopseudohypoparathyroidismuslessness long' when 3 then 'bell' || chr(7) || ' rung' when 4 then '' else 'plain words in a row' end as title,
   case when doc_id % 5 = 0 then '' else 'Perez, Juan|Gomez, Ana' end as author, case when doc_id % 3 = 0 then '' else 'Articulo' end as type,
-  substr(text, 1, 3000) as description
+  text as description
 from {documents}""",
     "source_records": """
 select cast(doc_id as bigint) as row_id, 'd' || cast(doc_id as string) as id, lower(substr(regexp_replace(text, '[^A-Za-z ]', ''), 1, 60)) as title, lang || ', ' || source as author, cast(2000 + doc_id % 3 as string) as date, '' as doi
@@ -55,13 +55,9 @@ select * from (values ('dc.title', true), ('dc.creator', true), ('dc.date.issued
 }
 
 
-#: Views whose own SQL, which the checks read, cuts a text: the queries read the whole one.
-WHOLE = {"noisy": VIEWS["noisy"].replace("substr(text, 1, 3000) as description", "text as description")}
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables of a folder."""
-    sql = WHOLE.get(name, VIEWS[name]).replace('"left"', "`left`").replace('"replace"', "`replace`").replace('"column"', "`column`").replace("regexp_replace(text, '[^A-Za-z ]', '')", "regexp_replace(text, '[^A-Za-z ]', '')")
+    sql = VIEWS[name].replace('"left"', "`left`").replace('"replace"', "`replace`").replace('"column"', "`column`").replace("regexp_replace(text, '[^A-Za-z ]', '')", "regexp_replace(text, '[^A-Za-z ]', '')")
     used = re.findall(r"\{(\w+)\}", sql)
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}) if used else spark.sql(sql)
 

@@ -1,5 +1,7 @@
 """Each query with SQL against DuckDB, on the smallest tables."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -20,7 +22,7 @@ def duck(data):
 
 
 def plain(x):
-    return None if x is None or x != x else round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    return None if x is None or x != x else round(float(x), 4) if isinstance(x, (int, float, Decimal)) and not isinstance(x, bool) else str(x)
 
 
 @pytest.mark.parametrize("name", sorted(OWN))
