@@ -90,5 +90,5 @@ def calibration(df: DataFrame, confidence: Column, right: Column, bins: int = 10
 
 def token_exactness(values: DataFrame, column: str, pattern: str, expected: str) -> DataFrame:
     """The share of values that a pattern parts into exactly the tokens listed in the array column expected."""
-    tokens = F.filter(F.transform(F.split(column, pattern), F.trim), lambda x: x != "")
+    tokens = F.filter(F.transform(F.split(column, pattern), lambda x: F.trim(x)), lambda x: x != "")
     return _share(values, tokens == F.col(expected), "token_exactness")
