@@ -114,7 +114,7 @@ def apply(df: DataFrame, crosswalk: Crosswalk, keep: Iterable[str] = ()) -> Data
 
 
 def mapping_parts(mappings: DataFrame) -> DataFrame:
-    return mappings.select("pos", "left", "replace", F.explode(F.transform(F.split("left", r"\+"), F.trim)).alias("part")).where("part != ''")
+    return mappings.select("pos", "left", "replace", F.explode(F.transform(F.split("left", r"\+"), lambda x: F.trim(x))).alias("part")).where("part != ''")
 
 
 def guard_base(mappings: DataFrame, header: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import providers
 from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, validate
 from ..schema import GENERIC_FIELDS, dense_numbers, ws_trim
 from .views import ctes, view
@@ -168,3 +169,26 @@ add("t3_forbidden_absence", "mappings target_catalog", lambda m, c: metrics.forb
 add("t4_agreement", "records", lambda r: metrics.agreement(r, F.when(C("percent") < 40, "merge").otherwise("keep"), F.when(C("percent") < 30, "merge").otherwise("keep")), "select round(avg((percent < 30 or percent >= 40)::int), 4) as agreement from records")
 add("t4_calibration", "records", lambda r: metrics.calibration(r, C("percent") / 100, C("percent") % 3 == 0), "select cast(floor(percent / 10.0) as int) as bin, count(*) as n, round(avg(percent / 100.0), 4) as confidence, round(avg((percent % 3 = 0)::int), 4) as accuracy from records group by 1")
 add("t5_cell_preservation", "records", lambda r: metrics.cell_preservation(r, r.where("percent > 0").withColumn("title", F.upper("title")), "row_id", ["title", "doi"]), """select round(avg((percent > 0 and (f = 'doi' or v = upper(v)))::int), 4) as cell_preservation from (select percent, 'title' as f, title as v from records union all select percent, 'doi', doi from records) where v <> ''""")
+
+
+def _crossref(w: DataFrame) -> DataFrame:
+    """Works written as a DOI registry would, and read back."""
+    names = F.struct(C("publisher").alias("family"), C("kind").alias("given"))
+    work = F.struct(
+        F.array("title").alias("title"), F.array(names, names).alias("author"), F.struct(F.array(F.array("pages", F.lit(5))).alias("date-parts")).alias("published"), C("publisher"), C("kind").alias("type"), F.array("doi").alias("container-title")
+    )
+    return w.select("work_id", providers.crossref(F.to_json(work)).alias("x")).select("work_id", "x.*")
+
+
+add(
+    "l5_crossref",
+    "works",
+    _crossref,
+    "select work_id, title, publisher || ', ' || kind || ' || ' || publisher || ', ' || kind as authors, cast(pages as string) as year, publisher, '' as issn, kind as type, '' as abstract_en, doi as journal from works",
+)
+add(
+    "l5_openlibrary",
+    "works",
+    lambda w: w.select("work_id", providers.openlibrary(F.to_json(F.struct("title", C("kind").alias("subtitle"), F.array(F.struct(C("publisher").alias("name"))).alias("publishers"), F.concat(F.lit("May "), C("pages") + 1970).alias("publish_date"), C("pages").alias("number_of_pages")))).alias("x")).select("work_id", "x.title", "x.publisher", "x.year", "x.pages", "x.subjects", "x.type"),
+    "select work_id, title || ': ' || kind as title, publisher, cast(1970 + pages as string) as year, nullif(cast(pages as string), '0') as pages, '' as subjects, 'Libro' as type from works",
+)

@@ -35,7 +35,7 @@ def item_xml(columns: Sequence[str], schema: str, separator: str = "||") -> Colu
         if own != schema or "." not in name:
             continue
         attributes = f'element="{element}"' + (f' qualifier="{qualifier}"' if qualifier else "") + (f' language="{language}"' if language else "")
-        values = F.filter(F.transform(F.split(F.coalesce(col(name), F.lit("")), "\\Q" + separator + "\\E"), F.trim), lambda v: v != "")
+        values = F.filter(F.transform(F.split(F.coalesce(col(name), F.lit("")), "\\Q" + separator + "\\E"), lambda v: F.trim(v)), lambda v: v != "")
         lines.append(F.transform(values, _dcvalue(attributes)))
     head = "<dublin_core>" if schema == "dc" else f'<dublin_core schema="{schema}">'
     return F.array_join(F.concat(F.array(F.lit(head)), *lines, F.array(F.lit("</dublin_core>"))), "\n")
