@@ -41,15 +41,20 @@ def year_likeness(a: Column, b: Column) -> Column:
 
 def candidate_pairs(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
     """Pairs that share a block: an equal DOI or an equal folded title prefix. Each side is exploded to its few keys, so the
-    join is on equality; the pairs of two keys are made distinct. Both sides need id, title, author, date, doi."""
+    join is on equality; a pair that shares both counts in the lesser one, so that pairs need no shuffle to be made distinct
+    (repeated rows of a side go before). Both sides need id, title, author, date, doi."""
 
     def blocked(df: DataFrame, side: str) -> DataFrame:
         title = folded(col("title"))
         doi = F.when(~is_blank(col("doi")), F.concat(F.lit("d:"), F.lower(F.trim(col("doi")))))
         key = F.when(title != "", F.concat(F.lit("t:"), F.substring(title, 1, rules.prefix)))
-        return df.select(col("id").alias(f"{side}_id"), title.alias(f"{side}_title"), folded(col("author")).alias(f"{side}_author"), least_year(F.substring(col("date"), 1, 4)).alias(f"{side}_year"), F.explode(F.array_compact(F.array(doi, key))).alias("block"))
+        keys = F.array_sort(F.array_compact(F.array(doi, key))).alias(f"{side}_keys")
+        fields = (folded(col("author")).alias(f"{side}_author"), least_year(F.substring(col("date"), 1, 4)).alias(f"{side}_year"))
+        rows = df.select(col("id").alias(f"{side}_id"), title.alias(f"{side}_title"), *fields, keys).distinct()
+        return rows.withColumn("block", F.explode(f"{side}_keys"))
 
-    return blocked(repository, "r").join(blocked(source, "s"), "block").drop("block").distinct()
+    both = blocked(repository, "r").join(blocked(source, "s"), "block")
+    return both.where(F.col("block") == F.array_min(F.array_intersect("r_keys", "s_keys"))).drop("block", "r_keys", "s_keys")
 
 
 def duplicate_edges(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
