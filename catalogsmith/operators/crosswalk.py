@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import rewrite_separator, unescaped
+from ..functions.text import rewrite_separator, split_values, unescaped
 from ..schema import CRITICAL_FIELDS, GENERIC_FIELDS, col, is_blank, matches, parse_target, ws_trim
 
 
@@ -185,17 +185,25 @@ def fallback_mappings(columns: Sequence[str]) -> Crosswalk:
     return Crosswalk(tuple(Mapping(c, c.strip().lower()) for c in columns if c.strip().lower() in GENERIC_FIELDS))
 
 
-def smoke_test(df: DataFrame, crosswalk: Crosswalk, rows: int = 3, longest: int = 40) -> dict[str, list[str]]:
-    """On a few rows (a preview by design): critical fields without a mapping, and list fields that look unsplit."""
+def unsplit(df: DataFrame, columns: Sequence[str], separator: str = "|", longest: int = 40) -> DataFrame:
+    """df with a column unsplit: the list fields among these with a part of over longest characters and fewer than three parts."""
+    parts = {c: split_values(col(c), separator) for c in columns}
+    flags = (F.when(F.exists(v, lambda p: F.length(p) > longest) & (F.size(v) < 3), F.lit(c)) for c, v in parts.items())
+    return df.withColumn("unsplit", F.array_compact(F.array(*flags)) if parts else F.array().cast("array<string>"))
+
+
+def smoke_test(df: DataFrame, crosswalk: Crosswalk, rows: int = 3) -> dict[str, list[str]]:
+    """On a few rows (a preview by design): critical fields without a mapping (all, if no row comes out), and list fields that look
+    unsplit."""
     targets = {m.replace.strip().lower() for m in crosswalk.mappings}
-    out = {"missing": [f for f in CRITICAL_FIELDS if f not in targets], "unsplit": []}
     preview = apply(df.limit(rows), crosswalk)
-    for name in ("author", "subject"):
-        if name in preview.columns:
-            parts = F.split(col(name), "\\Q" + crosswalk.settings.replace_separator + "\\E")
-            if not preview.where(F.exists(parts, lambda p: F.length(p) > longest) & (F.size(parts) < 3)).isEmpty():
-                out["unsplit"].append(name)
-    return out
+    lists = [c for c in ("author", "subject") if c in preview.columns]
+    found = unsplit(preview, lists, crosswalk.settings.replace_separator).select("unsplit").collect()
+    return {"missing": [f for f in CRITICAL_FIELDS if f not in targets or not found], "unsplit": [c for c in lists if any(c in r.unsplit for r in found)]}
+
+
+def sound(check: dict[str, list[str]]) -> bool:
+    return not any(check.values())
 
 
 def target_name(name: str) -> str | None:

@@ -92,3 +92,8 @@ def token_exactness(values: DataFrame, column: str, pattern: str, expected: str)
     """The share of values that a pattern parts into exactly the tokens listed in the array column expected."""
     tokens = F.filter(F.transform(F.split(column, pattern), lambda x: F.trim(x)), lambda x: x != "")
     return _share(values, tokens == F.col(expected), "token_exactness")
+
+
+def tool_selection(expected: Column, forbidden: Column, used: Column) -> Column:
+    """Whether the tools used (arrays) are right: none where none is expected, else all the expected ones and no forbidden one."""
+    return F.when(F.size(expected) == 0, F.size(used) == 0).otherwise((F.size(F.array_except(expected, used)) == 0) & ~F.arrays_overlap(forbidden, used))

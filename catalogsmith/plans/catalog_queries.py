@@ -192,3 +192,10 @@ add(
     lambda w: w.select("work_id", providers.openlibrary(F.to_json(F.struct("title", C("kind").alias("subtitle"), F.array(F.struct(C("publisher").alias("name"))).alias("publishers"), F.concat(F.lit("May "), C("pages") + 1970).alias("publish_date"), C("pages").alias("number_of_pages")))).alias("x")).select("work_id", "x.title", "x.publisher", "x.year", "x.pages", "x.subjects", "x.type"),
     "select work_id, title || ': ' || kind as title, publisher, cast(1970 + pages as string) as year, nullif(cast(pages as string), '0') as pages, '' as subjects, 'Libro' as type from works",
 )
+_used = "case percent % 4 when 0 then array() when 1 then array('fix') when 2 then array('fix', 'look') else array('fix', 'look', 'drop') end"
+add(
+    "t5_tool_selection",
+    "records",
+    lambda r: r.select("row_id", metrics.tool_selection(F.expr("case when percent % 3 = 0 then array() else array('fix', 'look') end"), F.expr("array('drop')"), F.expr(_used)).alias("right")),
+    "select row_id, case when percent % 3 = 0 then percent % 4 = 0 else percent % 4 = 2 end as \"right\" from records",
+)

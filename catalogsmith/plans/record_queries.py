@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import aggregate, correct, enrich, metrics, profile, sanitize
+from ..operators import aggregate, correct, crosswalk, enrich, metrics, profile, sanitize
 from ..schema import CURATION_FIELDS, GENERIC_FIELDS, is_blank, ws_trim
 from ..sources import readers, writers
 from .views import ctes, view
@@ -202,6 +202,27 @@ add("h7_ordered_distinct", "values_list", lambda df: df.select("row_id", F.array
 add("b2_canonical_columns", "records", lambda df: correct.canonical_columns(df.select("id", "title", "place", C("price").alias("_internal"))), "select id, title, '' as author, '' as description, '' as date, '' as type, '' as subject, '' as issn, '' as isbn, '' as doi, '' as citation, '' as rights, '' as rightsurl, place from records")
 add("b3_union_keys", "records", lambda df: correct.union_of_keys([df.select("id", "title"), df.select("id", "place").where("percent < 5")]), "select id, title, '' as place from records union all select id, '', place from records where percent < 5")
 add("b4_dedup_export", "records", lambda df: readers.dedup_export(df.select("title", C("doi"), C("id").alias("identifier"), C("author").alias("creators"), C("date").alias("publicationDate")), "press"), "select 'press' as source, title, coalesce(nullif(trim(doi), ''), id) as id, array_to_string(list_transform(list_filter(list_transform(string_split(author, '|'), lambda x: trim(x)), lambda x: x <> ''), lambda x: x || ';'), ' ') as author, substr(date, 1, 4) as date from records")
+_LINE = """'"' || title || '",' || author || ',' || date || ',' || id"""
+add(
+    "a8_merge_surplus",
+    "records",
+    lambda df: df.select("row_id", readers.merge_surplus(F.expr(_LINE), 3).alias("cells")).select("row_id", F.size("cells").alias("fields"), F.get("cells", F.lit(0)).alias("head"), F.get("cells", F.lit(2)).alias("tail")),
+    "select row_id, least(len(p) + 1, 3)::int as fields, title || ',' || array_to_string(p[1:len(p) - 2], ',') as head, id as tail from (select row_id, title, id, string_split(author || ',' || date || ',' || id, ',') as p from records)",
+)
+add(
+    "b4_full_export",
+    "records",
+    lambda df: readers.full_export(
+        df.select(C("id").alias("identifier"), "title", "doi", C("date").alias("publicationDate"), F.split("author", r"\|").alias("keyword"), F.transform(F.split("author", r"\|"), lambda a: F.struct(a.alias("creator"))).alias("creators"), F.array(F.struct(C("doi").alias("value"))).alias("url"))
+    ),
+    "select id as identifier, title, doi, date as \"publicationDate\", '' as \"publicationName\", '' as publisher, '' as \"publicationType\", '' as openaccess, '' as subject, array_to_string(string_split(author, '|'), ' | ') as keyword, '' as abstract, array_to_string(list_transform(list_filter(list_transform(string_split(author, '|'), lambda x: trim(x)), lambda x: x <> ''), lambda x: x || ';'), ' ') as creators, doi as url from records",
+)
+add(
+    "c11_unsplit",
+    "records",
+    lambda df: crosswalk.unsplit(df.select("row_id", F.expr("author || case when percent < 30 then ' of a body with a rather long name' else '' end").alias("author"), C("title").alias("subject")), ["author", "subject"]).select("row_id", F.array_join("unsplit", ",").alias("unsplit")),
+    "select row_id, case when len(p) < 3 and len(list_filter(p, lambda x: length(x) > 40)) > 0 then 'author' else '' end as unsplit from (select row_id, list_filter(list_transform(string_split(author || case when percent < 30 then ' of a body with a rather long name' else '' end, '|'), lambda x: trim(x)), lambda x: x <> '') as p from records)",
+)
 add("a5_biased_head", "records", lambda df: aggregate.biased_head(df.select("id", "title", "author", "row_id"), "author", "row_id", least=30), "select id, title, author, row_id::string as row_id from records order by case when length(author) >= 30 then 0 else 1 end, records.row_id limit 5")
 add("a6_column_samples", "records", lambda df: aggregate.column_samples(df, "row_id", ["title", "doi"]), f"select * from (select 'title' as \"column\", row_number() over (order by row_id) as pos, substr(title, 1, 30) as value from records where not {blank('title')} union all select 'doi', row_number() over (order by row_id), substr(doi, 1, 30) from records where not {blank('doi')}) where pos <= 3")
 add(

@@ -65,6 +65,44 @@ def write_packages(files: DataFrame, spark_path: str) -> None:
     files.repartition(F.substring_index("path", "/", 1)).select("path", F.col("content").cast("binary").alias("content")).write.mode("overwrite").parquet(spark_path)
 
 
+def write_directories(files: DataFrame, uri: str) -> DataFrame:
+    """(item, files): writes every file of packages under its own path in a folder that all executors reach (an address of any
+    store that pyarrow knows, or a shared path). A rerun task writes the same files again, each whole or not at all."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                folder, _, name = f"{root}/{path}".rpartition("/")
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, f"{folder}/{name}")
+            yield pd.DataFrame({"item": frame["path"].str.split("/").str[0]})
+
+    done = files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(step, "item string")
+    return done.groupBy("item").agg(F.count("*").alias("files"))
+
+
+def write_archive(files: DataFrame, path: str) -> int:
+    """One deflated archive of all packages, with relative names, in order; its number of files. The importer takes a single file,
+    so the driver writes it, holding one partition's files at a time."""
+    number = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for row in files.select("path", F.col("content").cast("binary").alias("content")).orderBy("path").toLocalIterator():
+            z.writestr(zipfile.ZipInfo(row.path), bytes(row.content), zipfile.ZIP_DEFLATED)
+            number += 1
+    return number
+
+
 def zipped(files: DataFrame) -> DataFrame:
     """One deflated archive per item folder, as (path, content): built per folder, never for a whole export at once."""
     import pandas as pd
@@ -73,7 +111,7 @@ def zipped(files: DataFrame) -> DataFrame:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
             for path, content in sorted(zip(frame["path"], frame["content"])):
-                z.writestr(zipfile.ZipInfo(path), content)
+                z.writestr(zipfile.ZipInfo(path), content, zipfile.ZIP_DEFLATED)
         return pd.DataFrame({"path": [frame["path"].iloc[0].split("/")[0] + ".zip"], "content": [buffer.getvalue()]})
 
     return files.groupBy(F.substring_index("path", "/", 1).alias("folder")).applyInPandas(pack, "path string, content binary")
