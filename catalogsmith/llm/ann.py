@@ -7,11 +7,13 @@ they were passed over, and takes leaves in that order until these hold a share o
 reaches ``recall`` on the sample, measured there against brute force, so it follows the data: vectors with structure need few
 leaves, vectors close to random in many dimensions need many. Leaf and queries meet in one task, which ranks the leaf for
 each in double precision on the original vectors, so that near-equal vectors are told apart, and names its best, as many as
-asked for and one (the query itself); ties go to smaller ids.
+asked for and one (the query itself); ties go to smaller ids. The visits of a query are written as one row; a count of them by
+leaf then says into how many lots the queries of a leaf are dealt, so that no task meets more than about ``part`` vectors and
+``lot`` queries of a leaf, however many visit it.
 
 Equal vectors are indexed once, with their least ids, as many as a result can show; equal queries are searched once. So any
 number of copies costs nothing, and ties go to smaller ids. A leaf that holds more than ``part`` vectors is dealt to several
-tasks, and its queries to all of them. Vectors that are null, zero, of another length than most, or with null or non-finite
+tasks, and each lot of its queries to all of them. Vectors that are null, zero, of another length than most, or with null or non-finite
 components take no part. Fewer candidates than asked for: all of them. An empty table: no rows. Repeated ids are one vector.
 """
 
@@ -40,6 +42,9 @@ class Forest:
     recall: float = 0.97
     probes: int = 150
     part: int = 8192
+    lot: int = 8192
+    #: Visits of queries that a task holds before it passes them on.
+    held: int = 100_000
     #: Candidates of a query whose copies are looked up and ranked, as a multiple of the number asked for.
     rerank: int = 4
 
@@ -206,24 +211,31 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     for r in placed.groupBy("tree", "leaf").count().collect():  # a row per leaf: bounded by the sample
         sizes[r.tree][r.leaf] = r["count"]
     known = spark.sparkContext.broadcast(sizes)
-    part = forest.part
-    placed = mapped(placed, _dealt(known, part), "tree int, leaf int, part int, vec_id long, raw binary")
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(_matrix(batch.column(1))).astype(np.float32)
-            out: list[tuple] = []
-            for i, query in enumerate(x):
-                for t, leaf in search(shared.value, known.value, query, want):
-                    out += [(t, leaf, p, i) for p in range(-(-int(known.value[t][leaf]) // part))]
-            ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            columns = [pa.array([o[j] for o in out], pa.int32()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([ids[o[3]] for o in out], pa.int64()), pa.array([raw[o[3]] for o in out], pa.binary())], names=["tree", "leaf", "part", "asked", "raw"])
+            begin, found, held = 0, [], 0
+            for i, query in enumerate(x, 1):
+                found.append([{"tree": t, "leaf": leaf} for t, leaf in search(shared.value, known.value, query, want)])
+                held += len(found[-1])
+                if held >= forest.held or i == len(x):
+                    at = pa.array(found, pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(begin, i - begin) for c in batch.columns), at], names=["asked", "raw", "visits"])
+                    begin, found, held = i, [], 0
 
     asked = texts.join(queries.select("key").distinct(), "key", "left_semi").select("vec_id", "raw")
-    wanted = mapped(asked.repartition("vec_id"), visits, "tree int, leaf int, part int, asked long, raw binary")
+    searched = written(mapped(asked.repartition("vec_id"), visits, "asked long, raw binary, visits array<struct<tree: int, leaf: int>>"), "ann-visits")
+    visited = searched.select("asked", "raw", F.explode("visits").alias("at")).select("asked", "raw", "at.tree", "at.leaf")
+    # A row per visited leaf, so bounded by the sample as well.
+    dealt = [(r.tree, r.leaf, -(-int(sizes[r.tree][r.leaf]) // forest.part), -(-r["count"] // forest.lot)) for r in visited.groupBy("tree", "leaf").count().collect()]
+    leaf_parts = F.broadcast(spark.createDataFrame(dealt, "tree int, leaf int, parts int, lots int"))
+    placed = placed.join(leaf_parts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    wanted = visited.join(leaf_parts, ["tree", "leaf"]).withColumn("lot", F.pmod(F.xxhash64("asked"), "lots").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    by = ["tree", "leaf", "part", "lot"]
+    placed, wanted = placed.select(*by, "vec_id", "raw"), wanted.select(*by, "asked", "raw")
     take, each = (k + 1) * forest.rerank, k + 1
 
     def rank(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
@@ -247,7 +259,6 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
             nears.append(np.take_along_axis(close, best, 1).ravel())
         return pd.DataFrame({"asked": np.concatenate(asked_ids), "vec_id": np.concatenate(out_ids), "near": np.concatenate(nears)})
 
-    by = ["tree", "leaf", "part"]
     close = placed.groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(rank, "asked long, vec_id long, near double")
     # A vector may be named once by each tree; the limit on row_number applies within tasks before the shuffle.
     top = Window.partitionBy("asked").orderBy(F.desc("near"), "vec_id")
@@ -255,22 +266,6 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     return _exact(written(best, "ann-best"), members, queries, texts, k)
 
 
-def _dealt(known, part: int):
-    """Adds the part of a crowded leaf that a vector goes to."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tree, leaf, ids = (batch.column(i).to_numpy() for i in range(3))
-            size = np.zeros(len(ids), np.int64)
-            for t in np.unique(tree):
-                size[tree == t] = known.value[t][leaf[tree == t]]
-            parts = np.maximum(-(-size // part), 1)
-            mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((mixed.astype(np.int64) % parts).astype(np.int32)), batch.column(2), batch.column(3)], names=["tree", "leaf", "part", "vec_id", "raw"])
-
-    return step
-
-
 def _exact(best: DataFrame, members: DataFrame, queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Ranks each query's candidates, with the copies of each, by the cosine of the original vectors."""
     found = best.join(texts.select("vec_id", F.col("key").alias("c_key"), F.col("raw").alias("c_raw")), "vec_id").drop("vec_id")

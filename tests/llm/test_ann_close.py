@@ -1,5 +1,7 @@
 """Nearest neighbours among vectors that half precision cannot tell apart."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -59,3 +61,13 @@ def test_double_vectors(spark):
     assert recall(spark, x, 20, "double", leaf=64) >= 0.9
     huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [0.0, 1e-300])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in ann.nearest(huge).orderBy("rank").collect()] == [(1, 1.0), (2, 1e-300)]
+
+
+def test_lots_of_queries_lose_nothing(spark):
+    """Every vector is a query, and leaves are dealt to parts and lots far smaller than what visits them."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = ann.Forest(leaf=150, recall=1.0)
+    rows = [sorted(map(tuple, ann.nearest(df, every=1, forest=forest).collect())) for forest in (whole, replace(whole, part=40, lot=30, held=70))]
+    assert rows[0] == rows[1] and len(rows[0]) == 600 * 5
