@@ -7,7 +7,8 @@ a document's language is the one with the greatest mean probability over all its
 
 Training: at most ``Sample.documents`` labelled documents of at most ``Sample.chars`` code points, in equal shares for the
 (at most ``Sample.languages``) most frequent languages, chosen by a hash of their ids. Labels are of documents, so switches
-are learned from chains made of lines of two languages. Chains are cut after CHAIN words. The model has a fixed size.
+are learned from chains made of lines of two languages. A chain is a whole line, however long: its blocks of BLOCK words run
+side by side, with exact messages between them. The model has a fixed size.
 
 Null text or one without letters: ``und``, score 0. With no labelled document every text is ``und``. Repeated rows are
 repeated; an empty table gives an empty result; only id, text and label columns are read.
@@ -27,7 +28,7 @@ from .sparkio import keyed, mapped, with_row
 from .textkernel import Slab, letters, lowered, slabs
 
 BUCKETS_BITS = 16
-CHAIN = 256
+BLOCK = 256
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -91,39 +92,77 @@ class Words:
         weights[used] -= (rate * total / np.sqrt(squares[used] + 1e-6)).astype(np.float32)
 
 
-def chains_of(slab: Slab, words: Words, cut: int = CHAIN) -> np.ndarray:
-    """Where chains begin among the words (and the end): at a new text or line, or after cut words."""
+def chains_of(slab: Slab, words: Words) -> np.ndarray:
+    """Where chains begin among the words (and the end): at a new text or line."""
     n = len(words)
     if not n:
         return np.zeros(1, np.int64)
     line = np.concatenate([[0], np.cumsum(slab.codes == 10)])[words.starts]
     new = np.ones(n, bool)
     new[1:] = (line[1:] != line[:-1]) | (words.owner[1:] != words.owner[:-1])
-    begin = np.flatnonzero(new)
-    place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    return np.append(np.flatnonzero(place % cut == 0), n)
-
-
-def forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Each word's probabilities, for all chains side by side; with pairs, the expected transitions in total."""
+    return np.append(np.flatnonzero(new), n)
+
+
+def messages(emit: np.ndarray, bounds: np.ndarray, move: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts chains into blocks: their bounds, what enters each from the words before it, and what comes back to its last word
+    from those after it. A block of a longer chain acts on these as a matrix; all such are multiplied out side by side, word by
+    word, and then applied along each chain, block by block."""
+    labels = len(move)
+    blocks = -(-np.diff(bounds) // block)
+    first, total = np.cumsum(blocks) - blocks, int(blocks.sum())
+    number = np.arange(total) - np.repeat(first, blocks)
+    cuts = np.append(np.repeat(bounds[:-1], blocks) + number * block, bounds[-1])
+    enter, leave = np.ones((total, labels)), np.full((total, labels), 1.0 / labels)
+    parts = np.flatnonzero(np.repeat(blocks, blocks) > 1)
+    if not len(parts):
+        return cuts, enter, leave
+    lengths = np.diff(cuts)[parts]
+    order = np.argsort(-lengths, kind="stable")
+    parts, lengths = parts[order], lengths[order]
+    acts = np.where((number[parts] == 0)[:, None, None], np.eye(labels), move) * emit[cuts[parts]][:, None, :]
+    for t in range(1, block):
+        k = np.searchsorted(-lengths, -t, "left")  # blocks longer than t
+        now = (acts[:k] @ move) * emit[cuts[parts[:k]] + t][:, None, :]
+        acts[:k] = now / now.sum((1, 2), keepdims=True)
+    place = np.zeros(total, np.int64)
+    place[parts] = np.arange(len(parts))
+    order = np.argsort(-blocks, kind="stable")
+    heads, counts = first[order], blocks[order]
+    out = np.ones((len(heads), labels))
+    for j in range(1, int(counts[0])):
+        k = np.searchsorted(-counts, -j, "left")  # chains of more than j blocks
+        now = np.einsum("ij,ijk->ik", out[:k], acts[place[heads[:k] + j - 1]])
+        out[:k] = now / now.sum(1, keepdims=True)
+        enter[heads[:k] + j] = out[:k] @ move
+    for j in range(int(counts[0]) - 1, 0, -1):
+        at = heads[: np.searchsorted(-counts, -j, "left")] + j
+        now = np.einsum("ijk,ik->ij", acts[place[at]], leave[at])
+        leave[at - 1] = now / now.sum(1, keepdims=True)
+    return cuts, enter, leave
+
+
+def forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each word's probabilities, for all blocks of all chains side by side; with pairs, which needs whole chains, also the
+    expected transitions in total."""
     n, labels = scores.shape
     emit = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64) if n else scores
     move = np.exp(transitions - transitions.max())
-    lengths = np.diff(bounds)
+    cuts, enter, leave = messages(emit, bounds, move, max(n, 1) if pairs else block)
+    lengths = np.diff(cuts)
     order = np.argsort(-lengths, kind="stable")
-    begin, lengths = bounds[:-1][order], lengths[order]
+    begin, lengths, enter, leave = cuts[:-1][order], lengths[order], enter[order], leave[order]
     longest = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(longest), "left")  # chains longer than t
+    active = np.searchsorted(-lengths, -np.arange(longest), "left")  # blocks longer than t
     alpha, beta = np.empty((n, labels)), np.empty((n, labels))
     for t in range(longest):
         at = begin[: active[t]] + t
-        now = emit[at] if t == 0 else (alpha[at - 1] @ move) * emit[at]
+        now = enter * emit[at] if t == 0 else (alpha[at - 1] @ move) * emit[at]
         alpha[at] = now / now.sum(1, keepdims=True)
     expected = np.zeros((labels, labels)) if pairs else None
     for t in range(longest - 1, -1, -1):
         k = active[t + 1] if t + 1 < longest else 0
         at = begin[: active[t]] + t
-        back = np.full((len(at), labels), 1.0 / labels)
+        back = leave[: len(at)].copy()
         if k:
             ahead = emit[at[:k] + 1] * beta[at[:k] + 1]
             back[:k] = ahead @ move.T

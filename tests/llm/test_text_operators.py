@@ -154,6 +154,19 @@ def test_forward_backward_is_exact():
     assert np.allclose(got, marginal / total) and np.allclose(expected, pairs / total)
 
 
+def test_blocks_of_a_chain_change_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    bounds = np.array([0, 1, 8, 30, 32, 95, 100])
+    scores, move = 3 * rng.normal(size=(100, 4)), 2 * rng.normal(size=(4, 4))
+    whole, _ = language_id.forward_backward(scores, bounds, move, block=1000)
+    for block in (1, 2, 7, 31):
+        assert np.allclose(language_id.forward_backward(scores, bounds, move, block=block)[0], whole, atol=1e-12)
+    slab = language_id.Slab(["a b " * 400 + "\nc", "d"], apart=True)
+    assert language_id.chains_of(slab, language_id.Words(slab)).tolist() == [0, 800, 801, 802]
+
+
 def test_toxicity_tolerates_gaps(spark):
     filler = ["the report was long and clear", "a table of numbers for the city", "people walked home in the rain", "music and bread in the morning"]
     docs = [f"{filler[i % 4]} number {i} {'moron' if i % 3 == 0 and i % 2 else 'idiot' if i % 3 == 0 else 'river'} {filler[(i + 1) % 4]}" for i in range(150)]
