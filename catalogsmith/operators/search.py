@@ -49,9 +49,27 @@ def sorted_by(df: DataFrame, spec: str | None, tie: str) -> DataFrame:
     return df.orderBy(col(name).desc() if way == "desc" else col(name).asc(), tie)
 
 
-def search(df: DataFrame, key: str, query: str = "", columns: Sequence[str] = (), where: str = "", fields: Mapping[str, str] | None = None, select: Sequence[str] = (), sort: str | None = None, rows: int = 20, offset: int = 0, cap: int = 1000) -> DataFrame:
-    """A page of works: filters first (they reach the scan), then order, offset and limit."""
+def after_cursor(spec: str | None, tie: str, cursor: tuple) -> Column:
+    """Rows after the cursor, (value of the sorted field, key) of the last row of a page, in the order of sorted_by; without a
+    sort (key,). Nulls come first in ascending order and last in descending order."""
+    further = col(tie) > F.lit(cursor[-1])
+    if not spec:
+        return further
+    name, _, way = spec.partition(":")
+    c, value = col(name), cursor[0]
+    if value is None:
+        return c.isNull() & further if way == "desc" else c.isNotNull() | further
+    beyond = (c < F.lit(value)) | c.isNull() if way == "desc" else c > F.lit(value)
+    return beyond | ((c == F.lit(value)) & further)
+
+
+def search(df: DataFrame, key: str, query: str = "", columns: Sequence[str] = (), where: str = "", fields: Mapping[str, str] | None = None, select: Sequence[str] = (), sort: str | None = None, rows: int = 20, offset: int = 0, cap: int = 1000, scoped: Mapping[str, str] | None = None, cursor: tuple | None = None) -> DataFrame:
+    """A page of works: filters first (they reach the scan), then order, offset and limit. scoped holds texts for single columns
+    (an author's, a title's); a cursor (see after_cursor) goes on after a page without reading past rows again in order."""
     found = df.where(filters(where, fields or {c: c for c in df.columns}) & free_text(query, columns))
+    found = found.where(_and([free_text(text, [c]) for c, text in (scoped or {}).items()]))
+    if cursor is not None:
+        found = found.where(after_cursor(sort, key, cursor))
     page = sorted_by(found, sort, key).offset(offset).limit(min(rows, cap))
     return page.select(*select) if select else page
 
@@ -120,6 +138,18 @@ def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.where(col(key) == F.lit(value))
 
 
+def agency(works: DataFrame, doi: str, registrants: DataFrame) -> DataFrame:
+    """works with agency, by the DOI's prefix (up to the first slash) in registrants (prefix, agency; the least agency of
+    repeated prefixes); null for a prefix or DOI that is unknown."""
+    known = registrants.groupBy(F.col("prefix").alias("__prefix")).agg(F.min("agency").alias("agency"))
+    return works.join(known, F.substring_index(F.trim(col(doi)), "/", 1) == F.col("__prefix"), "left").drop("__prefix")
+
+
+def licenses(works: DataFrame, column: str) -> DataFrame:
+    """Each license and the number of works under it; works without one are left out."""
+    return works.where(col(column).isNotNull()).groupBy(col(column).alias("license")).agg(F.count("*").alias("works"))
+
+
 def prefixed(df: DataFrame, key: str, prefix: str) -> DataFrame:
     return df.where(col(key).startswith(prefix))
 
@@ -137,6 +167,13 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.select(*table.columns))
 
 
+def replace_archived(items: DataFrame, rows: DataFrame, key: str, archived: str) -> DataFrame:
+    """A new version in which rows (one a key) replace archived items wholly; rows of items not archived, or unknown, have no
+    effect."""
+    open_to = items.where(col(archived)).select(key)
+    return upsert(items, rows.join(open_to, key, "left_semi"), key)
+
+
 def bundles(items: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """The files of items, grouped by bundle."""
     return items.select(key).distinct().join(files, key)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers
-from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, validate
+from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, validate, workflow
 from ..schema import GENERIC_FIELDS, dense_numbers, ws_trim
 from .views import ctes, view
 
@@ -144,6 +144,43 @@ add("o16_upsert", "nation", lambda n: search.upsert(n, n.where("n_nationkey < 3"
 add("o16_bundles", "orders lineitem", lambda o, li: search.bundles(o.where("o_orderkey < 100").select(C("o_orderkey").alias("k")), li.select(C("l_orderkey").alias("k"), "l_returnflag"), "k").groupBy("k", "l_returnflag").agg(F.count("*").alias("n")), "select l_orderkey as k, l_returnflag, count(*) as n from lineitem where l_orderkey < 100 and l_orderkey in (select o_orderkey from orders) group by all")
 add("o17_persons", "customer", lambda c: search.lookup(c, "c_name", "Customer#000000007").select("c_custkey"), "select c_custkey from customer where c_name = 'Customer#000000007'")
 add("o18_workflow_status", "orders", lambda o: aggregate.page_of(o.where("o_orderstatus = 'P'"), ["o_orderdate", "o_orderkey"], 1, 20).select("o_orderkey"), "select o_orderkey from orders where o_orderstatus = 'P' order by o_orderdate, o_orderkey limit 20 offset 20")
+add("o2_agency", "works", lambda w: search.agency(w, "doi", w.sparkSession.createDataFrame([("10.1", "Alpha"), ("10.28", "Beta"), ("10.28", "Gamma")], "prefix string, agency string")).select("work_id", "agency"), "select work_id, case split_part(doi, '/', 1) when '10.1' then 'Alpha' when '10.28' then 'Beta' end as agency from works")
+add("o7_licenses", "works", lambda w: search.licenses(w, "kind"), "select kind as license, count(*) as works from works where kind is not null group by kind")
+add("o3_journals_search", "supplier", lambda s: search.search(s, "s_suppkey", "supplier 1", ["s_name"], sort="s_name:desc", rows=10, select=["s_suppkey", "s_name"]), "select s_suppkey, s_name from supplier where contains(lower(s_name), 'supplier') and contains(lower(s_name), '1') order by s_name desc, s_suppkey limit 10")
+add("o1_scoped_text", "works", lambda w: search.search(w, "work_id", scoped={"title": "a", "publisher": "brand#1"}, rows=50, select=["work_id"]), "select work_id from works where contains(lower(title), 'a') and contains(lower(publisher), 'brand#1') order by work_id limit 50")
+add("o1_cursor", "works", lambda w: search.search(w, "work_id", sort="pages:desc", cursor=(25, 40), rows=20, select=["work_id", "pages"]), "select work_id, pages from works where pages < 25 or pages = 25 and work_id > 40 order by pages desc, work_id limit 20")
+add("o16_update_archived", "nation", lambda n: search.replace_archived(n.withColumn("archived", C("n_regionkey") != 2), n.where("n_nationkey < 12").withColumn("n_name", F.lower("n_name")).withColumn("archived", F.lit(True)), "n_nationkey", "archived").select("n_nationkey", "n_name", "archived"), "select n_nationkey, case when n_nationkey < 12 and n_regionkey <> 2 then lower(n_name) else n_name end as n_name, n_regionkey <> 2 as archived from nation")
+
+
+def _o18_transitions(orders: DataFrame) -> DataFrame:
+    states, actions = F.array(*map(F.lit, ("workspace", "pool", "claimed"))), F.array(*map(F.lit, ("submit", "claim", "approve", "reject", "unclaim", "expunge", "return")))
+    items = orders.select(C("o_orderkey").alias("id"), F.get(states, (C("o_orderkey") % 3).cast("int")).alias("state"), (C("o_custkey") % 2 == 0).alias("reviewed"))
+    early = orders.select(C("o_orderkey").alias("id"), F.lit(1).alias("pos"), F.get(actions, (C("o_custkey") % 8).cast("int")).alias("action"))
+    late = orders.select(C("o_orderkey").alias("id"), F.lit(2).alias("pos"), F.lit("claim").alias("action")).where("id % 5 > 0")
+    return workflow.apply_actions(items, early.unionByName(late), reviewed="reviewed").drop("reviewed")
+
+
+_O18_SQL = """
+select id, case
+  when action = 'submit' and state = 'workspace' then case when reviewed then 'pool' else 'archived' end
+  when action = 'claim' and state = 'pool' then 'claimed'
+  when action = 'approve' and state = 'claimed' then 'archived'
+  when action = 'reject' and state = 'claimed' then 'workspace'
+  when action = 'unclaim' and state = 'claimed' then 'pool'
+  when action = 'expunge' and state <> 'workspace' then 'deleted'
+  when action = 'return' and state <> 'workspace' then 'workspace'
+  else state end as state,
+  case when action = '' then null
+  when action = 'submit' and state = 'workspace' or action = 'claim' and state = 'pool' then 'done'
+  when action in ('approve', 'reject', 'unclaim') and state = 'claimed' or action in ('expunge', 'return') and state <> 'workspace' then 'done'
+  else 'refused' end as outcome
+from (
+  select o_orderkey as id, case o_orderkey % 3 when 0 then 'workspace' when 1 then 'pool' else 'claimed' end as state, o_custkey % 2 = 0 as reviewed,
+    case o_custkey % 8 when 0 then 'submit' when 1 then 'claim' when 2 then 'approve' when 3 then 'reject' when 4 then 'unclaim' when 5 then 'expunge' when 6 then 'return'
+      else case when o_orderkey % 5 > 0 then 'claim' else '' end end as action
+  from orders)"""
+
+add("o18_transitions", "orders", _o18_transitions, _O18_SQL)
 
 # 2.P retrieval: the query is a fixed vector, so that both engines start alike.
 _q = [((i * 37) % 17 - 8) / 8.0 for i in range(64)]
