@@ -83,7 +83,7 @@ add("e5_below_threshold", "records", lambda r: join.below_threshold(r, r.select(
 add("f5_fill_blank", "records", lambda r: join.fill_blank(r.select("row_id", "id", "author", "type", "place"), r.select(C("row_id").alias("_row_id"), "id", C("title").alias("author"), C("language").alias("type")), "id", ["author", "type"], {"type": "place"}).select("row_id", "author", "type", "place"), "select row_id, " + ", ".join(f"case when coalesce({c}, '') in ('', 'nan', 'None') and {g} not in ('', 'nan', 'None') then {g} else {c} end as {c}" for c, g in (("author", "title"), ("type", "language"), ("place", "language"))) + " from records")
 add("f6_replay", "records", lambda r: join.replay(r.select("id", "title", "author"), r.where("percent < 20").select(C("row_id").alias("seq"), C("id").alias("row_id"), F.when(C("percent") % 2 == 0, "title").otherwise("author").alias("column"), F.upper("id").alias("cleaned")).unionByName(r.where("percent < 5").select((C("row_id") + 10**9).alias("seq"), C("id").alias("row_id"), F.lit("title").alias("column"), F.lit("last").alias("cleaned"))), "id", ["title", "author"]), "select id, case when percent < 5 then 'last' when percent < 20 and percent % 2 = 0 then upper(id) else title end as title, case when percent < 20 and percent % 2 = 1 then upper(id) else author end as author from records")
 add("f7_lookup", "records customer", lambda r, c: join.lookup_join(r.select("row_id", C("custkey").cast("string").alias("k")), "k", c.select(C("c_custkey").cast("string").alias("k"), "c_name"), ["c_name"]).select("row_id", "inferred_c_name"), "select row_id, c_name as inferred_c_name from records left join customer on custkey = c_custkey")
-add("f8_restore_order", "records", lambda r: r.where("percent < 3").unionByName(r.where("percent >= 97")).orderBy("row_id").select("row_id"), "select row_id from records where percent < 3 or percent >= 97")
+add("f8_restore_order", "records", lambda r: r.where("percent >= 50").unionByName(r.where("percent < 50")).orderBy("row_id").select("row_id"), "select row_id from records order by row_id")
 add("f9_merge_decisions", "records", lambda r: join.merge_decisions(r.select("id", "title", "type"), r.where("percent < 10").select("id", F.lit("decided").alias("title"), F.lit("").alias("type")), "id", ["title", "type"]), "select id, case when percent < 10 then 'decided' else title end as title, type from records")
 add("f10_row_sync", "records", lambda r: join.row_sync(r.select(C("row_id").alias("_row_id"), C("title").alias("Item Title")), r.where("percent < 50").select(C("row_id").alias("_row_id"), "id"), {"id": "Item Title"}), "select row_id as _row_id, case when percent < 50 then id else title end as \"Item Title\" from records")
 add("f11_prefilter", "records", lambda r: join.exact_matches(r.where("percent < 50").select("id", "doi", "title", "date"), r.where("percent >= 50").select("doi", "title", "date"), [["doi"], ["title", "date"]]).select("id"), "select id from records a where percent < 50 and (lower(trim(doi)) not in ('', 'nan', 'none') and exists (select 1 from records b where b.percent >= 50 and b.doi = a.doi) or lower(trim(title)) not in ('', 'nan', 'none') and lower(trim(date)) not in ('', 'nan', 'none') and exists (select 1 from records b where b.percent >= 50 and b.title = a.title and b.date = a.date))")
@@ -98,7 +98,7 @@ add("h2_fill_id", "records", lambda r: r.select("row_id", F.when(C("percent") %
 add("h3_item_folder", "records", lambda r: dense_numbers(r.select("row_id"), "row_id", "n").select("row_id", F.format_string("item_%03d", "n").alias("folder")), "select row_id, printf('item_%03d', row_number() over (order by row_id)) as folder from records")
 add("h4_first_per_key", "orders", lambda o: join.first_per_key(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey"), "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn from orders) where rn = 1")
 add("h6_zscore", "works", lambda w: aggregate.z_scores(w.select("work_id", "price"), "price").select("work_id", "z"), "select work_id, round((price - avg(price) over ()) / stddev_samp(price) over (), 4) as z from works")
-add("i1_original_order", "orders", lambda o: o.where("o_orderkey < 50").orderBy("o_orderkey").select("o_orderkey"), "select o_orderkey from orders where o_orderkey < 50 order by 1")
+add("i1_original_order", "orders", lambda o: o.orderBy("o_orderkey").select("o_orderkey"), "select o_orderkey from orders order by 1")
 add("i2_topk_threshold", "works", lambda w: aggregate.top_k(w, "price", "work_id", 2, limit=950.0).select("work_id", "price"), "select work_id, price from works where price <= 950 order by price, work_id limit 2")
 add("i3_candidates", "works", lambda w: aggregate.top_k(w, "price", "work_id", 15).select("work_id"), "select work_id from works order by price, work_id limit 15")
 add("i4_hits_desc", "works", lambda w: aggregate.top_k(w, "price", "work_id", 7, ascending=False).select("work_id", "price"), "select work_id, price from works order by price desc, work_id limit 7")
@@ -106,7 +106,7 @@ add("i5_first_rows", "records", lambda r: r.orderBy("row_id").limit(5).select("r
 add("i6_offset_page", "works", lambda w: aggregate.page_of(w, ["title", "work_id"], 3, 20).select("work_id"), "select work_id from works order by title, work_id limit 20 offset 60")
 add("i6_keyset_page", "works", lambda w: aggregate.keyset_page(w, "work_id", 100, 20).select("work_id"), "select work_id from works where work_id > 100 order by work_id limit 20")
 add("i7_capped_page", "works", lambda w: aggregate.page_of(w, ["work_id"], 0, 5000, cap=1000).agg(F.count("*").alias("n")), "select least(count(*), 1000) as n from works")
-add("j1_branch_union", "records", lambda r: r.where("percent < 10").select("id", "title").unionByName(r.where("percent > 90").select("id"), allowMissingColumns=True), "select id, title from records where percent < 10 union all select id, null from records where percent > 90")
+add("j1_branch_union", "records", lambda r: r.where("percent < 50").select("id", "title").unionByName(r.where("percent >= 50").select("id"), allowMissingColumns=True), "select id, title from records where percent < 50 union all select id, null from records where percent >= 50")
 add("j2_difference", "lineitem orders", lambda li, o: o.select(C("o_orderkey").alias("k")).exceptAll(li.select(C("l_orderkey").alias("k")).distinct()), "select o_orderkey as k from orders where o_orderkey not in (select l_orderkey from lineitem)")
 add("j2_intersection", "customer orders", lambda c, o: c.select(C("c_custkey").alias("k")).intersect(o.select(C("o_custkey").alias("k"))), "select c_custkey as k from customer intersect select o_custkey from orders")
 add("j3_key_union", "nation region", lambda n, r: n.select(C("n_name").alias("name"), C("n_regionkey").alias("parent")).unionByName(r.select(C("r_name").alias("name")), allowMissingColumns=True), "select n_name as name, n_regionkey as parent from nation union all select r_name, null from region")
@@ -141,7 +141,7 @@ add("o13_discovery", "works", lambda w: search.search(w.where(C("kind") == "ECON
 add("o14_collections", "nation", lambda n: n.orderBy("n_nationkey").limit(20).select("n_nationkey", "n_name"), "select n_nationkey, n_name from nation order by n_nationkey limit 20")
 add("o15_tree", "nation region", lambda n, r: search.children(n, "n_regionkey", 1).join(r, C("n_regionkey") == C("r_regionkey")).select("r_name", "n_name"), "select r_name, n_name from nation join region on n_regionkey = r_regionkey where n_regionkey = 1")
 add("o16_upsert", "nation", lambda n: search.upsert(n, n.where("n_nationkey < 3").withColumn("n_name", F.lower("n_name")), "n_nationkey"), "select n_nationkey, case when n_nationkey < 3 then lower(n_name) else n_name end as n_name, n_regionkey from nation")
-add("o16_bundles", "orders lineitem", lambda o, li: search.bundles(o.where("o_orderkey < 100").select(C("o_orderkey").alias("k")), li.select(C("l_orderkey").alias("k"), "l_returnflag"), "k").groupBy("k", "l_returnflag").agg(F.count("*").alias("n")), "select l_orderkey as k, l_returnflag, count(*) as n from lineitem where l_orderkey < 100 and l_orderkey in (select o_orderkey from orders) group by all")
+add("o16_bundles", "orders lineitem", lambda o, li: search.bundles(o.select(C("o_orderkey").alias("k")), li.select(C("l_orderkey").alias("k"), "l_returnflag"), "k").groupBy("k", "l_returnflag").agg(F.count("*").alias("n")), "select l_orderkey as k, l_returnflag, count(*) as n from lineitem where l_orderkey in (select o_orderkey from orders) group by all")
 add("o17_persons", "customer", lambda c: search.lookup(c, "c_name", "Customer#000000007").select("c_custkey"), "select c_custkey from customer where c_name = 'Customer#000000007'")
 add("o18_workflow_status", "orders", lambda o: aggregate.page_of(o.where("o_orderstatus = 'P'"), ["o_orderdate", "o_orderkey"], 1, 20).select("o_orderkey"), "select o_orderkey from orders where o_orderstatus = 'P' order by o_orderdate, o_orderkey limit 20 offset 20")
 add("o2_agency", "works", lambda w: search.agency(w, "doi", w.sparkSession.createDataFrame([("10.1", "Alpha"), ("10.28", "Beta"), ("10.28", "Gamma")], "prefix string, agency string")).select("work_id", "agency"), "select work_id, case split_part(doi, '/', 1) when '10.1' then 'Alpha' when '10.28' then 'Beta' end as agency from works")
