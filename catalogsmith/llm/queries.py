@@ -9,11 +9,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language_id, near_duplicates, pii, quality_classifier, toxicity
+from . import ann, chat, filter_audit, language_id, near_duplicates, pii, quality_classifier, token_index, toxicity, vector_codes
 from .byte_bpe import Tokenizer
 from .packing import Packer
 from .quality_rules import judge
-from .sparkio import table
+from .sparkio import deleted, shared_dir, table, written
 
 #: The folder of the public tokenizers' files, and the pattern that splits text before the merges of the rank files.
 TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
@@ -70,7 +70,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
 
+def op11_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, folder = token_index.digests(table(spark, sf_dir, "documents"), shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"))
+    out = written(found, "op11")
+    deleted(spark, folder)
+    return out
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    coded = vector_codes.with_label_errors(written(vector_codes.encode(vectors, books), "op12"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return coded.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_near_duplicates, op4_pii, op5_nearest_neighbours, op6_byte_bpe, op7_quality_classifier, op8_toxicity, op9_language_id, op10_chat)
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_near_duplicates, op4_pii, op5_nearest_neighbours, op6_byte_bpe, op7_quality_classifier, op8_toxicity, op9_language_id, op10_chat, op11_token_index, op12_vector_codes, op13_filter_audit)
 }
-ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_filter_audit": filter_audit.ORACLE}

@@ -47,9 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def removed(df: DataFrame) -> None:
     """Deletes a table that written() made and that no plan needs any more."""
     if path := getattr(df, "_written", None):
-        context = df.sparkSession.sparkContext
-        at = context._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(df.sparkSession, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mapped(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
