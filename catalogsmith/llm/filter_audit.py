@@ -35,7 +35,7 @@ from .sparkio import quoted, written
 FILTERS = "ABCDE"
 #: The bit of the fifth filter.
 COPY = 16
-#: Bytes of distinct texts that a task chains before it sends them on.
+#: Bytes of distinct texts that a task chains before it sends them on, and of text that a partition gets, about.
 LOT = 32 << 20
 
 
@@ -96,7 +96,8 @@ def _spread(doc_id: int | None, part: str) -> int:
 
 def masks(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", fingerprint=xxhash.xxh3_64_intdigest) -> DataFrame:
     """doc_id, part, mask and n: how many rows of this id and part fail these filters. Copies are told over the whole table."""
-    rows = df.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string"), F.coalesce(F.col(quoted(part_col)).cast("string"), F.lit(""))).rdd
+    columns = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), F.coalesce(F.col(quoted(part_col)).cast("string"), F.lit("")).alias("part"))
+    size = columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def local(rows: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
         chains = Chains()
@@ -139,9 +140,8 @@ def masks(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
                 yield doc_id, part, mask, n
 
     spark = df.sparkSession
-    # Splits follow the input's size, so partitions hold a bounded amount of text.
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
-    found = rows.mapPartitions(local).partitionBy(partitions, lambda key: key).mapPartitions(routed)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LOT))
+    found = columns.rdd.mapPartitions(local).partitionBy(partitions, lambda key: key).mapPartitions(routed)
     return spark.createDataFrame(found, "doc_id long, part string, mask int, n long")
 
 
