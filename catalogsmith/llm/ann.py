@@ -14,7 +14,9 @@ leaf then says into how many lots the queries of a leaf are dealt, so that no ta
 Equal vectors are indexed once, with their least ids, as many as a result can show; equal queries are searched once. So any
 number of copies costs nothing, and ties go to smaller ids. A leaf that holds more than ``part`` vectors is dealt to several
 tasks, and each lot of its queries to all of them. Vectors that are null, zero, of another length than most, or with null or non-finite
-components take no part. Fewer candidates than asked for: all of them. An empty table: no rows. Repeated ids are one vector.
+components take no part. Fewer candidates than asked for: all of them. An empty table: no rows. Repeated rows are one vector. An
+id with several vectors is each of them: as a query it gets one ranking of its nearest over all of them (another id counts once, with its best
+cosine), and it is never its own neighbour.
 """
 
 from __future__ import annotations
@@ -183,8 +185,9 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     spark = df.sparkSession
     vectors = sound(df, id_col, vector_col).withColumn("key", F.sha2("raw", 256).substr(1, 32))
     copies = Window.partitionBy("key").orderBy("vec_id")
-    # One more than asked for: a query may be among them. The limit on row_number applies before the shuffle, too.
-    members = written(vectors.select("key", "vec_id", "raw").withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1), "ann-members")
+    # One more than asked for: a query may be among them. The limit on row_number applies before the shuffle, too, and repeated
+    # rows are one before it (raw is a function of key).
+    members = written(vectors.groupBy("key", "vec_id").agg(F.first("raw").alias("raw")).withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1), "ann-members")
     queries = written(vectors.where(F.col("vec_id") % every == 0).select("key", F.col("vec_id").alias("query_id")).distinct(), "ann-queries")
     texts = members.where("place = 1").select("key", "vec_id", "raw")
     count = texts.count()
@@ -283,5 +286,6 @@ def _exact(best: DataFrame, members: DataFrame, queries: DataFrame, texts: DataF
 
     scored = mapped(pairs.select("q_key", "c_key", "q_raw", "c_raw"), score, "q_key string, c_key string, score double")
     full = scored.join(members.select(F.col("key").alias("c_key"), "vec_id"), "c_key").join(queries.withColumnRenamed("key", "q_key"), "q_key").where("vec_id != query_id")
+    full = full.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

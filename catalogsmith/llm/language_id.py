@@ -5,10 +5,10 @@ word, its boundaries included), its affixes and the word itself (the lexicon), a
 neighbouring words of a line. Forward-backward gives each word its probabilities, so a code-switched text gets its switches;
 a document's language is the one with the greatest mean probability over all its words, and that mean is the score.
 
-Training: at most ``Sample.documents`` labelled documents of at most ``Sample.chars`` code points, in equal shares for the
-(at most ``Sample.languages``) most frequent languages, chosen by a hash of their ids. Labels are of documents, so switches
-are learned from chains made of lines of two languages. A chain is a whole line, however long: its blocks of BLOCK words run
-side by side, with exact messages between them. The model has a fixed size.
+Training: about ``Sample.documents`` labelled documents of at most ``Sample.chars`` code points, in equal shares for all
+languages there are (at least ``Sample.least`` of each), chosen by a hash of id and text among distinct such pairs, so that
+repeated rows change nothing. Labels are of documents, so switches are learned from chains made of lines of two languages. A chain is a whole line, however long: its blocks of BLOCK words run
+side by side, with exact messages between them. The model has a fixed size: with many languages there are fewer buckets for each.
 
 Null text or one without letters: ``und``, score 0. With no labelled document every text is ``und``. Repeated rows are
 repeated; an empty table gives an empty result; only id, text and label columns are read.
@@ -21,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparkio import keyed, mapped, with_row
+from .sparkio import keyed, mapped, quoted, with_row
 from .textkernel import Slab, letters, lowered, slabs
 
-BUCKETS_BITS = 16
+#: Buckets of features, as a power of two; and weights that a model has at most, if that leaves 2**10 buckets.
+BUCKETS_BITS, WEIGHTS_BITS = 16, 22
 BLOCK = 256
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -36,14 +37,14 @@ _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 class Sample:
     documents: int = 1600
     chars: int = 20_000
-    languages: int = 40
+    least: int = 20
     chains: int = 12_000
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # 2**BUCKETS_BITS x languages
+    weights: np.ndarray  # buckets x languages
     transitions: np.ndarray  # from x to
 
 
@@ -74,17 +75,19 @@ class Words:
         return len(self.starts)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
+        """With fewer buckets than the features were given, these are folded."""
         if not len(self):
             return np.zeros((0, weights.shape[1]), np.float32)
-        total = np.add.reduceat(weights[self.grams[0]] + weights[self.grams[1]], self.first) / self.lengths[:, None].astype(np.float32)
+        fold = (1 << BUCKETS_BITS) // len(weights)
+        total = np.add.reduceat(weights[self.grams[0] // fold] + weights[self.grams[1] // fold], self.first) / self.lengths[:, None].astype(np.float32)
         for bucket in self.whole:
-            total = total + weights[bucket]
+            total = total + weights[bucket // fold]
         return total
 
     def learn(self, gradient: np.ndarray, weights: np.ndarray, squares: np.ndarray, rate: float) -> None:
         """An AdaGrad step of all weights that these words have."""
         per_char = np.repeat(gradient / self.lengths[:, None], self.lengths, axis=0)
-        buckets = np.concatenate([*self.grams, *self.whole])
+        buckets = np.concatenate([*self.grams, *self.whole]) // ((1 << BUCKETS_BITS) // len(weights))
         values = np.concatenate([per_char, per_char, gradient, gradient, gradient])
         used, at = np.unique(buckets, return_inverse=True)
         total = np.stack([np.bincount(at, values[:, k], len(used)) for k in range(values.shape[1])], 1)
@@ -182,7 +185,8 @@ def fit(texts: list[str], labels: list[str], chains: int = Sample.chains, epochs
     lines = [(line, names.index(label)) for text, label in zip(texts, labels) for line in text.split("\n") if line.strip()]
     if len(lines) > chains:
         lines = [lines[i] for i in rng.choice(len(lines), chains, replace=False)]
-    weights, squares = np.zeros((1 << BUCKETS_BITS, len(names)), np.float32), np.zeros((1 << BUCKETS_BITS, len(names)))
+    buckets = 1 << max(10, min(BUCKETS_BITS, WEIGHTS_BITS - (max(len(names), 1) - 1).bit_length()))
+    weights, squares = np.zeros((buckets, len(names)), np.float32), np.zeros((buckets, len(names)))
     move, move_squares = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)))
     for _ in range(epochs if len(names) > 1 else 0):
         shuffled = [lines[i] for i in rng.permutation(len(lines))]
@@ -211,29 +215,26 @@ def fit(texts: list[str], labels: list[str], chains: int = Sample.chains, epochs
 
 
 def labelled_sample(df: DataFrame, label: Column, text_col: str, id_col: str, sample: Sample) -> tuple[list[str], list[str]]:
-    """A bounded number of (text, label) rows, in equal shares for the labels, by a hash of the id and not by place."""
-    rows = df.select(F.col(text_col).cast("string").alias("text"), label.cast("string").alias("label"), F.xxhash64(F.col(id_col), F.length(text_col)).alias("h"))
+    """A bounded number of (text, label) rows, in equal shares for all labels, by a hash of id and text and not by place."""
+    text = F.col(quoted(text_col)).cast("string")
+    rows = df.select(text.alias("text"), label.cast("string").alias("label"), F.xxhash64(F.col(quoted(id_col)), text).alias("h"))
     rows = rows.where(F.col("label").isNotNull() & (F.length("text") > 0) & (F.length("text") <= sample.chars))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(sample.languages).collect()
+    counts = [(r.label, r["count"]) for r in rows.select("label", "h").distinct().groupBy("label").count().collect()]
     if not counts:
         return [], []
-    each = max(1, sample.documents // len(counts))
-    limit = F.lit(None).cast("long")
-    for c in counts:
-        share = min(1.0, 1.3 * each / c["count"])
-        limit = F.when(F.col("label") == c.label, F.lit(int((share - 0.5) * 1.9999 * 2**63))).otherwise(limit)
-    found = sorted((r.h, r.label, r.text) for r in rows.where(F.col("h") <= limit).limit(2 * sample.documents + 100).collect())
-    kept, seen = [], {}
-    for _, name, text in found:
-        seen[name] = seen.get(name, 0) + 1
-        if seen[name] <= each:
-            kept.append((text, name))
-    return [k[0] for k in kept], [k[1] for k in kept]
+    each = max(sample.least, sample.documents // len(counts))
+    limits = [(name, int((min(1.0, 1.3 * each / n) - 0.5) * 1.9999 * 2**63)) for name, n in counts]
+    known = F.broadcast(df.sparkSession.createDataFrame(limits, "name string, most long"))  # a row for each language
+    chosen = rows.join(known, (F.col("label") == F.col("name")) & (F.col("h") <= F.col("most")))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    one = chosen.groupBy("label", "h").agg(F.min("text").alias("text")).withColumn("place", place).where(F.col("place") <= each)
+    found = sorted((r.h, r.label, r.text) for r in one.collect())
+    return [f[2] for f in found], [f[1] for f in found]
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: Sample = Sample()) -> Model:
     """Learns from all rows given: leave out those that are to be held out."""
-    texts, labels = labelled_sample(df, F.col(lang_col), text_col, id_col, sample)
+    texts, labels = labelled_sample(df, F.col(quoted(lang_col)), text_col, id_col, sample)
     return fit(texts, labels, sample.chains)
 
 

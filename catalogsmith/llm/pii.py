@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .sparkio import keyed, mapped, with_row, written
+from .sparkio import keyed, mapped, quoted, with_row, written
 from .textkernel import Slab, letters, lowered, repeated, slabs
 
 KINDS = ("email", "ip", "card", "phone")
@@ -172,7 +172,7 @@ def _frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def revealing_terms(df: DataFrame, text_col: str = "text", limits: Disclosure = Disclosure()) -> DataFrame:
     """term (hash, long) and removed (boolean: disclosure at or over limits.remove)."""
-    texts = df.select(F.col(text_col).cast("string").alias("text"))
+    texts = df.select(F.col(quoted(text_col)).cast("string").alias("text"))
     found = written(mapped(texts, _evidence, "value long, term long, text long"), "pii-evidence")
     documents = found.where("value is null").select("text").distinct().count()
     evidence = found.where("value is not null")

@@ -166,6 +166,24 @@ def judged(df: DataFrame, model: Model, text_col: str = "text", site_col: str =
     return joined.select("row", F.col("p").alias("p_doc"), site.alias("p_site"), score.alias("quality_score"), (score >= threshold).alias("quality_kept"))
 
 
+def kept(df: DataFrame, model: Model, text_col: str = "text", site_col: str = "source", site_weight: float = 0.5, threshold: float = 0.35) -> DataFrame:
+    """The rows of df that judged() keeps. Most documents are kept, or not, whatever their site's posterior may be: only the others
+    are joined to their site, so that most texts stay where they are and a hot path sends but its doubtful ones."""
+    found = document_evidence(df, model, text_col).where("p > 0")
+    host, path = site_keys(F.col("row").getField(site_col))
+    sites, prior = site_posteriors(document_evidence(df, model, text_col), host, path)
+    ends = sites.agg(F.least(F.min("site"), F.lit(prior)).alias("low"), F.greatest(F.max("site"), F.lit(prior)).alias("high")).first()
+    odds = lambda site: _logit(F.col("p")) + site_weight * (_logit(site) - _logit(F.lit(prior)))
+    cut = float(np.log(threshold / (1 - threshold)))
+    low, high = odds(F.lit(prior if ends.low is None else ends.low)), odds(F.lit(prior if ends.high is None else ends.high))
+    if site_weight < 0:
+        low, high = high, low
+    sure, open_ = low > cut + 1e-9, (low <= cut + 1e-9) & (high >= cut - 1e-9)
+    joined = found.where(open_).withColumn("path", path).join(sites, F.col("path") == F.col("path_key"), "left")
+    score = 1 / (1 + F.exp(-odds(F.coalesce(F.col("site"), F.lit(prior)))))
+    return found.where(sure).select("row.*").union(joined.where(score >= threshold).select("row.*"))
+
+
 def classify(df: DataFrame, model: Model, text_col: str = "text", site_col: str = "source", site_weight: float = 0.5, threshold: float = 0.35) -> DataFrame:
     """df's columns, then p_doc, p_site, quality_score and quality_kept; a column of df that has one of these names gives way to
     the new one (judged() keeps both)."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparkio import mapped
+from .sparkio import keyed, mapped, quoted
 from .textkernel import Slab, lookup, lowered, repeated, slabs, windows
 
 #: Frequent function words of each reference language.
@@ -122,7 +122,7 @@ def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "
                     n[k] += mine.sum()
         yield pa.RecordBatch.from_pydict({"lang": pa.array(range(len(LANGUAGES)), pa.int32()), "n": pa.array(n), "total": pa.array(total.tolist(), pa.list_(pa.float64()))})
 
-    parts = mapped(df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), sums, "lang int, n long, total array<double>")
+    parts = mapped(df.select(F.col(quoted(text_col)).cast("string").alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang")), sums, "lang int, n long, total array<double>")
     added = parts.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(size)))
     found = {}
     for row in added.collect():
@@ -191,4 +191,4 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     names=["doc_id", *out, "base_failed", "kept", "js_chars", "js_words", "nearest_lang"],
                 )
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), step, SCHEMA)
+    return mapped(keyed(df, id_col, text_col), step, SCHEMA)

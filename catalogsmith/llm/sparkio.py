@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not (set_to := context._jsc.sc().getCheckpointDir()).isEmpty():
         return set_to.get()
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = f"{tempfile.gettempdir()}/checkpoints"
     spark.conf.set("spark.checkpoint.dir", folder)

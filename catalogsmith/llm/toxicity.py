@@ -61,25 +61,26 @@ class Model:
 
 
 def _symbols() -> np.ndarray:
+    """Of all code points up to the third plane. Styled and accented letters are those that they decompose to; letters of other
+    scripts are dealt over all symbols, so that different words of theirs look different."""
     if "symbols" not in _tables:
-        kind = np.full(0x10000, SKIP, np.uint8)
-        for i in range(0x10000):
+        kind = np.full(0x40000, SKIP, np.uint8)
+        for i in range(0x40000):
             c = chr(i)
             if c in " \t\n\v\f\r\x85\xa0  　":
                 kind[i] = SPACE
             elif c in DIGITS:
                 kind[i] = ord(DIGITS[c]) - 96
             elif unicodedata.category(c)[0] == "L":
-                base = unicodedata.normalize("NFD", c)[0].lower()
-                kind[i] = ord(base) - 96 if "a" <= base <= "z" else 27 + i % 5
+                base = unicodedata.normalize("NFKD", c)[0].lower()
+                kind[i] = ord(base) - 96 if "a" <= base <= "z" else 1 + (i * 0x9E3779B1 >> 7) % 31
         _tables["symbols"] = kind
     return _tables["symbols"]
 
 
 def read_words(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The stream of symbols, two zeros before each word and at the end; where words start in it, their lengths and texts."""
-    kind = _symbols()[np.minimum(slab.codes, 0xFFFF)]
-    kind = np.where((slab.codes > 0xFFFF), SKIP, kind)
+    kind = _symbols()[np.minimum(slab.codes, 0x3FFFF)]
     at = np.flatnonzero(kind != SKIP)
     kind = kind[at]
     solid = kind != SPACE
@@ -186,7 +187,7 @@ def _documents(texts: list[str]) -> list[list[bytes]]:
         found: list[set[bytes]] = [set() for _ in range(len(slab))]
         for a, n, o in zip(first.tolist(), sizes.tolist(), owner.tolist()):
             if n > 1:
-                found[o].add(raw[a : a + min(n, 40)])
+                found[o].add(raw[a : a + n])
         out += [sorted(f) for f in found]
     return out
 

@@ -113,4 +113,4 @@ def test_pipeline(spark, data):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(queries.ORACLES) <= set(queries.QUERIES)
