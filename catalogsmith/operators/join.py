@@ -15,12 +15,17 @@ from ..schema import col, is_blank, is_empty_cell, ws_trim
 
 @dataclass(frozen=True)
 class DedupRules:
-    """Weights of the parts of a score of 0 to 100; the length of the title prefix that blocks by; and its two thresholds."""
+    """Weights of the parts of a score of 0 to 100; when two titles are alike: by the shares of their words that they have in
+    common (Jaccard), or, of titles of up to short letters, by edits; how many titles may have a word before it is crowded; and
+    the two thresholds of a decision."""
 
     title: float = 0.6
     author: float = 0.3
     date: float = 0.1
-    prefix: int = 24
+    words: float = 0.6
+    edits: float = 0.9
+    short: int = 40
+    crowd: int = 1000
     review: float = 10.0
     duplicate: float = 30.0
 
@@ -39,28 +44,101 @@ def year_likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.abs(a - b) <= 1, 0.5).when(a.isNotNull() & b.isNotNull(), 0.0)
 
 
-def candidate_pairs(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
-    """Pairs that share a block: an equal DOI or an equal folded title prefix. Each side is exploded to its few keys, so the
-    join is on equality; a pair that shares both counts in the lesser one, so that pairs need no shuffle to be made distinct
-    (repeated rows of a side go before). Both sides need id, title, author, date, doi."""
+def _word_signatures(titles: DataFrame, frequency: DataFrame, rules: DedupRules) -> DataFrame:
+    """(sig, tid, n): what a title can share with any that is alike by words. In the order of rarity, two such titles share one of
+    the first n - ceil(words * n) + 1 words of each; and, unless they are equal, two of one word more. So a word that is not
+    crowded is a signature by itself, and crowded ones are signatures in pairs."""
+    words = titles.select("tid", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
+    ranked = words.join(frequency, "word").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w")).withColumn("n", F.size("w"))
+    prefix = F.col("n") - F.ceil(F.lit(rules.words) * F.col("n") - 1e-9).cast("int") + 1
+    rare = F.transform(F.filter(F.slice("w", 1, prefix), lambda x: x["df"] <= rules.crowd), lambda x: F.xxhash64(x["word"]))
+    common = F.filter(F.slice("w", 1, prefix + 1), lambda x: x["df"] > rules.crowd)
+    pairs = F.flatten(F.transform(common, lambda x, i: F.transform(F.slice(common, i + 2, F.size(common)), lambda y: F.xxhash64(x["word"], y["word"]))))
+    return ranked.select(F.explode(F.array_union(rare, pairs)).alias("sig"), "tid", "n")
+
+
+def _segments(n: Column, rules: DedupRules) -> tuple[Column, Column]:
+    """For titles of n letters: how many edits may part them from one that is alike, and the numbers of that many segments and one
+    more; one segment at least is the same in both."""
+    most = F.floor(F.lit(1 - rules.edits) * F.floor(n / rules.edits + 1e-9) + 1e-9).cast("int")
+    return most, F.sequence(F.lit(0), most)
+
+
+def _segment(n: Column, most: Column, i: Column) -> tuple[Column, Column]:
+    """Start and length of segment i: of like length, the longer ones last."""
+    base, longer = F.floor(n / (most + 1)).cast("int"), n % (most + 1)
+    first_longer = most + 1 - longer
+    return i * base + F.greatest(i - first_longer, F.lit(0)), base + (i >= first_longer).cast("int")
+
+
+def _edit_pairs(left: DataFrame, right: DataFrame, rules: DedupRules) -> DataFrame:
+    """(a, b) of short titles that share a segment of a at a place of b that the edits before and after it allow."""
+    left, right = (t.where(F.length("title").between(1, rules.short)).withColumn("n", F.length("title")) for t in (left, right))
+    most, numbers = _segments(F.col("n"), rules)
+    cut = left.withColumn("most", most).withColumn("i", F.explode(numbers))
+    start, size = _segment(F.col("n"), F.col("most"), F.col("i"))
+    index = cut.select(F.xxhash64("n", "i", F.col("title").substr(start + 1, size)).alias("sig"), F.col("tid").alias("a"))
+    lengths = F.sequence(F.ceil(rules.edits * F.col("own") - 1e-9).cast("int"), F.floor(F.col("own") / rules.edits + 1e-9).cast("int"))
+    probes = right.withColumnRenamed("n", "own").withColumn("n", F.explode(lengths)).withColumn("most", most).withColumn("i", F.explode(numbers))
+    delta = F.col("own") - F.col("n")
+    low = F.greatest(-F.col("i"), delta - (F.col("most") - F.col("i")))
+    high = F.least(F.col("i"), delta + (F.col("most") - F.col("i")))
+    probes = probes.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("shift", F.explode(F.sequence("low", "high")))
+    place = start + F.col("shift")
+    probes = probes.where((place >= 0) & (place + size <= F.col("own")))
+    return index.join(probes.select(F.xxhash64("n", "i", F.col("title").substr(place + 1, size)).alias("sig"), F.col("tid").alias("b")), "sig").select("a", "b")
+
+
+def alike(a: Column, b: Column, rules: DedupRules = DedupRules()) -> Column:
+    """Whether two folded titles are."""
+    words, others = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    both = F.size(F.array_intersect(words, others))
+    by_words = both >= rules.words * (F.size(words) + F.size(others) - both) - 1e-9
+    short = (F.length(a) <= rules.short) & (F.length(b) <= rules.short)
+    return F.coalesce((a != "") & (b != "") & (by_words | (short & (likeness(a, b) >= rules.edits - 1e-9))), F.lit(False))
+
+
+def alike_titles(left: DataFrame, right: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
+    """All pairs of distinct titles (tid, title) of two tables that are alike: a, b and near, their likeness. Signatures are joined
+    by numbers alone; titles are fetched for the pairs that share one, each pair once."""
+    words = left.select("title").union(right.select("title")).distinct().select(F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
+    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
+    one, other = (_word_signatures(t, frequency, rules) for t in (left, right))
+    one, other = one.withColumnRenamed("tid", "a").withColumnRenamed("n", "na"), other.withColumnRenamed("tid", "b").withColumnRenamed("n", "nb")
+    sized = (F.col("nb") >= rules.words * F.col("na") - 1e-9) & (F.col("na") >= rules.words * F.col("nb") - 1e-9)
+    by_words = one.join(other, "sig").where(sized).select("a", "b")
+    equal = left.select(F.col("tid").alias("a"), "title").join(right.select(F.col("tid").alias("b"), "title"), "title").select("a", "b")
+    pairs = by_words.union(equal).union(_edit_pairs(left, right, rules)).distinct()
+    held = pairs.join(left.select(F.col("tid").alias("a"), F.col("title").alias("ta")), "a").join(right.select(F.col("tid").alias("b"), F.col("title").alias("tb")), "b")
+    return held.where(alike(F.col("ta"), F.col("tb"), rules)).select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("near"))
+
+
+def _sides(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows of a table without their titles, and its distinct titles by number."""
+    title, doi = folded(col("title")), F.when(~is_blank(col("doi")), F.lower(F.trim(col("doi"))))
+    tid = F.when(title != "", F.xxhash64(title))
+    rows = df.select(col("id").alias(f"{side}_id"), tid.alias(f"{side}_tid"), folded(col("author")).alias(f"{side}_author"), least_year(F.substring(col("date"), 1, 4)).alias(f"{side}_year"), doi.alias(f"{side}_doi")).distinct()
+    return rows, df.select(title.alias("title")).where("title != ''").distinct().select(F.xxhash64("title").alias("tid"), "title")
 
-    def blocked(df: DataFrame, side: str) -> DataFrame:
-        title = folded(col("title"))
-        doi = F.when(~is_blank(col("doi")), F.concat(F.lit("d:"), F.lower(F.trim(col("doi")))))
-        key = F.when(title != "", F.concat(F.lit("t:"), F.substring(title, 1, rules.prefix)))
-        keys = F.array_sort(F.array_compact(F.array(doi, key))).alias(f"{side}_keys")
-        fields = (folded(col("author")).alias(f"{side}_author"), least_year(F.substring(col("date"), 1, 4)).alias(f"{side}_year"))
-        rows = df.select(col("id").alias(f"{side}_id"), title.alias(f"{side}_title"), *fields, keys).distinct()
-        return rows.withColumn("block", F.explode(f"{side}_keys"))
 
-    both = blocked(repository, "r").join(blocked(source, "s"), "block")
-    return both.where(F.col("block") == F.array_min(F.array_intersect("r_keys", "s_keys"))).drop("block", "r_keys", "s_keys")
+def candidate_pairs(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
+    """All pairs with alike titles or an equal DOI, once each: r_id, r_author, r_year, the same of s, and near (the likeness of their
+    titles, null if either has none). Distinct titles are compared, and rows meet only in pairs that are in the result, so a title
+    that many rows share costs its output. Both sides need id, title, author, date, doi."""
+    (r_rows, r_titles), (s_rows, s_titles) = _sides(repository, "r"), _sides(source, "s")
+    near = alike_titles(r_titles, s_titles, rules)
+    by_title = near.join(r_rows, F.col("a") == F.col("r_tid")).join(s_rows, F.col("b") == F.col("s_tid"))
+    by_doi = r_rows.join(s_rows, F.col("r_doi") == F.col("s_doi"))
+    by_doi = by_doi.join(r_titles.select(F.col("tid").alias("r_tid"), F.col("title").alias("ta")), "r_tid", "left").join(s_titles.select(F.col("tid").alias("s_tid"), F.col("title").alias("tb")), "s_tid", "left")
+    only = by_doi.where(F.col("ta").isNull() | F.col("tb").isNull() | ~alike(F.col("ta"), F.col("tb"), rules)).withColumn("near", likeness(F.col("ta"), F.col("tb")))
+    columns = ["r_id", "s_id", "r_author", "s_author", "r_year", "s_year", "near"]
+    return by_title.select(columns).union(only.select(columns))
 
 
 def duplicate_edges(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
     """id_document1 (repository), id_document2 (source) and similarity (0 to 100). Parts that one side lacks carry no weight."""
     pairs = candidate_pairs(repository, source, rules)
-    parts = [(rules.title, likeness(F.col("r_title"), F.col("s_title"))), (rules.author, likeness(F.col("r_author"), F.col("s_author"))), (rules.date, year_likeness(F.col("r_year"), F.col("s_year")))]
+    parts = [(rules.title, F.col("near")), (rules.author, likeness(F.col("r_author"), F.col("s_author"))), (rules.date, year_likeness(F.col("r_year"), F.col("s_year")))]
     total = reduce(lambda a, b: a + b, (F.coalesce(w * x, F.lit(0.0)) for w, x in parts))
     weight = reduce(lambda a, b: a + b, (F.when(x.isNotNull(), w).otherwise(0.0) for w, x in parts))
     score = F.when(weight > 0, 100 * total / weight).otherwise(0.0)
@@ -136,18 +214,59 @@ def exact_matches(source: DataFrame, repository: DataFrame, keys: Sequence[Seque
     return reduce(lambda a, b: a.unionByName(b), found).distinct()
 
 
-def authority(documents: DataFrame, authors: DataFrame, variants: str = "|||") -> DataFrame:
-    """Author names of documents (id, author) against an authority list (author_id, variants): blocked by folded surname, the
-    best variant of each (document, name, author), with a label by its likeness."""
-    surname = lambda c: F.substring_index(folded(F.substring_index(c, ",", 1)), " ", -1)
-    names = documents.select("id", F.explode(F.split("author", r"\|")).alias("name")).where("trim(name) != ''").withColumn("block", surname(F.col("name")))
-    known = authors.select("author_id", F.explode(F.split("variants", "\\Q" + variants + "\\E")).alias("variant")).where("trim(variant) != ''").withColumn("block", surname(F.col("variant")))
-    near = F.round(100 * likeness(folded(F.col("name")), folded(F.col("variant"))), 4)
-    best = names.join(known, "block").withColumn("score", near).groupBy("id", "name", "author_id").agg(F.max("score").alias("score"))
+def _person(name: Column, mode: str) -> tuple[Column, Column, Column]:
+    """Folded surname, initial of the given name, and both in that order. comma: "Surname, Given" ("Given Surname" without a comma);
+    scopus: "Surname Given" or the same with a comma."""
+    comma = F.instr(name, ",") > 0
+    plain = folded(name)
+    tail, head, rest = F.substring_index(plain, " ", -1), F.substring_index(plain, " ", 1), F.regexp_replace(plain, " ?[^ ]+$", "")
+    before, after = folded(F.substring_index(name, ",", 1)), folded(F.substring_index(name, ",", -1))
+    surname = F.when(comma, before).otherwise(head if mode == "scopus" else tail)
+    given = F.when(comma, after).otherwise(F.substring(plain, F.length(head) + 2, F.length(plain)) if mode == "scopus" else rest)
+    return surname, F.substring(given, 1, 1), F.trim(F.concat_ws(" ", surname, given))
+
+
+def _deletions(surname: Column) -> Column:
+    """The surname and all that it is without one letter: two surnames one edit apart have one of these in common."""
+    each = F.transform(F.sequence(F.lit(1), F.length(surname)), lambda i: F.concat(F.substring(surname, F.lit(1), i - 1), F.substring(surname, i + 1, F.length(surname))))
+    return F.array_distinct(F.concat(F.array(surname), F.when(F.length(surname) > 0, each).otherwise(F.array())))
+
+
+def matched_names(names: DataFrame, authors: DataFrame, variants: str = "|||", least: float = 60.0, mode: str = "comma") -> DataFrame:
+    """name, author_id, score and label for all distinct names whose surname is at most one edit from that of a variant, whose
+    initial agrees (or is lacking on either side), with a score of least or more: the best variant of each author. Both sides
+    are indexed by surnames with a letter deleted, so they meet by equality; the second key is the initial."""
+
+    def indexed(df: DataFrame, c: str) -> DataFrame:
+        surname, initial, whole = _person(F.col(c), mode)
+        rows = df.select("*", surname.alias(f"{c}_surname"), initial.alias(f"{c}_initial"), whole.alias(f"{c}_whole")).where(F.col(f"{c}_surname") != "")
+        # one that lacks an initial meets every initial
+        keys = F.when(F.col(f"{c}_initial") == "", F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col(f"{c}_initial")))
+        return rows.withColumn("deleted", F.explode(_deletions(F.col(f"{c}_surname")))).withColumn("initial", F.explode(keys))
+
+    known = authors.select("author_id", F.explode(F.split("variants", "\\Q" + variants + "\\E")).alias("variant")).where("trim(variant) != ''").distinct()
+    met = indexed(names.select("name").where("trim(name) != ''").distinct(), "name").join(indexed(known, "variant"), ["deleted", "initial"])
+    # of the two initial keys a pair shares just one that counts: its own, or the empty one if either side has none
+    both = (F.col("name_initial") != "") & (F.col("variant_initial") != "")
+    own = F.when(both, F.col("initial") == F.col("name_initial")).otherwise(F.col("initial") == "")
+    near = met.where(own & (F.levenshtein("name_surname", "variant_surname") <= 1))
+    score = F.round(100 * likeness(F.col("name_whole"), F.col("variant_whole")), 4)
+    best = near.groupBy("name", "author_id").agg(F.max(score).alias("score")).where(F.col("score") >= least)
     label = F.when(F.col("score") >= 100, "PERFECT").when(F.col("score") >= 90, "GOOD").when(F.col("score") >= 75, "REGULAR").otherwise("MMM")
     return best.withColumn("label", label)
 
 
+def authority(documents: DataFrame, authors: DataFrame, variants: str = "|||", least: float = 60.0, mode: str = "comma") -> DataFrame:
+    """A row for each document (id, author: names apart by bars): id and coincidences, the matches of its names in their order, best
+    first, as structs of pos, name, author_id, score and label. Names are compared once each, however many documents have them."""
+    names = documents.select("id", F.posexplode(F.split(F.coalesce("author", F.lit("")), r"\|")).alias("pos", "name"))
+    found = matched_names(names, authors, variants, least, mode)
+    held = names.join(found.withColumnRenamed("name", "known"), F.col("name") == F.col("known"), "left")
+    entry = F.struct("pos", (-F.col("score")).alias("by"), "author_id", "name", "score", "label")
+    lists = held.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("author_id").isNotNull(), entry))).alias("found"))
+    return lists.select("id", F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), x["name"].alias("name"), x["author_id"].alias("author_id"), x["score"].alias("score"), x["label"].alias("label"))).alias("coincidences"))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*(col(k) for k in keys)).orderBy(*(col(o) for o in order))
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -70,13 +70,30 @@ add("d17_drop_synthetic", "records", lambda r: r.drop("row_id").select("id"), "s
 
 # 2.F joins. Folding of the views' titles is by letters of ASCII alone.
 _fold = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+_like = lambda a, b: f"(1 - levenshtein({a}, {b})::double / greatest(length({a}), length({b})))"
 _edges = f"""+
-a as (select r.id as i1, s.id as i2, {_fold('r.title')} as t1, {_fold('s.title')} as t2, {_fold('r.author')} as a1, {_fold('s.author')} as a2, abs(cast(r.date as int) - cast(s.date as int)) as d
-  from repository_records r join source_records s on substr({_fold('r.title')}, 1, 24) = substr({_fold('s.title')}, 1, 24) and {_fold('r.title')} <> ''),
-edges as (select distinct i1 as id_document1, i2 as id_document2, round(100 * (0.6::double * (1 - levenshtein(t1, t2)::double / greatest(length(t1), length(t2))) + 0.3::double * (1 - levenshtein(a1, a2)::double / greatest(length(a1), length(a2))) + 0.1::double * case when d = 0 then 1 when d <= 1 then 0.5 else 0 end) / (0.6::double + 0.3::double + 0.1::double), 4) as similarity from a)
+rr as (select distinct id, {_fold('title')} as t, {_fold('author')} as a, cast(date as int) as y from repository_records),
+ss as (select distinct id, {_fold('title')} as t, {_fold('author')} as a, cast(date as int) as y from source_records),
+rw as (select *, list_distinct(string_split(t, ' ')) as w from rr where t <> ''), sw as (select *, list_distinct(string_split(t, ' ')) as w from ss where t <> ''),
+met as (select rw.id as i1, sw.id as i2, rw.t as t1, sw.t as t2, rw.a as a1, sw.a as a2, abs(rw.y - sw.y) as d, len(list_intersect(rw.w, sw.w)) as n, len(rw.w) + len(sw.w) as m from rw, sw),
+edges as (select i1 as id_document1, i2 as id_document2,
+    round(100 * (0.6::double * {_like('t1', 't2')} + coalesce(0.3::double * {_like("nullif(a1, '')", "nullif(a2, '')")}, 0) + 0.1::double * case when d = 0 then 1 when d <= 1 then 0.5 else 0 end) / (0.7::double + case when a1 <> '' and a2 <> '' then 0.3::double else 0 end), 4) as similarity
+  from met where n >= 0.6 * (m - n) - 1e-9 or length(t1) <= 40 and length(t2) <= 40 and {_like('t1', 't2')} >= 0.9 - 1e-9)
 """
 add("f1_dup_edges", "repository_records source_records", lambda r, s: join.duplicate_edges(r, s).select("id_document1", "id_document2", F.round("similarity", 2).alias("similarity")), _edges + "select id_document1, id_document2, round(similarity, 2) as similarity from edges")
-add("f2_authority", "records customer", lambda r, c: join.authority(r.where("percent < 5").select("id", "author"), c.sparkSession.createDataFrame([("a1", "Perez, Juan|||Perez, J."), ("a2", "Lopez, Ana"), ("a3", "Gomes, Ana|||Gomez, Anna")], "author_id string, variants string")), None)
+_whole = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+_surname, _initial = lambda c: f"trim(lower(split_part({c}, ',', 1)))", lambda c: f"substr(trim(lower(split_part({c}, ',', 2))), 1, 1)"
+add(
+    "f2_authority",
+    "authored authors",
+    lambda d, a: join.authority(d, a).select("id", F.array_join(F.transform("coincidences", lambda x: F.concat_ws(":", x["pos"], x["author_id"], F.round(x["score"], 2).cast("decimal(9,2)"), x["label"])), ";").alias("coincidences")),
+    f"""+names as (select id, pos, name from (select id, unnest(string_split(author, '|')) as name, unnest(range(len(string_split(author, '|')))) as pos from authored)),
+one as (select distinct name, {_surname('name')} as s, {_initial('name')} as i, {_whole('name')} as f from names where trim(name) <> ''),
+variants as (select distinct author_id, {_surname('v')} as s, {_initial('v')} as i, {_whole('v')} as f from (select author_id, unnest(string_split(variants, '|||')) as v from authors)),
+hits as (select name, author_id, max(round(100 * {_like('o.f', 'v.f')}, 4)) as score from one o join variants v on o.i = v.i and abs(length(o.s) - length(v.s)) <= 1 and levenshtein(o.s, v.s) <= 1 group by all),
+good as (select *, case when score >= 100 then 'PERFECT' when score >= 90 then 'GOOD' when score >= 75 then 'REGULAR' else 'MMM' end as label from hits where score >= 60)
+select n.id, coalesce(string_agg(pos || ':' || author_id || ':' || printf('%.2f', round(score, 2)) || ':' || label, ';' order by pos, score desc, author_id), '') as coincidences from names n left join good g on n.name = g.name group by n.id""",
+)
 add("f3_anti_reconcile", "source_records repository_records", lambda s, r: join.without_duplicates(s, join.duplicate_edges(r, s), threshold=60.0).select("id"), _edges + "select id from source_records where id not in (select id_document2 from edges where similarity >= 60)")
 add("f4_semi_reconcile", "records", lambda r: join.below_threshold(r, r.select("id", F.when(C("percent") % 9 == 0, "bad").otherwise(C("percent").cast("string")).alias("total"))).select("id"), "select id from records where percent < 10 or percent % 9 = 0")
 add("e5_below_threshold", "records", lambda r: join.below_threshold(r, r.select("id", C("percent").cast("string").alias("total")), threshold=30.0).agg(F.count("*").alias("n")), "select count(*) as n from records where percent < 30")

@@ -12,7 +12,21 @@ _MONTH = "case month(o_orderdate) " + " ".join(f"when {i} then '{m}'" for i, m i
 _YEAR = "cast(year(o_orderdate) as string)"
 _KEY = "cast(o_orderkey as string)"
 
+_LETTERS = "regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z ]', '')"
+#: A first line of up to 200 characters is a title; a longer one is none.
+_TITLE = f"case when length(split_part(text, chr(10), 1)) <= 200 then lower({_LETTERS}) else '' end"
+#: Surnames made of numbers: eight letters of a digest.
+_SURNAME = "translate(substr(md5(cast({0} as string)), 1, 8), '0123456789', 'ghijklmnop')"
+
 VIEWS = {
+    "authored": f"""
+select cast(o_orderkey as bigint) as id, case o_orderkey % 11 when 0 then '' when 1 then 'zzz' || {_SURNAME.format('o_custkey')} || 'oz, Ana'
+  when 2 then substr({_SURNAME.format('o_custkey')} || 'ez', 1, length({_SURNAME.format('o_custkey')}) + 1) || ', Eva'
+  else {_SURNAME.format('o_custkey')} || 'ez, ' || case o_orderkey % 3 when 0 then 'Juan' when 1 then 'E.' else 'Eva' end || case when o_orderkey % 4 = 0 then '|' || {_SURNAME.format('o_orderkey')} || 'is, Luz' else '' end end as author
+from {{orders}}""",
+    "authors": f"""
+select cast(c_custkey as string) as author_id, {_SURNAME.format('c_custkey')} || 'ez, ' || case when c_nationkey % 2 = 0 then 'Juan' else 'Eva' end || '|||' || {_SURNAME.format('c_custkey')} || 'ez, ' || case when c_nationkey % 2 = 0 then 'J.' else 'E.' end as variants
+from {{customer}}""",
     "records": f"""
 select cast(o_orderkey as bigint) as row_id, 'rec' || {_KEY} as id,
   case o_orderkey % 9 when 0 then '' when 1 then 'Master thesis on ' || o_orderpriority when 2 then 'Study of 1987 data' else 'Work ' || o_orderpriority || ' ' || o_orderstatus end as title,
@@ -33,12 +47,12 @@ select cast(doc_id as bigint) as row_id,
   case when doc_id % 5 = 0 then '' else 'Perez, Juan|Gomez, Ana' end as author, case when doc_id % 3 = 0 then '' else 'Articulo' end as type,
   text as description
 from {documents}""",
-    "source_records": """
-select cast(doc_id as bigint) as row_id, 'd' || cast(doc_id as string) as id, lower(substr(regexp_replace(text, '[^A-Za-z ]', ''), 1, 60)) as title, lang || ', ' || source as author, cast(2000 + doc_id % 3 as string) as date, '' as doi
-from {documents} where doc_id % 2 = 1""",
-    "repository_records": """
-select cast(doc_id as bigint) as row_id, 'd' || cast(doc_id as string) as id, lower(substr(regexp_replace(text, '[^A-Za-z ]', ''), 1, 60)) as title, lang || ', ' || source as author, cast(2000 + doc_id % 3 as string) as date, '' as doi
-from {documents} where doc_id % 2 = 0""",
+    "source_records": f"""
+select cast(doc_id as bigint) as row_id, 'd' || cast(doc_id as string) as id, {_TITLE} as title, lang || ', ' || source as author, cast(2000 + doc_id % 3 as string) as date, '' as doi
+from {{documents}} where doc_id % 2 = 1""",
+    "repository_records": f"""
+select cast(doc_id as bigint) as row_id, 'd' || cast(doc_id as string) as id, {_TITLE} as title, lang || ', ' || source as author, cast(2000 + doc_id % 3 as string) as date, '' as doi
+from {{documents}} where doc_id % 2 = 0""",
     "works": """
 select cast(p_partkey as bigint) as work_id, p_name as title, p_brand as publisher, p_type as kind, cast(p_size as bigint) as pages, p_retailprice as price, '10.' || cast(p_size as string) || '/' || cast(p_partkey as string) as doi
 from {part}""",
@@ -57,12 +71,12 @@ select * from (values ('dc.title', true), ('dc.creator', true), ('dc.date.issued
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables of a folder."""
-    sql = VIEWS[name].replace('"left"', "`left`").replace('"replace"', "`replace`").replace('"column"', "`column`").replace("regexp_replace(text, '[^A-Za-z ]', '')", "regexp_replace(text, '[^A-Za-z ]', '')")
+    sql = VIEWS[name].replace('"left"', "`left`").replace('"replace"', "`replace`").replace('"column"', "`column`")
     used = re.findall(r"\{(\w+)\}", sql)
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}) if used else spark.sql(sql)
 
 
 def ctes(*names: str) -> str:
     """The views as common table expressions for DuckDB."""
-    plain = {n: re.sub(r"\{(\w+)\}", r"\1", VIEWS[n]).replace("regexp_replace(text, '[^A-Za-z ]', '')", "regexp_replace(text, '[^A-Za-z ]', '', 'g')") for n in names}
+    plain = {n: re.sub(r"\{(\w+)\}", r"\1", VIEWS[n]).replace(_LETTERS, _LETTERS[:-1] + ", 'g')") for n in names}
     return "with " + ",\n".join(f"{n} as ({sql})" for n, sql in plain.items())
