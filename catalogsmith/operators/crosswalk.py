@@ -148,11 +148,21 @@ def compatibility(mappings: DataFrame, header: DataFrame, catalog: DataFrame) ->
     return known.select("pos", "left", "replace", status.alias("status"))
 
 
+def met_parts(mappings: DataFrame, header: DataFrame) -> DataFrame:
+    """Parts of mappings and the columns of the header that they name: by equality, or by a pattern in which asterisks match any
+    text. Distinct patterns alone are compared with every column."""
+    parts = mapping_parts(mappings)
+    exact = parts.join(header, F.col("part") == F.col("column"))
+    like = F.replace(F.replace(F.replace("part", F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%"))
+    patterns = parts.where("contains(part, '*')").select(F.col("part").alias("pattern"), like.alias("like")).distinct()
+    named = patterns.join(header, F.expr("column like like")).select("pattern", "column")
+    return exact.union(parts.join(named, F.col("part") == F.col("pattern")).select(*exact.columns))
+
+
 def drift(mappings: DataFrame, header: DataFrame) -> DataFrame:
     """What a cached configuration misses in a new header (a mapping is fine if any of its parts is there), and what columns of
-    the header it does not name. Asterisks match any text."""
-    parts = mapping_parts(mappings).withColumn("like", F.replace(F.replace("part", F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%")))
-    met = parts.join(header, F.expr("column like like"))
+    the header it does not name."""
+    met = met_parts(mappings, header)
     missing = mappings.join(met.select("pos").distinct(), "pos", "left_anti").select(F.lit("missing").alias("kind"), F.col("left").alias("name"))
     unmapped = header.join(met.select("column").distinct(), "column", "left_anti").select(F.lit("unmapped").alias("kind"), F.col("column").alias("name"))
     return missing.unionByName(unmapped)
@@ -175,6 +185,11 @@ def merged(*lists: DataFrame) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
+def remnant_columns(header: DataFrame, mappings: DataFrame) -> DataFrame:
+    """The columns of a header that no part of a mapping names."""
+    return header.join(met_parts(mappings, header).select("column").distinct(), "column", "left_anti")
+
+
 def remnants(columns: Sequence[str], crosswalk: Crosswalk) -> list[str]:
     used = set(crosswalk.used_columns(columns))
     return [c for c in columns if c not in used]

@@ -91,6 +91,7 @@ def commit_or_rollback(before: DataFrame, after: DataFrame, key: str) -> DataFra
 
 
 def catalog_facets(catalog: DataFrame) -> DataFrame:
-    """The facets of a target catalog: all fields, and those that allow a language."""
-    facets = F.array_compact(F.array(F.lit("field"), F.when(F.col("allow_lang"), F.lit("with_language"))))
-    return catalog.select(F.explode(facets).alias("facet"), "field").distinct()
+    """The facets of a target catalog: all fields, those that allow a language, and their base names (schema and element)."""
+    base = F.substring_index("field", ".", 2)
+    facets = F.array_compact(F.array(F.struct(F.lit("field").alias("facet"), F.col("field")), F.struct(F.lit("base").alias("facet"), base.alias("field")), F.when(F.col("allow_lang"), F.struct(F.lit("with_language").alias("facet"), F.col("field")))))
+    return catalog.select(F.explode(facets).alias("x")).select("x.facet", "x.field").distinct()

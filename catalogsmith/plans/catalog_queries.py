@@ -35,9 +35,13 @@ def add(name: str, views: str, build: Callable[..., DataFrame], sql: str | None
 # 2.C validation
 add("c3_key_test", "records", lambda r: validate.key_test(r.select("id", "issn", "title"), ["id", "issn", "title"]), " union all ".join(f"select '{c}' as \"column\", count(*) as rows, count(distinct trim({c})) as distinct_values, count(*) filter (where lower(trim({c})) in ('', 'nan', 'none')) as blanks, count(*) > 0 and count(*) = count(distinct trim({c})) and count(*) filter (where lower(trim({c})) in ('', 'nan', 'none')) = 0 as is_key from records" for c in ("id", "issn", "title")))
 add("c4_synthetic_key", "records", lambda r: validate.inject_key(r.select("title", "row_id"), "row_id").select("id", "row_id"), "select cast(row_number() over (order by row_id) as string) as id, row_id from records")
-add("c9_drift", "mappings header", lambda m, h: crosswalk.drift(m, h), """select 'missing' as kind, "left" as name from mappings where pos in (5, 7) union all select 'unmapped', 'Extra'""")
-add("c12_guard_base", "mappings header", lambda m, h: crosswalk.guard_base(m, h).select("pos"), """select pos from mappings m where trim("left") <> '' and trim("replace") <> '' and not exists (select 1 from (select trim(unnest(string_split(m."left", '+'))) as part) where part not like '%*%' and part not in (select "column" from header))""")
-add("c13_guard_generic", "mappings", lambda m: crosswalk.guard_generic(m).select("pos", "replace"), """select pos, "replace" from mappings where "replace" <> 'weird'""")
+# Mappings by their parts, and the columns that these name, in SQL.
+_parts = """+parts as (select pos, "left", "replace", trim(unnest(string_split("left", '+'))) as part from mappings),
+met as (select pos, "column" from parts join header on "column" like replace(replace(part, '_', '\\_'), '*', '%') escape '\\' where part <> '')
+"""
+add("c9_drift", "mappings header", crosswalk.drift, _parts + """select 'missing' as kind, "left" as name from mappings where pos not in (select pos from met) union all select 'unmapped', "column" from header where "column" not in (select "column" from met)""")
+add("c12_guard_base", "mappings header", lambda m, h: crosswalk.guard_base(m, h).select("pos"), _parts + """select pos from mappings where trim("left") <> '' and trim("replace") <> '' and pos not in (select pos from parts where part <> '' and part not like '%*%' and part not in (select "column" from header))""")
+add("c13_guard_generic", "mappings", lambda m: crosswalk.guard_generic(m).select("pos", "replace"), """select pos, "replace" from mappings where lower(trim("replace")) in ('id', 'title', 'author', 'date', 'description', 'subject', 'type', 'subtitle', 'issn', 'doi', 'isbn', 'citation')""")
 add(
     "c14_guard_target",
     "targets target_catalog",
@@ -46,9 +50,15 @@ add(
   case when field is null then case when regexp_matches(lower(base), 'identifier|id') then 'fallback' else 'dropped' end when lang <> '' and not allow_lang then 'stripped' else 'kept' end as action
 from (select pos, "replace" as r, regexp_extract("replace", '^([a-zA-Z0-9._-]+)(?:\\[([a-zA-Z]{2})\\])?$', 1) as base, regexp_extract("replace", '^([a-zA-Z0-9._-]+)(?:\\[([a-zA-Z]{2})\\])?$', 2) as lang from targets) left join target_catalog on base = field where base <> ''""",
 )
-add("c15_compatibility", "targets header target_catalog", lambda m, h, c: crosswalk.compatibility(m, h, c).select("pos", "status"), """select pos, case when "left" not in (select "column" from header) then 'incompatible' when regexp_extract("replace", '^([^\\[]+)', 1) not in (select field from target_catalog) then 'invalid' else 'valid' end as status from targets""")
+add(
+    "c15_compatibility",
+    "targets header target_catalog",
+    lambda m, h, c: crosswalk.compatibility(m, h, c).select("pos", "status"),
+    """+bad as (select pos from (select pos, trim(unnest(string_split("left", '+'))) as part from targets) where part <> '' and part not like '%*%' and part not in (select "column" from header))
+select pos, case when pos in (select pos from bad) then 'incompatible' when regexp_extract("replace", '^([^\\[]+)', 1) not in (select field from target_catalog) then 'invalid' else 'valid' end as status from targets""",
+)
 add("c16_integrity", "records", lambda r: validate.integrity(r, r.where("percent > 0").drop("place"), "id"), "select count(*) as rows_before, count(*) filter (where percent > 0) as rows_after, count(*) filter (where percent = 0) as lost_ids, 1::bigint as lost_columns, false as valid from records")
-add("c17_catalog_facets", "target_catalog", validate.catalog_facets, "select 'field' as facet, field from target_catalog union all select 'with_language', field from target_catalog where allow_lang")
+add("c17_catalog_facets", "target_catalog", validate.catalog_facets, "select 'field' as facet, field from target_catalog union select 'with_language', field from target_catalog where allow_lang union select 'base', split_part(field, '.', 1) || '.' || split_part(field, '.', 2) from target_catalog")
 
 # 2.D crosswalk
 _cw = crosswalk.Crosswalk.load([[{"left": "title", "replace": "name", "filter": "trim|lowercase"}, {"left": "author+place", "replace": "people"}, {"left": "is*", "replace": "numbers"}, {"left": "citation", "replace": "source", "default": "none", "required": False}, {"left": "title", "replace": "must", "required": True}, {"left": "absent", "replace": "gone"}], {"original_separator": "|", "replace_separator": ";"}])
@@ -62,9 +72,8 @@ add("d6_wildcards", "records", lambda r: r.select("row_id", crosswalk.compile_ma
 add("d7_filters", "records", lambda r: r.select("row_id", crosswalk.value_filters(F.concat(F.lit(" ,"), C("title"), F.lit(", ")), "trim|lowercase").alias("value")), "select row_id, lower(trim(trim(' ,' || title || ', ', ' '), ',')) as value from records")
 add("d8_default_required", "records", lambda r: crosswalk.apply(r, crosswalk.Crosswalk((crosswalk.Mapping("title", "title", required=True), crosswalk.Mapping("citation", "citation", default="none"))), keep=["row_id"]), "select row_id, trim(title) as title, coalesce(nullif(trim(citation), ''), 'none') as citation from records where trim(title) <> ''")
 add("d10_identity", "records", lambda r: r.select("row_id", *crosswalk.fallback_mappings(r.columns).used_columns(r.columns)).select("row_id", "id", "isbn"), "select row_id, id, isbn from records")
-_canon = "select * from (values ('title', 'dc.title[es]'), ('author', 'local.creator.person[es]'), ('date', 'dc.date.issued'), ('type', 'dc.type')) as t(field, target)"
-add("d11_compose", "mappings", lambda m: crosswalk.compose(m, m.sparkSession.sql(_canon)), f"""select pos, "left", target as "replace" from mappings join ({_canon}) c on lower(trim("replace")) = field""")
-add("d12_remnants", "header mappings", lambda h, m: h.join(crosswalk.mapping_parts(m).select(C("part").alias("column")), "column", "left_anti"), """select "column" from header where "column" not in (select trim(unnest(string_split("left", '+'))) from mappings)""")
+add("d11_compose", "mappings canonical", crosswalk.compose, """select pos, "left", target as "replace" from mappings join canonical on lower(trim("replace")) = field""")
+add("d12_remnants", "mappings header", lambda m, h: crosswalk.remnant_columns(h, m), _parts + 'select "column" from header where "column" not in (select "column" from met)')
 add("d13_merge", "mappings targets", lambda m, t: crosswalk.merged(t, m).select("left", "replace", "prio"), """select "left", "replace", prio from (select *, row_number() over (partition by "left" order by prio, pos) as rn from (select *, 0 as prio from targets union all select *, 1 from mappings)) where rn = 1""")
 add("d17_drop_synthetic", "records", lambda r: r.drop("row_id").select("id"), "select id from records")
 
@@ -210,16 +219,16 @@ add("p4_l2_documents", "embeddings documents", lambda e, d: retrieve.l2_document
 add("p5_format_hits", "works", lambda w: retrieve.format_hits(aggregate.top_k(w, "price", "work_id", 5), "work_id", "price").select("line"), "select printf('[%d] %.3f', work_id, price) as line from works order by price, work_id limit 5")
 
 # 2.T metrics
-add("t1_mapping_metrics", "mappings header", lambda m, h: metrics.mapping_metrics(m.select("left", "replace").where("pos < 7"), m.where("pos in (1, 2, 8)").select("left", "replace"), h, m.sparkSession.createDataFrame([(f,) for f in ("id", "title", "author", "date", "type")], "field string")), """+ p as (select "left", "replace" from mappings where pos < 7), parts as (select trim(unnest(string_split("left", '+'))) as part from p)
-select (select round(avg((part in (select "column" from header))::int), 4) from parts) as header_fidelity, (select round(avg((f in (select "replace" from p))::int), 4) from (values ('id'), ('title'), ('author'), ('date'), ('type')) as c(f)) as critical_coverage,
-  (select round(avg((exists (select 1 from p where p."left" = e."left" and p."replace" = e."replace"))::int), 4) from mappings e where pos in (1, 2, 8)) as mapping_accuracy""")
+add("t1_mapping_metrics", "mappings expected header canonical", lambda m, e, h, c: metrics.mapping_metrics(m.select("left", "replace"), e.select("left", "replace"), h, c.select("field").distinct()), """+parts as (select trim(unnest(string_split("left", '+'))) as part from mappings)
+select (select round(avg((part in (select "column" from header))::int), 4) from parts) as header_fidelity, (select round(avg((field in (select "replace" from mappings))::int), 4) from (select distinct field from canonical)) as critical_coverage,
+  (select round(avg((("left", "replace") in (select "left", "replace" from mappings))::int), 4) from expected) as mapping_accuracy""")
 add("t4_escalation_matrix", "records", lambda r: metrics.escalation_matrix(r, C("percent") < 50, C("percent") % 2 == 0), "select case when percent < 50 and percent % 2 = 0 then 'correct_escalation' when percent >= 50 and percent % 2 = 1 then 'correct_auto' when percent % 2 = 0 then 'over_caution' else 'missed_escalation' end as outcome, count(*) as n from records group by 1")
 add("t6_never_grows", "records", lambda r: metrics.never_grows([("all", r), ("some", r.where("percent < 50")), ("more", r.where("percent < 60"))]), "select 0 as step, 'all' as name, count(*) as rows, true as ok from records union all select 1, 'some', count(*), true from records where percent < 50 union all select 2, 'more', count(*), false from records where percent < 60")
 add("t1_schema_adherence", "mappings", lambda m: metrics.schema_adherence(m, m.sparkSession.createDataFrame([(f,) for f in GENERIC_FIELDS], "field string")), """select round(avg(("replace" in ('id', 'title', 'author', 'date', 'description', 'subject', 'type', 'subtitle', 'issn', 'doi', 'isbn', 'citation'))::int), 4) as schema_adherence from mappings where trim("replace") <> ''""")
 add("t2_token_exactness", "values_list", lambda v: metrics.token_exactness(v.withColumn("wanted", F.array("p_brand", "p_type", "p_brand")), "many", r"\|+", "wanted"), "select round(avg((p_partkey % 4 <> 0)::int), 4) as token_exactness from part")
 add("t3_target_conformance", "targets target_catalog", metrics.target_conformance, """select round(avg(coalesce(field is not null and (lang = '' or allow_lang), false)::int), 4) as target_conformance from (select regexp_extract("replace", '^([a-zA-Z0-9._-]+)(?:\\[([a-zA-Z]{2})\\])?$', 1) as base, regexp_extract("replace", '^([a-zA-Z0-9._-]+)(?:\\[([a-zA-Z]{2})\\])?$', 2) as lang from targets) left join target_catalog on base = field""")
 add("t3_core_preservation", "mappings targets", metrics.core_preservation, """select round(avg(("left" in (select "left" from targets))::int), 4) as core_preservation from (select distinct "left" from mappings)""")
-add("t3_forbidden_absence", "mappings target_catalog", lambda m, c: metrics.forbidden_absence(m, c.select("field").union(c.sparkSession.sql("select 'weird'"))), """select round(avg((f not in (select "replace" from mappings))::int), 4) as forbidden_absence from (select field as f from target_catalog union all select 'weird')""")
+add("t3_forbidden_absence", "mappings canonical", lambda m, c: metrics.forbidden_absence(m, c.select("target").union(c.select("field")).distinct().withColumnRenamed("target", "field")), """select round(avg((f not in (select "replace" from mappings))::int), 4) as forbidden_absence from (select target as f from canonical union select field from canonical)""")
 add("t4_agreement", "records", lambda r: metrics.agreement(r, F.when(C("percent") < 40, "merge").otherwise("keep"), F.when(C("percent") < 30, "merge").otherwise("keep")), "select round(avg((percent < 30 or percent >= 40)::int), 4) as agreement from records")
 add("t4_calibration", "records", lambda r: metrics.calibration(r, C("percent") / 100, C("percent") % 3 == 0), "select cast(floor(percent / 10.0) as int) as bin, count(*) as n, round(avg(percent / 100.0), 4) as confidence, round(avg((percent % 3 = 0)::int), 4) as accuracy from records group by 1")
 add("t5_cell_preservation", "records", lambda r: metrics.cell_preservation(r, r.where("percent > 0").withColumn("title", F.upper("title")), "row_id", ["title", "doi"]), """select round(avg((percent > 0 and (f = 'doi' or v = upper(v)))::int), 4) as cell_preservation from (select percent, 'title' as f, title as v from records union all select percent, 'doi', doi from records) where v <> ''""")

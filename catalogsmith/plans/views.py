@@ -18,6 +18,10 @@ _TITLE = f"case when length(split_part(text, chr(10), 1)) <= 200 then lower({_LE
 #: Surnames made of numbers: eight letters of a digest.
 _SURNAME = "translate(substr(md5(cast({0} as string)), 1, 8), '0123456789', 'ghijklmnop')"
 
+#: The left side of a column mapping made of a part: one column, two, a pattern, none, or one that no file has.
+_LEFT = "case p_partkey % 6 when 0 then '' when 1 then p_brand || ' + ' || p_type when 2 then substr(p_brand, 1, 7) || '*' when 3 then 'gone ' || p_name when 4 then p_type || '+nowhere' else p_brand end"
+_FIELD = "case {0} " + " ".join(f"when {i} then '{f}'" for i, f in enumerate("weird title author date description subject type subtitle issn doi isbn citation id Title".split())) + " end"
+
 VIEWS = {
     "authored": f"""
 select cast(o_orderkey as bigint) as id, case o_orderkey % 11 when 0 then '' when 1 then 'zzz' || {_SURNAME.format('o_custkey')} || 'oz, Ana'
@@ -58,14 +62,20 @@ select cast(p_partkey as bigint) as work_id, p_name as title, p_brand as publish
 from {part}""",
     "values_list": """
 select cast(p_partkey as bigint) as row_id, p_brand || '|' || p_type || '||' || p_brand || case when p_partkey % 4 = 0 then '|||' || p_name else '' end as many, p_name, p_brand, p_type from {part}""",
-    "mappings": """
-select * from (values (1, 'Item Title', 'title'), (2, 'Authors', 'author'), (3, 'year+month', 'date'), (4, 'dc.kind*', 'type'), (5, 'Gone', 'doi'), (6, 'Item DOI', 'weird'), (7, '', 'issn'), (8, 'Authors', 'subject')) as t(pos, "left", "replace")""",
+    "mappings": f"""
+select cast(p_partkey as bigint) as pos, {_LEFT} as "left", {_FIELD.format('p_size % 14')} as "replace" from {{part}}""",
+    "expected": f"""
+select cast(p_partkey as bigint) as pos, {_LEFT} as "left", {_FIELD.format('case when p_retailprice > 1200 then p_size + 1 else p_size end % 14')} as "replace" from {{part}}""",
     "targets": """
-select * from (values (1, 'Item Title', 'dc.title[es]'), (2, 'Authors', 'dc.creator'), (3, 'year', 'dc.date.issued[es]'), (4, 'Gone', 'dc.type'), (5, 'Item DOI', 'x.identifier.what'), (6, 'month', 'dc.nothing'), (7, 'Authors', 'not a name!')) as t(pos, "left", "replace")""",
+select cast(p_partkey as bigint) as pos, case p_partkey % 5 when 0 then p_brand || '+' || p_name when 1 then 'gone ' || p_name when 2 then p_type || '+' || p_brand else p_brand end as "left",
+  case p_size % 7 when 0 then 'dc.' || lower(p_type) || '[es]' when 1 then 'dc.' || lower(p_type) || '.identifier' when 2 then 'not a name!' when 3 then 'x.' || lower(p_type) when 4 then 'dc.' || lower(p_brand) else 'dc.' || lower(p_type) end as "replace"
+from {part}""",
     "header": """
-select * from (values ('Item Title'), ('Authors'), ('year'), ('month'), ('dc.kind.a'), ('Item DOI'), ('Extra')) as t("column")""",
+select distinct p_brand as "column" from {part} where p_size < 25 union select distinct p_type from {part} union select distinct p_name from {part} where p_retailprice < 1500""",
+    "canonical": f"""
+select distinct {_FIELD.format('p_size % 14')} as field, 'dc.' || lower(p_type) || case when p_type < 'M' then '[es]' else '' end as target from {{part}} where p_brand = 'Brand#1' or p_brand = 'Brand#2'""",
     "target_catalog": """
-select * from (values ('dc.title', true), ('dc.creator', true), ('dc.date.issued', false), ('dc.type', false)) as t(field, allow_lang)""",
+select distinct 'dc.' || lower(p_type) as field, p_type < 'M' as allow_lang from {part} union select distinct 'local.' || lower(p_type) || '.' || lower(replace(p_brand, '#', '')), false from {part}""",
 }
 
 
