@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers
-from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, validate, workflow
+from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, text_index, tree, validate, workflow
 from ..schema import GENERIC_FIELDS, dense_numbers, ws_trim
 from .views import ctes, view
 
@@ -262,3 +262,39 @@ add(
     lambda r: r.select("row_id", metrics.tool_selection(F.expr("case when percent % 3 = 0 then array() else array('fix', 'look') end"), F.expr("array('drop')"), F.expr(_used)).alias("right")),
     "select row_id, case when percent % 3 = 0 then percent % 4 = 0 else percent % 4 = 2 end as \"right\" from records",
 )
+
+
+# Search by relevance. Scores are rounded where they are compared, since sums of floats depend on their order.
+_BM25 = """
+with words as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') as w from documents),
+postings as (select term, doc_id, count(*) as tf, any_value(n) as n from (select doc_id, len(w) as n, unnest(w) as term from words) group by term, doc_id),
+totals as (select count(*) as rows, sum(len(w))::double / count(*) as mean from words),
+asked as (select distinct query, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as term from queries),
+df as (select term, count(*) as df from postings where term in (select term from asked) group by term),
+scored as (select query, doc_id, sum(ln(1 + (rows - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as score
+  from asked join postings using (term) join df using (term), totals group by query, doc_id)
+"""
+_ASKED = "the study of ouer, anat Vièle and reti"
+add("o13_relevance", "documents", lambda d: text_index.ask(text_index.build(d, "doc_id", ["text"]), _ASKED).select(C("key").alias("doc_id"), F.round("score", 5).alias("score")), _BM25.replace("from queries", f"from (select 0 as query, '{_ASKED}' as text)") + "select doc_id, round(score, 5) as score from scored")
+add(
+    "o1_best_works",
+    "documents benchmark",
+    lambda d, b: text_index.best(text_index.scores(text_index.build(d, "doc_id", ["text"]), b.select(C("item_id").alias("query"), "text")).withColumn("score", F.round("score", 5)), 5, ["query"]).select(C("query").alias("item_id"), "place", C("key").alias("doc_id"), "score"),
+    _BM25.replace("from queries", "from (select item_id as query, text from benchmark)") + "select query as item_id, place, doc_id, score from (select *, row_number() over (partition by query order by score desc, doc_id)::int as place from (select query, doc_id, round(score, 5) as score from scored)) where place <= 5",
+)
+
+# Trees: each part below the one of a third of its number, but for those that come round in a circle.
+_nodes = "select cast(p_partkey as bigint) as id, cast(case when p_partkey % 211 = 150 then p_partkey + 1 when p_partkey % 211 = 151 then p_partkey - 1 when p_partkey < 4 then null else floor(p_partkey / 3) end as bigint) as parent from {part}"
+_paths = f"""with recursive nodes as ({_nodes.format(part='part')}),
+roots as (select id from nodes n where parent is null or parent not in (select id from nodes)),
+walk as (select id, [id] as path from roots union all select n.id, list_append(w.path, n.id) from walk w join nodes n on n.parent = w.id)
+"""
+
+
+def _tree(p: DataFrame) -> DataFrame:
+    return p.sparkSession.sql(_nodes.format(part="{p}"), p=p)
+
+
+add("o15_paths", "part", lambda p: tree.paths(_tree(p), "id", "parent").select("id", F.array_join("path", "/").alias("path"), "depth", "cyclic"), _paths + "select id, array_to_string(path, '/') as path, len(path)::int - 1 as depth, false as cyclic from walk union all select id, null, null, true from nodes where id not in (select id from walk)")
+add("o15_subtree_sizes", "part", lambda p: tree.subtree_sizes(_tree(p), "id", "parent"), _paths + "select id, count(*) as nodes from (select unnest(path) as id from walk) group by id")
+add("o15_move", "part", lambda p: tree.paths(tree.move(_tree(p), "id", "parent", 12, 20), "id", "parent").where("not cyclic").select("id", "depth"), _paths.replace(_nodes.format(part="part"), f"select id, case when id = 12 then 20 else parent end as parent from ({_nodes.format(part='part')})") + "select id, len(path)::int - 1 as depth from walk")

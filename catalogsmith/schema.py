@@ -88,3 +88,13 @@ def dense_numbers(df: DataFrame, order_by: str, to: str) -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
     return local.join(shifts, "__part").withColumn(to, (F.col("__n") + F.col("__shift")).cast("long")).drop("__part", "__n", "__size", "__shift")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder that the session names and read again, for loops whose plans would grow without end. A
+    session that names none (as in tests) gets one below its warehouse, which executors share."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
