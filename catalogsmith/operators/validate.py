@@ -27,22 +27,52 @@ class InvalidInput(ValueError):
     """An input that later steps can't use."""
 
 
-def key_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, rows, distinct_values, blanks and is_key for all candidate columns, in one pass."""
-    aggs = []
+def key_test(df: DataFrame, columns: Sequence[str], slack: float = 0.1) -> DataFrame:
+    """column, rows, distinct_values, blanks and is_key of all candidate columns. One pass makes a sketch of each column's values (a
+    row a task, 16 KB a column at most). Where there are blanks, or the estimate is further below the rows than slack, many times the
+    sketch's error, a column is no key, and its distinct values are the sketch's estimate (exact is false); the others alone are
+    counted exactly."""
+    rough = _rough(df, columns)
+    likely = [c for c in columns if _may_be_key(rough, c, slack)]
+    exact = _distinct(df, likely)
+    found = [(c, rough["rows"], exact.get(c, rough[c][1]), rough[c][0], c in exact, rough["rows"] > 0 and exact.get(c) == rough["rows"]) for c in columns]
+    return df.sparkSession.createDataFrame(found, "column string, rows long, distinct_values long, blanks long, exact boolean, is_key boolean")
+
+
+def _rough(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Rows, and of each column the blanks and the estimate of distinct values."""
+    aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):
         v = ws_trim(col(c).cast("string"))
-        aggs += [F.count_distinct(v).alias(f"d{i}"), F.count_if(is_blank(v)).alias(f"b{i}")]
-    one = df.agg(F.count("*").alias("n"), *aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col("n").alias("rows"), F.col(f"d{i}").alias("distinct_values"), F.col(f"b{i}").alias("blanks")) for i, c in enumerate(columns)))
-    return one.select(F.explode(rows).alias("x")).select("x.*").withColumn("is_key", (F.col("blanks") == 0) & (F.col("rows") > 0) & (F.col("rows") == F.col("distinct_values")))
+        aggs += [F.count_if(is_blank(v)).alias(f"b{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(v, 14)).alias(f"d{i}")]
+    one = df.agg(*aggs).first()
+    return {"rows": one.n} | {c: (one[f"b{i}"], int(one[f"d{i}"] or 0)) for i, c in enumerate(columns)}
 
 
-def discover_key(df: DataFrame) -> str | None:
-    """The first candidate column that is a key; columns of DOIs are no candidates."""
+def _may_be_key(rough: dict, column: str, slack: float) -> bool:
+    blanks, distinct = rough[column]
+    return rough["rows"] > 0 and not blanks and distinct >= (1 - slack) * rough["rows"]
+
+
+def _distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Exact numbers of distinct values, column by column: each is one grouped count, which tasks combine before they shuffle."""
+    return {c: df.select(ws_trim(col(c).cast("string")).alias("v")).where("v is not null").distinct().count() for c in columns}
+
+
+def discover_key(df: DataFrame, slack: float = 0.1) -> str | None:
+    """The first candidate column that is a key; columns of DOIs are no candidates. Candidates that the sketch leaves are counted in
+    order until one is a key."""
     names = [c for c in df.columns if "doi" not in c.lower() and any(k in c.lower() for k in ("id", "uuid", "handle"))]
-    good = {r.column for r in key_test(df, names).where("is_key").collect()} if names else set()
-    return next((c for c in names if c in good), None)
+    rough = _rough(df, names) if names else {}
+    return next((c for c in names if _may_be_key(rough, c, slack) and _distinct(df, [c])[c] == rough["rows"]), None)
+
+
+def keyed_table(df: DataFrame, order_by: str) -> tuple[DataFrame, str]:
+    """df with a key and the key's name: the one that it has, else an injected one."""
+    if found := discover_key(df):
+        return df, found
+    out = inject_key(df, order_by)
+    return out, out.columns[0]
 
 
 def inject_key(df: DataFrame, order_by: str) -> DataFrame:

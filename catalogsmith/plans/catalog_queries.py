@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import providers
-from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, text_index, tree, validate, workflow
-from ..schema import GENERIC_FIELDS, dense_numbers, ws_trim
+from ..functions import errors, providers
+from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, text_index, transaction, tree, validate, workflow
+from ..schema import GENERIC_FIELDS, checkpoint_folder, dense_numbers, ws_trim
 from .views import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,17 @@ def add(name: str, views: str, build: Callable[..., DataFrame], sql: str | None
 
 
 # 2.C validation
-add("c3_key_test", "records", lambda r: validate.key_test(r.select("id", "issn", "title"), ["id", "issn", "title"]), " union all ".join(f"select '{c}' as \"column\", count(*) as rows, count(distinct trim({c})) as distinct_values, count(*) filter (where lower(trim({c})) in ('', 'nan', 'none')) as blanks, count(*) > 0 and count(*) = count(distinct trim({c})) and count(*) filter (where lower(trim({c})) in ('', 'nan', 'none')) = 0 as is_key from records" for c in ("id", "issn", "title")))
+add(
+    "c3_key_test",
+    "records",
+    lambda r: validate.key_test(r.select("id", "row_id", "issn", "title", "custkey"), ["id", "row_id", "issn", "title", "custkey"]).select("column", "rows", F.when(C("exact"), C("distinct_values")).alias("distinct_values"), "blanks", "is_key"),
+    " union all ".join(
+        f"""select '{c}' as "column", rows, case when blanks = 0 and distinct_values > 0.9 * rows then distinct_values end as distinct_values, blanks, rows > 0 and rows = distinct_values and blanks = 0 as is_key
+from (select count(*) as rows, count(distinct trim({c}::varchar)) as distinct_values, count(*) filter (where lower(trim({c}::varchar)) in ('', 'nan', 'none')) as blanks from records)"""
+        for c in ("id", "row_id", "issn", "title", "custkey")
+    ),
+)
+add("c4_keyed_table", "records orders", lambda r, o: r.sparkSession.createDataFrame([(name, key, t.columns[0]) for name, (t, key) in (("records", validate.keyed_table(r, "row_id")), ("orders", validate.keyed_table(o.select(C("o_custkey").alias("custom_id"), "o_orderkey"), "o_orderkey")))], "name string, key string, first string"), "select 'records' as name, case when count(distinct row_id) = count(*) then 'row_id' when count(distinct id) = count(*) then 'id' end as key, 'row_id' as first from records union all select 'orders', case when count(distinct o_custkey) = count(*) then 'custom_id' else 'id' end, case when count(distinct o_custkey) = count(*) then 'custom_id' else 'id' end from orders")
 add("c4_synthetic_key", "records", lambda r: validate.inject_key(r.select("title", "row_id"), "row_id").select("id", "row_id"), "select cast(row_number() over (order by row_id) as string) as id, row_id from records")
 # Mappings by their parts, and the columns that these name, in SQL.
 _parts = """+parts as (select pos, "left", "replace", trim(unnest(string_split("left", '+'))) as part from mappings),
@@ -58,6 +68,18 @@ add(
 select pos, case when pos in (select pos from bad) then 'incompatible' when regexp_extract("replace", '^([^\\[]+)', 1) not in (select field from target_catalog) then 'invalid' else 'valid' end as status from targets""",
 )
 add("c16_integrity", "records", lambda r: validate.integrity(r, r.where("percent > 0").drop("place"), "id"), "select count(*) as rows_before, count(*) filter (where percent > 0) as rows_after, count(*) filter (where percent = 0) as lost_ids, 1::bigint as lost_columns, false as valid from records")
+
+
+def _observed(r: DataFrame) -> DataFrame:
+    folder = f"{checkpoint_folder(r.sparkSession)}/c16"
+    before, after = transaction.write(r, folder, "id"), transaction.write(r.where("percent > 0").drop("place"), folder, "id")
+    out = transaction.report(before, after)
+    for v in (before, after):
+        transaction.dropped(r.sparkSession, v.path)
+    return out
+
+
+add("c16_observed", "records", _observed, "select count(*) as rows_before, count(*) filter (where percent > 0) as rows_after, count(*) filter (where percent = 0) as lost_ids, 1::bigint as lost_columns, false as valid from records")
 add("c17_catalog_facets", "target_catalog", validate.catalog_facets, "select 'field' as facet, field from target_catalog union select 'with_language', field from target_catalog where allow_lang union select 'base', split_part(field, '.', 1) || '.' || split_part(field, '.', 2) from target_catalog")
 
 # 2.D crosswalk
@@ -298,3 +320,20 @@ def _tree(p: DataFrame) -> DataFrame:
 add("o15_paths", "part", lambda p: tree.paths(_tree(p), "id", "parent").select("id", F.array_join("path", "/").alias("path"), "depth", "cyclic"), _paths + "select id, array_to_string(path, '/') as path, len(path)::int - 1 as depth, false as cyclic from walk union all select id, null, null, true from nodes where id not in (select id from walk)")
 add("o15_subtree_sizes", "part", lambda p: tree.subtree_sizes(_tree(p), "id", "parent"), _paths + "select id, count(*) as nodes from (select unnest(path) as id from walk) group by id")
 add("o15_move", "part", lambda p: tree.paths(tree.move(_tree(p), "id", "parent", 12, 20), "id", "parent").where("not cyclic").select("id", "depth"), _paths.replace(_nodes.format(part="part"), f"select id, case when id = 12 then 20 else parent end as parent from ({_nodes.format(part='part')})") + "select id, len(path)::int - 1 as depth from walk")
+
+# The context of errors: messages that quote titles, places and months of the records.
+_message = """case row_id % 5 when 0 then 'ValueError: cannot read "' || title || '" here' when 1 then 'KeyError at ' || chr(39) || place || chr(39) || ' or "nothing"' when 2 then 'bad "Junio" found' when 3 then 'the AUTHOR is odd' else 'a Titulo of ' || id end"""
+add(
+    "k34_error_context",
+    "records",
+    lambda r: errors.error_context(r.select("row_id", F.expr(_message).alias("message")), "message", r.select(C("row_id").alias("_row_id"), "id", "title", "author", "place"), ["id", "title", "author", "place"]).select("row_id", "error_class", F.array_join("sample_tokens", "|").alias("tokens"), "affected_column"),
+    f"""+m as (select row_id, {_message} as message from records),
+x as (select row_id, message, coalesce(nullif(regexp_extract(message, '\\b([A-Z][a-zA-Z]+Error)\\b', 1), ''), 'UnknownError') as error_class, list_filter(list_transform(regexp_extract_all(message, '[''"]([^''"]+)[''"]', 1), lambda t: trim(t)), lambda t: t <> '' and length(t) < 50) as w from m),
+head as (select row_number() over (order by row_id) as n, * from records order by row_id limit 49),
+cells as (select n * 4 as pos, 'id' as c, lower(id) as v from head union all select n * 4 + 1, 'title', lower(title) from head union all select n * 4 + 2, 'author', lower(author) from head union all select n * 4 + 3, 'place', lower(place) from head),
+hits as (select w, arg_min(c, pos) as c, min(pos) as pos from (select distinct unnest(w) as w from x) t join cells on v <> '' and contains(v, lower(w)) group by w),
+best as (select row_id, arg_min(c, pos) as c from (select row_id, unnest(w) as w from x) join hits using (w) group by row_id)
+select x.row_id, error_class, array_to_string(w, '|') as tokens,
+  coalesce(c, case when regexp_matches(lower(message), 'fecha|date|year|año') or list_contains(w, 'Junio') then 'date' when regexp_matches(lower(message), 'autor|author|creator') then 'author' when regexp_matches(lower(message), 'titulo|title') then 'title' else '' end) as affected_column
+from x left join best using (row_id)""",
+)

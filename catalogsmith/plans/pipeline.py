@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correct, crosswalk, enrich, join, sanitize, validate
+from ..operators import correct, crosswalk, enrich, join, sanitize, transaction, validate
 from ..schema import ENRICHABLE_FIELDS, GENERIC_FIELDS, ROW_ID, dense_numbers, with_row_id
 from ..sources import writers
 
@@ -29,6 +29,9 @@ class PipelineParams:
     target_map: crosswalk.Crosswalk | None = None
     providers: Sequence[enrich.Provider] = ()
     repairs: Sequence[tuple[str, str, dict]] = ()
+    #: A folder that all executors reach. With it every step is written once, its rows counted in that pass, and what fails at run
+    #: time fails in its step; without it steps only build plans.
+    folder: str | None = None
 
 
 @dataclass
@@ -36,16 +39,17 @@ class Run:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    versions: dict[str, transaction.Version] = field(default_factory=dict)
 
 
 def run(source: DataFrame, repository: DataFrame, params: PipelineParams, until: str = STEPS[-1]) -> Run:
     """Each step adds its tables; a step that fails says so and ends the run. After a failed deduplication the given repairs
-    (column, strategy, parameters) are applied and it is tried once more."""
+    (column, strategy, parameters) are applied, as transactions, and it is tried once more; a second failure is raised."""
     out = Run()
     t = out.tables
     for step in STEPS[: STEPS.index(until) + 1]:
         try:
-            _step(step, source, repository, params, out)
+            _settled(step, source, repository, params, out)
         except validate.InvalidInput as e:
             out.errors[step] = str(e)
             break
@@ -53,12 +57,32 @@ def run(source: DataFrame, repository: DataFrame, params: PipelineParams, until:
             if step != "deduplicate" or not params.repairs:
                 raise
             for column, strategy, parameters in params.repairs:
-                t["records"] = correct.repair(t["records"], "id", column, strategy, **parameters)
+                _repair(out, params, column, strategy, parameters)
             out.warnings.append(f"deduplicate was tried again after {type(e).__name__}")
-            _step(step, source, repository, params, out)
+            _settled(step, source, repository, params, out)
     return out
 
 
+def _settled(step: str, source: DataFrame, repository: DataFrame, params: PipelineParams, out: Run) -> None:
+    """A step, and its tables written if there is a folder."""
+    before = dict(out.tables)
+    _step(step, source, repository, params, out)
+    for name, df in list(out.tables.items()) if params.folder else ():
+        if df is not before.get(name):
+            out.versions[name] = transaction.write(df, f"{params.folder}/{name}", "id" if "id" in df.columns else None)
+            out.tables[name] = out.versions[name].table
+
+
+def _repair(out: Run, params: PipelineParams, column: str, strategy: str, parameters: dict) -> None:
+    change = lambda df: df.withColumn(column, correct.strategy(strategy)(F.col(column), **parameters))
+    if not params.folder:
+        out.tables["records"] = correct.repair(out.tables["records"], "id", column, strategy, **parameters)
+        return
+    done = transaction.transact(out.versions["records"], [change], f"{params.folder}/records")
+    out.versions["records"], out.tables["records"] = done.version, done.version.table
+    out.warnings += [f"repair of {column}: {e}" for e in done.errors]
+
+
 def _step(step: str, source: DataFrame, repository: DataFrame, params: PipelineParams, out: Run) -> None:
     t = out.tables
     if step == "validate":

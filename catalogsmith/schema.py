@@ -90,11 +90,14 @@ def dense_numbers(df: DataFrame, order_by: str, to: str) -> DataFrame:
     return local.join(shifts, "__part").withColumn(to, (F.col("__n") + F.col("__shift")).cast("long")).drop("__part", "__n", "__size", "__shift")
 
 
+def checkpoint_folder(spark) -> str:
+    """The folder that the session names for checkpoints; one below its warehouse, which executors share too, if it names none."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the session names and read again, for loops whose plans would grow without end. A
-    session that names none (as in tests) gets one below its warehouse, which executors share."""
+    """df, written to the checkpoint folder and read again, for loops whose plans would grow without end."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
