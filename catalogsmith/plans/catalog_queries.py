@@ -337,3 +337,36 @@ select x.row_id, error_class, array_to_string(w, '|') as tokens,
   coalesce(c, case when regexp_matches(lower(message), 'fecha|date|year|año') or list_contains(w, 'Junio') then 'date' when regexp_matches(lower(message), 'autor|author|creator') then 'author' when regexp_matches(lower(message), 'titulo|title') then 'title' else '' end) as affected_column
 from x left join best using (row_id)""",
 )
+
+
+def _default_chain(r: DataFrame, w: DataFrame) -> DataFrame:
+    """Four services' stored JSON: a registry that knows the DOIs of some customers' records, one that negotiates others, a graph by
+    journal, and books."""
+    one = lambda *cs: F.to_json(F.struct(*cs)).alias("json")
+    by_doi = r.where("doi != ''").select("doi", "custkey").distinct()
+    responses = {
+        "crossref": by_doi.where("custkey < 50").select("doi", one(F.array(F.concat(F.lit("Registry "), C("custkey"))).alias("container-title"), F.lit("journal-article").alias("type"))),
+        "csl": by_doi.where("custkey between 40 and 90").select("doi", one(F.concat(F.lit("Negotiated "), C("custkey")).alias("container-title"), F.lit("chapter").alias("type"))),
+        "openalex": w.where("pages = 7").select(F.lit("1234-567X").alias("issn"), one(F.struct(F.struct(C("publisher").alias("display_name")).alias("source")).alias("primary_location"), F.lit("article").alias("type"))),
+        "openlibrary": w.where("pages = 3").select(F.lit("978-0-306-x3").alias("isbn"), one("title")),
+    }
+    return enrich.chain(r.select("row_id", "doi", "issn", "isbn", "citation", "type"), enrich.default_chain(responses), ["citation", "type"]).select("row_id", "citation", "type", "provider")
+
+
+_known = """+h as (select *, case when doi <> '' and custkey < 50 then 'crossref' when doi <> '' and custkey between 40 and 90 then 'csl' when issn <> '' then 'openalex' when isbn <> '' then 'openlibrary' end as provider from records),
+p as (select min(publisher) as pub from works where pages = 7)
+"""
+add(
+    "l1_default_chain",
+    "records works",
+    _default_chain,
+    _known + f"""select row_id, case when {_e('citation')} then coalesce(case provider when 'crossref' then 'Registry ' || custkey when 'csl' then 'Negotiated ' || custkey when 'openalex' then pub end, citation) else citation end as citation,
+  case when {_e('type')} then coalesce(case provider when 'crossref' then 'journal-article' when 'csl' then 'chapter' when 'openalex' then 'article' when 'openlibrary' then 'Libro' end, type) else type end as type, provider from h, p""",
+)
+add(
+    "d14_target_map",
+    "records",
+    lambda r: enrich.target_payload(r.select("row_id", "title", C("author").alias("authors"), C("date").alias("year"), "doi", "type", C("citation").alias("journal"), "issn", C("place").alias("abstract_es"), C("affiliation").alias("abstract_en"), C("custkey").alias("pages"), "language", F.lit("").alias("subjects"), C("id").alias("publisher"), C("price").cast("long").alias("volume_and_issue"), "isbn", F.lit(True).alias("open_access"))),
+    """select row_id, nullif(title, '') as "dc.title", nullif(author, '') as "local.creator.person", nullif(date, '') as "dc.date.issued", nullif(doi, '') as "local.identifier.other", nullif(type, '') as "dc.type", nullif(citation, '') as "local.relation.journalTitle", nullif(issn, '') as "local.identifier.issn",
+  nullif(place, '') as "dc.abstract[es]", nullif(affiliation, '') as "dc.abstract[en]", cast(custkey as varchar) as "dc.format.extent", nullif(language, '') as "dc.language", null::varchar as "local.subject.materias", id as "dc.publisher", cast(trunc(price)::bigint as varchar) as "local.relation.journalVolumeAndIssue", nullif(isbn, '') as "local.identifier.isbn" from records""",
+)
