@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors, providers
-from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, search, text_index, transaction, tree, validate, workflow
-from ..schema import GENERIC_FIELDS, checkpoint_folder, dense_numbers, ws_trim
+from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, sanitize, search, text_index, transaction, tree, validate, workflow
+from ..schema import GENERIC_FIELDS, checkpoint_folder, dense_numbers, with_row_id, ws_trim
 from .views import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,7 +142,8 @@ add("g5_distinct_ids", "lineitem", lambda li: li.select(C("l_partkey").cast("lon
 add("g6_best_per_source", "documents", lambda d: aggregate.best_per_group(d, "source", "n_chars"), "select source, min(n_chars) as n_chars from documents group by source")
 add("g7_merge_hits", "works", lambda w: aggregate.merge_hits([w.select(C("work_id").alias("chunk_id"), C("price").alias("score"), F.lit("a").alias("backend")), w.where("pages < 25").select(C("work_id").alias("chunk_id"), (C("price") + 1).alias("score"), F.lit("b").alias("backend"))]), "select work_id as chunk_id, case when pages < 25 then price + 1 else price end as score, case when pages < 25 then 'b' else 'a' end as backend from works")
 add("h1_row_number", "records", lambda r: dense_numbers(r.select("row_id"), "row_id", "n"), "select row_id, row_number() over (order by row_id) as n from records")
-add("h2_fill_id", "records", lambda r: r.select("row_id", F.when(C("percent") % 3 == 0, F.concat(F.lit("item_"), C("row_id") + 1)).otherwise(ws_trim(C("id"))).alias("id")), "select row_id, case when percent % 3 = 0 then 'item_' || (row_id + 1) else id end as id from records")
+add("h2_fill_id", "records", lambda r: sanitize.sanitize_columns(r.select(C("row_id").alias("_row_id"), F.when(C("percent") % 3 == 0, " nan ").otherwise(F.concat(F.lit(" "), C("id"))).alias("id"))).select(C("_row_id").alias("row_id"), "id"), "select row_id, case when percent % 3 = 0 then 'item_' || (row_id + 1) else id end as id from records")
+add("h2_row_ids", "documents", lambda d: with_row_id(d.select("doc_id")).agg(F.count_distinct("_row_id").alias("n"), F.min("_row_id").alias("least"), F.max("_row_id").alias("most")), "select count(*) as n, 0::bigint as least, count(*) - 1 as most from documents")
 add("h3_item_folder", "records", lambda r: dense_numbers(r.select("row_id"), "row_id", "n").select("row_id", F.format_string("item_%03d", "n").alias("folder")), "select row_id, printf('item_%03d', row_number() over (order by row_id)) as folder from records")
 add("h4_first_per_key", "orders", lambda o: join.first_per_key(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey"), "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn from orders) where rn = 1")
 add("h6_zscore", "works", lambda w: aggregate.z_scores(w.select("work_id", "price"), "price").select("work_id", "z"), "select work_id, round((price - avg(price) over ()) / stddev_samp(price) over (), 4) as z from works")

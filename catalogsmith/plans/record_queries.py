@@ -223,7 +223,7 @@ add(
     lambda df: crosswalk.unsplit(df.select("row_id", F.expr("author || case when percent < 30 then ' of a body with a rather long name' else '' end").alias("author"), C("title").alias("subject")), ["author", "subject"]).select("row_id", F.array_join("unsplit", ",").alias("unsplit")),
     "select row_id, case when len(p) < 3 and len(list_filter(p, lambda x: length(x) > 40)) > 0 then 'author' else '' end as unsplit from (select row_id, list_filter(list_transform(string_split(author || case when percent < 30 then ' of a body with a rather long name' else '' end, '|'), lambda x: trim(x)), lambda x: x <> '') as p from records)",
 )
-add("a5_biased_head", "records", lambda df: aggregate.biased_head(df.select("id", "title", "author", "row_id"), "author", "row_id", least=30), "select id, title, author, row_id::string as row_id from records order by case when length(author) >= 30 then 0 else 1 end, records.row_id limit 5")
+add("a5_biased_head", "noisy", lambda df: aggregate.biased_head(df.select("row_id", "title", "description"), "description", "row_id"), "select cast(row_id as varchar) as row_id, substr(title, 1, 100) as title, substr(description, 1, 100) as description from noisy order by case when length(description) >= 35 then 0 else 1 end, noisy.row_id limit 5")
 add("a6_column_samples", "records", lambda df: aggregate.column_samples(df, "row_id", ["title", "doi"]), f"select * from (select 'title' as \"column\", row_number() over (order by row_id) as pos, substr(title, 1, 30) as value from records where not {blank('title')} union all select 'doi', row_number() over (order by row_id), substr(doi, 1, 30) from records where not {blank('doi')}) where pos <= 3")
 add(
     "a9_json_harvest",

@@ -71,10 +71,19 @@ def target_parts(name: str) -> tuple[str, str, str | None, str | None]:
 
 
 def with_row_id(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """A surrogate that survives joins: dense by order_by where that is given, else unique without a shuffle."""
-    if order_by is None:
-        return df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    return dense_numbers(df, order_by, ROW_ID)
+    """A surrogate that survives joins: 1, 2, ... by order_by where that is given, else 0, 1, ... in the order of the source's splits and
+    of rows within them, the same whenever a split is read again. Only the sizes of splits (a row each) are shared."""
+    if order_by is not None:
+        return dense_numbers(df, order_by, ROW_ID)
+    from pyspark.sql import Window
+
+    numbered = df.withColumn("__m", F.monotonically_increasing_id())  # the split above bit 33, the place below
+    split = F.shiftright("__m", 33)
+    sizes = numbered.select(split.alias("__split")).groupBy("__split").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("__split", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
+    joined = numbered.join(F.broadcast(shifts), split == F.col("__split"))
+    return joined.withColumn(ROW_ID, (F.col("__shift") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__m", "__split", "__shift")
 
 
 def dense_numbers(df: DataFrame, order_by: str, to: str) -> DataFrame:

@@ -143,3 +143,9 @@ def test_top_k_and_pages(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 10).alias("score"))
     assert [r.id for r in aggregate.top_k(df, "score", "id", 3).collect()] == [0, 10, 20]
     assert [r.id for r in aggregate.keyset_page(df, "id", 50, 3).collect()] == [51, 52, 53]
+
+
+def test_row_ids_are_contiguous(spark):
+    df = spark.range(1000).repartition(7, "id").where("id % 13 != 0")
+    ids = sorted(r._row_id for r in with_row_id(df).collect())
+    assert ids == list(range(len(ids))) and with_row_id(df.where("false")).count() == 0
