@@ -77,7 +77,8 @@ def fix_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     for tag, fix in steps:
         on = [f for f in fields if f != "id" and (tag != "TEXTO_PEGADO" or f in ("description", "citation"))]
         has = {f: F.coalesce(F.array_contains(F.col("anomalies")[f], tag), F.lit(False)) for f in on}
-        df = df.withColumns({f: fence(F.when(has[f], fix(col(f))).otherwise(col(f))) for f in on})
+        # The fixer's own null where the tag is absent: a function outside the JVM is called on every row.
+        df = df.withColumns({f: fence(F.when(has[f], fix(F.when(has[f], col(f)))).otherwise(col(f))) for f in on})
     return df.withColumn("author", fence(t.distinct_values(col("author")))) if "author" in fields else df
 
 

@@ -67,3 +67,15 @@ def test_queries_read_whole_texts(spark, folder):
     assert label[13] == label[19] == "suspicious" and label[26] == "clean"
     review = {r.row_id for r in run("m12_curation")}
     assert 13 in review and not {19, 26} & review
+
+
+def test_cycles_of_texts_searched_together():
+    rng = random.Random(11)
+    texts = ["", "ab" * 40, "x" * 44, "x" * 45, "a line\n" * 20]
+    for _ in range(300):
+        part = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 40)))
+        texts.append("".join(rng.choice(["", part, part * 2, part * 3, "abcab", "\n"]) for _ in range(rng.randint(0, 6))))
+    for lines, dot in ((True, "[^\\n\\r\\u0085\\u2028\\u2029]"), (False, "(?s:.)")):
+        alone = [t.first_cycle(x, lines) for x in texts]
+        assert t.first_cycles(texts, lines) == alone
+        assert [x is not None for x in alone] == [re.search(rf"({dot}{{15,}}?)\1\1", x) is not None for x in texts]
