@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors, providers
-from ..operators import aggregate, crosswalk, enrich, join, metrics, retrieve, sanitize, search, text_index, transaction, tree, validate, workflow
+from ..operators import aggregate, crosswalk, enrich, evaluate, join, metrics, retrieve, sanitize, search, text_index, transaction, tree, validate, workflow
 from ..schema import GENERIC_FIELDS, checkpoint_folder, dense_numbers, with_row_id, ws_trim
 from .views import ctes, view
 
@@ -286,6 +286,102 @@ add(
     "select row_id, case when percent % 3 = 0 then percent % 4 = 0 else percent % 4 = 2 end as \"right\" from records",
 )
 
+# Evaluation cases: eight rows of the views of mappings are a case
+def _mapping_cases(m: DataFrame, e: DataFrame) -> DataFrame:
+    """A row a case: its mappings in order, and what is expected of it, by the place in the case."""
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("pos", F.col("left"), F.col("replace"), (C("pos") % 3 == 0).alias("required"))))
+        return df.groupBy(F.floor(C("pos") / 8).alias("case")).agg(rows.alias(name))
+
+    return listed(m, "m").join(listed(e, "e"), "case")
+
+
+def _expected(places: int, rest: int) -> Column:
+    return F.transform(F.filter("e", lambda x: x["pos"] % places == rest), lambda x: F.struct(x["left"], x["replace"]))
+
+
+add(
+    "t3_configuration",
+    "mappings expected",
+    lambda m, e: _mapping_cases(m, e).select(
+        "case",
+        F.round(evaluate.pairs_kept(C("m"), _expected(2, 0)), 4).alias("kept"),
+        evaluate.configuration_repaired(C("m"), _expected(2, 0), _expected(4, 1)["left"], F.lit(None).cast(evaluate.PAIRS)).alias("repaired"),
+    ),
+    """+held as (select pos // 8 as k, trim("left") as l, max_by(trim("replace"), pos) as r from mappings group by 1, 2),
+asked as (select e.pos // 8 as k, e.pos, "replace" as f, r from expected e left join held h on h.k = e.pos // 8 and h.l = e."left")
+select k as "case", round(avg(coalesce(r = f, false)::int) filter (where pos % 2 = 0), 4) as kept,
+  case when coalesce(bool_and(coalesce(r = f, false)) filter (where pos % 2 = 0), true) and coalesce(bool_and(r is null) filter (where pos % 4 = 1), true) then 1.0 else 0.0 end as repaired
+from asked where pos % 2 = 0 or pos % 4 = 1 group by k""",
+)
+add(
+    "t2_feedback_recovery",
+    "mappings expected",
+    lambda m, e: _mapping_cases(m, e).select(
+        "case",
+        evaluate.feedback_recovered(C("m"), _expected(8, 1)["replace"], _expected(8, 2), F.lit(None).cast(evaluate.NAMES), F.array(F.lit("weird")), _expected(8, 5)["replace"]).alias("recovered"),
+    ),
+    """+held as (select pos // 8 as k, "replace" as f, max_by("left", pos) as l, max_by(pos % 3 = 0, pos) as required from mappings group by 1, 2),
+asked as (select e.pos // 8 as k, e.pos % 8 as place, e."left" as was, h.l, h.required from expected e left join held h on h.k = e.pos // 8 and h.f = e."replace"),
+weird as (select distinct k from held where f = 'weird')
+select k as "case", case when bool_and(case place when 1 then l is not null when 2 then coalesce(lower(l) = lower(was), false) when 5 then not coalesce(required, false) else true end)
+  and k not in (select k from weird) then 1.0 else 0.0 end as recovered from asked group by k""",
+)
+add(
+    "t2_splitting",
+    "values_list",
+    lambda v: v.select(
+        "row_id",
+        evaluate.splitting_exact(
+            F.when(C("row_id") % 3 == 0, r"\|+").when(C("row_id") % 3 == 1, ";").otherwise("("),
+            F.array("many"),
+            F.array(F.array("p_brand", "p_type", "p_brand")),
+            F.lit(0.5),
+            C("row_id") % 5 == 0,
+        ).alias("score"),
+    ),
+    """select row_id, case when row_id % 5 = 0 then (row_id % 3 = 1)::int else (row_id % 3 = 0 and row_id % 4 <> 0)::int end::double as score from values_list""",
+)
+_CASES = {
+    "extraction": "percent % 2 = 1 or not regexp_matches(date, '\\d{4}')",
+    "action": "case when percent < 30 then percent % 2 = 0 and percent % 3 <> 0 when percent < 60 then percent % 3 = 0 and percent % 2 <> 0 else percent % 2 = 0 or percent % 3 = 0 end",
+    "repair": "case when percent < 50 then percent % 4 > 0 and percent % 5 <> 0 and place in ('La Plata', '') end",
+    "rules": "case when percent % 3 > 0 then percent % 3 = 1 and contains(lower(title), 'work') end",
+    "notes": "trim(place) <> ''",
+}
+add(
+    "t4_recovery_scores",
+    "records",
+    lambda r: evaluate.summary(
+        r,
+        {
+            "extraction": evaluate.extraction_exact(F.when(C("percent") % 2 == 1, r"(\d{4})").otherwise("("), F.array(F.struct(C("date").alias("value"), F.regexp_extract("date", r"\d{4}", 0).alias("expected")))),
+            "action": evaluate.action_right(C("percent") < 30, C("percent") < 60, C("percent") % 2 == 0, C("percent") % 3 == 0),
+            "repair": evaluate.repair_done(
+                C("percent") < 50, F.lit("ok"), C("percent") % 4, C("percent") % 5 != 0, F.create_map("id", "place"), F.array(F.struct("id", F.array(F.lit("La Plata"), F.lit("")).alias("values")))
+            ),
+            "rules": evaluate.rules_named(
+                F.create_map(F.lit("June"), C("title")), F.when(C("percent") % 3 == 1, F.array(F.lit("JUNE"))).when(C("percent") % 3 == 2, F.array(F.lit("may"))), F.array(F.lit("WORK"))
+            ),
+            "notes": evaluate.has_notes(C("place")),
+        },
+    ),
+    "+scored as (" + " union all ".join(f"select '{n}' as metric, ({sql})::int as v from records" for n, sql in _CASES.items()) + ")\n"
+    "select metric, count(v) as cases, round(avg(v), 4) as mean, count(*) filter (where v = 1) as whole from scored group by metric",
+)
+add(
+    "t4_memory_effect",
+    "records",
+    lambda r: r.groupBy(
+        evaluate.memory_effect(
+            F.when(C("percent") % 4 == 1, "relevant").when(C("percent") % 4 == 2, "distractor").when(C("percent") % 4 == 3, "mixed").otherwise("none"), C("percent") < 80, C("percent") % 3 > 0, C("place") == "nan"
+        ).alias("effect")
+    ).agg(F.count("*").alias("n")),
+    """select case percent % 4 when 1 then case when plain and sure then 'transferred' else 'not_transferred' end when 2 then case when plain then 'ignored' else 'contaminated' end
+  when 3 then case when plain and sure then 'told_apart' else 'confused' end end as effect, count(*) as n from (select percent, percent < 80 and place <> 'nan' as plain, percent % 3 > 0 as sure from records) group by 1""",
+)
+
 
 # Search by relevance. Scores are rounded where they are compared, since sums of floats depend on their order.
 _BM25 = """
