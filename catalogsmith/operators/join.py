@@ -156,10 +156,16 @@ def without_duplicates(source: DataFrame, edges: DataFrame, key: str = "id", thr
     return source.join(bad, ws_trim(col(key).cast("string")) == F.col("__id"), "left_anti")
 
 
-def below_threshold(source: DataFrame, totals: DataFrame, key: str = "id", threshold: float = 10.0) -> DataFrame:
-    """The older form: source rows whose id has a total below the threshold (not a number: 0)."""
-    fine = totals.where(F.coalesce(F.col("total").try_cast("double"), F.lit(0.0)) < threshold).select(F.col("id").cast("string").alias("__id")).distinct()
-    return source.join(fine, col(key).cast("string") == F.col("__id"), "left_semi")
+def below_threshold(source: DataFrame, totals: DataFrame, key: str | None = "id", threshold: float = 10.0, position: str = "_row_id") -> DataFrame:
+    """The older form: source rows whose id has a total below the threshold (not a number: 0). A table without a column total has it
+    in its last column, one without id in its first. A source without a key is matched by position, a column that both have."""
+    total = "total" if "total" in totals.columns else totals.columns[-1]
+    if key is None:
+        ident, own = position, position
+    else:
+        ident, own = "id" if "id" in totals.columns else totals.columns[0], key
+    fine = totals.where(F.coalesce(col(total).try_cast("double"), F.lit(0.0)) < threshold).select(col(ident).cast("string").alias("__id")).distinct()
+    return source.join(fine, col(own).cast("string") == F.col("__id"), "left_semi")
 
 
 def fill_blank(df: DataFrame, lookup: DataFrame, key: str, fields: Sequence[str], also: dict[str, str] | None = None) -> DataFrame:
@@ -193,6 +199,15 @@ def lookup_join(df: DataFrame, key: str, provider: DataFrame, fields: Sequence[s
     return df.withColumn("__k", normalise(col(key))).join(found, "__k", "left").drop("__k")
 
 
+def sample_values(df: DataFrame, order: str, fields: Sequence[str], most: int = 5) -> DataFrame:
+    """field, position (from 1) and value: of each field its first few different values that are not empty, in the order of a column.
+    Values are aggregated before they are ranked, and a task keeps as many of a field as are asked."""
+    entry = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), col(f).cast("string").alias("value")) for f in fields)))
+    first = df.select(col(order).alias("at"), entry.alias("x")).where("x.value <> ''").groupBy("x.field", "x.value").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy("at", "value"))
+    return first.withColumn("position", place).where(F.col("position") <= most).select("field", "position", "value")
+
+
 def row_sync(source: DataFrame, generic: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Source columns (right) take the generic values (left) of the same row, by the surrogate and not by position."""
     own = generic.select("_row_id", *(col(g).alias(f"g_{g}") for g in fields))

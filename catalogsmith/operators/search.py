@@ -167,6 +167,12 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.select(*table.columns))
 
 
+def seeded(table: DataFrame, defaults: DataFrame) -> DataFrame:
+    """The table, or the default rows if it has none. One row decides, which at most one row of each task is read for."""
+    none = table.select(F.lit(1).alias("__one")).limit(1).agg((F.count("*") == 0).alias("__none"))
+    return table.unionByName(defaults.join(F.broadcast(none), F.col("__none")).drop("__none"))
+
+
 def replace_archived(items: DataFrame, rows: DataFrame, key: str, archived: str) -> DataFrame:
     """A new version in which rows (one a key) replace archived items wholly; rows of items not archived, or unknown, have no
     effect."""

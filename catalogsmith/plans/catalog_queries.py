@@ -130,6 +130,31 @@ add("f4_semi_reconcile", "records", lambda r: join.below_threshold(r, r.select("
 add("e5_below_threshold", "records", lambda r: join.below_threshold(r, r.select("id", C("percent").cast("string").alias("total")), threshold=30.0).agg(F.count("*").alias("n")), "select count(*) as n from records where percent < 30")
 add("f5_fill_blank", "records", lambda r: join.fill_blank(r.select("row_id", "id", "author", "type", "place"), r.select(C("row_id").alias("_row_id"), "id", C("title").alias("author"), C("language").alias("type")), "id", ["author", "type"], {"type": "place"}).select("row_id", "author", "type", "place"), "select row_id, " + ", ".join(f"case when coalesce({c}, '') in ('', 'nan', 'None') and {g} not in ('', 'nan', 'None') then {g} else {c} end as {c}" for c, g in (("author", "title"), ("type", "language"), ("place", "language"))) + " from records")
 add("f6_replay", "records", lambda r: join.replay(r.select("id", "title", "author"), r.where("percent < 20").select(C("row_id").alias("seq"), C("id").alias("row_id"), F.when(C("percent") % 2 == 0, "title").otherwise("author").alias("column"), F.upper("id").alias("cleaned")).unionByName(r.where("percent < 5").select((C("row_id") + 10**9).alias("seq"), C("id").alias("row_id"), F.lit("title").alias("column"), F.lit("last").alias("cleaned"))), "id", ["title", "author"]), "select id, case when percent < 5 then 'last' when percent < 20 and percent % 2 = 0 then upper(id) else title end as title, case when percent < 20 and percent % 2 = 1 then upper(id) else author end as author from records")
+add(
+    "e5_by_position",
+    "records",
+    lambda r: join.below_threshold(r.select("row_id", "title"), r.select("row_id", F.when(C("percent") % 9 > 0, C("percent")).cast("string").alias("score")), None, 30.0, "row_id").select("row_id"),
+    "select row_id from records where percent < 30 or percent % 9 = 0",
+)
+add(
+    "f7_samples",
+    "records customer",
+    lambda r, c: join.sample_values(
+        join.lookup_join(r.select("row_id", C("custkey").cast("string").alias("k")), "k", c.select(C("c_custkey").cast("string").alias("k"), "c_name", "c_mktsegment"), ["c_name", "c_mktsegment"]),
+        "row_id",
+        ["inferred_c_name", "inferred_c_mktsegment"],
+    ),
+    """+found as (select row_id, unnest([{'f': 'inferred_c_name', 'v': c_name}, {'f': 'inferred_c_mktsegment', 'v': c_mktsegment}]) as x from records join customer on custkey = c_custkey)
+select field, position, value from (select x.f as field, x.v as value, row_number() over (partition by x.f order by min(row_id), x.v) as position from found where x.v <> '' group by x.f, x.v) where position <= 5""",
+)
+add(
+    "p3_seeded",
+    "embeddings",
+    lambda e: search.seeded(e.select("vec_id", "label"), e.select((-C("vec_id")).alias("vec_id"), "label")).unionByName(
+        search.seeded(e.where("vec_id < 0").select("vec_id", "label"), e.select((-1 - C("vec_id")).alias("vec_id"), "label"))
+    ),
+    "select vec_id, label from embeddings union all select -1 - vec_id, label from embeddings",
+)
 add("f7_lookup", "records customer", lambda r, c: join.lookup_join(r.select("row_id", C("custkey").cast("string").alias("k")), "k", c.select(C("c_custkey").cast("string").alias("k"), "c_name"), ["c_name"]).select("row_id", "inferred_c_name"), "select row_id, c_name as inferred_c_name from records left join customer on custkey = c_custkey")
 add("f8_restore_order", "records", lambda r: r.where("percent >= 50").unionByName(r.where("percent < 50")).orderBy("row_id").select("row_id"), "select row_id from records order by row_id")
 add("f9_merge_decisions", "records", lambda r: join.merge_decisions(r.select("id", "title", "type"), r.where("percent < 10").select("id", F.lit("decided").alias("title"), F.lit("").alias("type")), "id", ["title", "type"]), "select id, case when percent < 10 then 'decided' else title end as title, type from records")

@@ -61,6 +61,15 @@ C = F.col
 
 # 2.K scalar functions
 scalar("k1_clean_date", "records", lambda: t.clean_date(C("date")), clean_date_sql("date"))
+_trimmed = "trim(coalesce(date, ''))"
+scalar(
+    "k1_date_changed",
+    "records",
+    lambda: t.date_changed(C("date")),
+    f"case when {_trimmed} = '' then false when regexp_matches({_trimmed}, '^\\d{{4}}(-\\d{{2}}(-\\d{{2}})?)?$') then {_trimmed} <> coalesce(date, '') else {clean_date_sql('date')} <> {_trimmed} end",
+)
+_any_year = "nullif(regexp_extract({0}, '(^|[^\\p{{L}}\\p{{N}}_])((?:18|19|20)\\d\\d)($|[^\\p{{L}}\\p{{N}}_])', 2), '')"
+scalar("k2_infer_from_text", "noisy", lambda: t.infer_date(F.lit(None).cast("string"), C("title"), C("description")), f"coalesce({_any_year.format('title')}, {_any_year.format('description')}, '')")
 scalar("k2_infer_date", "records", lambda: t.infer_date(C("date"), C("citation"), C("title")), infer_date_sql())
 scalar("k3_infer_type", "records", lambda: t.infer_type(C("type"), C("issn"), C("isbn"), C("citation"), C("title")), infer_type_sql())
 scalar("k4_default_author", "records", lambda: t.default_author(C("author")), f"case when {blank('author')} then 'Desconocido' else author end")
@@ -121,7 +130,11 @@ add(
     "select round(avg(contains(many, '||')::int), 4) as two_bars, round(avg(contains(many, '|||')::int), 4) as three_bars, round(avg(contains(many, ';')::int), 4) as semicolon from values_list",
 )
 scalar("k27_split_names", "records", lambda: F.array_join(t.split_names(F.regexp_replace("author", r"[|, ]", "")), ";"), None)
-scalar("k28_canonical_separators", "values_list", lambda: t.canonical_separators(C("many")), "regexp_replace(many, '\\|+', '||', 'g')")
+_two = "replace(coalesce(many, ''), '|||', '||')"
+for _ in range(2):  # a bar beside the last match's end is met the second time
+    _two = f"regexp_replace({_two}, '(^|[^|])\\|([^|]|$)', '\\1||\\2', 'g')"
+_LONE_BARS = f"case when many = 'nan' then '' else {_two} end"
+scalar("k28_canonical_separators", "values_list", lambda: t.canonical_separators(C("many")), _LONE_BARS)
 _LANGUAGE_SQL = """coalesce(case when lower(trim(language)) in ('english', 'inglés', 'ingles', 'eng') then 'en' when lower(trim(language)) in ('spanish', 'español', 'espanol', 'spa') then 'es'
   when lower(trim(language)) in ('portuguese', 'portugués', 'portugues', 'por') then 'pt' when lower(trim(language)) in ('es', 'en', 'pt', 'fr', 'de', 'it', 'zh', 'ja', 'ar') then lower(trim(language)) end, language)"""
 scalar("k29_language", "records", lambda: t.language_code(C("language")), _LANGUAGE_SQL)
