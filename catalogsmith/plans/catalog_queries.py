@@ -332,12 +332,12 @@ add(
     lambda m, e: _mapping_cases(m, e).select(
         "case",
         F.round(evaluate.pairs_kept(C("m"), _expected(2, 0)), 4).alias("kept"),
-        evaluate.configuration_repaired(C("m"), _expected(2, 0), _expected(4, 1)["left"], F.lit(None).cast(evaluate.PAIRS)).alias("repaired"),
+        evaluate.configuration_repaired(C("m"), _expected(8, 4), F.transform(_expected(4, 1), lambda x: F.concat(x["left"], F.lit("*"))), F.lit(None).cast(evaluate.PAIRS)).alias("repaired"),
     ),
     """+held as (select pos // 8 as k, trim("left") as l, max_by(trim("replace"), pos) as r from mappings group by 1, 2),
-asked as (select e.pos // 8 as k, e.pos, "replace" as f, r from expected e left join held h on h.k = e.pos // 8 and h.l = e."left")
+asked as (select e.pos // 8 as k, e.pos, "replace" as f, r from expected e left join held h on h.k = e.pos // 8 and h.l = e."left" || case when pos % 4 = 1 then '*' else '' end)
 select k as "case", round(avg(coalesce(r = f, false)::int) filter (where pos % 2 = 0), 4) as kept,
-  case when coalesce(bool_and(coalesce(r = f, false)) filter (where pos % 2 = 0), true) and coalesce(bool_and(r is null) filter (where pos % 4 = 1), true) then 1.0 else 0.0 end as repaired
+  case when coalesce(bool_and(coalesce(r = f, false)) filter (where pos % 8 = 4), true) and coalesce(bool_and(r is null) filter (where pos % 4 = 1), true) then 1.0 else 0.0 end as repaired
 from asked where pos % 2 = 0 or pos % 4 = 1 group by k""",
 )
 add(

@@ -68,8 +68,13 @@ scalar(
     lambda: t.date_changed(C("date")),
     f"case when {_trimmed} = '' then false when regexp_matches({_trimmed}, '^\\d{{4}}(-\\d{{2}}(-\\d{{2}})?)?$') then {_trimmed} <> coalesce(date, '') else {clean_date_sql('date')} <> {_trimmed} end",
 )
-_any_year = "nullif(regexp_extract({0}, '(^|[^\\p{{L}}\\p{{N}}_])((?:18|19|20)\\d\\d)($|[^\\p{{L}}\\p{{N}}_])', 2), '')"
-scalar("k2_infer_from_text", "noisy", lambda: t.infer_date(F.lit(None).cast("string"), C("title"), C("description")), f"coalesce({_any_year.format('title')}, {_any_year.format('description')}, '')")
+_year_of = lambda c: f"case when not {blank(c)} then nullif(regexp_extract({c}, '\\b((?:18|19|20)\\d\\d)\\b', 1), '') end"
+scalar(
+    "k2_infer_from_text",
+    "records",
+    lambda: t.infer_date(C("date"), C("citation"), C("title"), F.concat(F.lit("of "), (C("custkey") + 1750).cast("string"), F.lit("."))),
+    f"case when not {blank('date')} then {clean_date_sql('date')} else coalesce({_year_of('citation')}, {_year_of('title')}, nullif(regexp_extract('of ' || (custkey + 1750) || '.', '\\b((?:18|19|20)\\d\\d)\\b', 1), ''), '') end",
+)
 scalar("k2_infer_date", "records", lambda: t.infer_date(C("date"), C("citation"), C("title")), infer_date_sql())
 scalar("k3_infer_type", "records", lambda: t.infer_type(C("type"), C("issn"), C("isbn"), C("citation"), C("title")), infer_type_sql())
 scalar("k4_default_author", "records", lambda: t.default_author(C("author")), f"case when {blank('author')} then 'Desconocido' else author end")
