@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_letters, least_year
-from ..schema import col, is_blank, is_empty_cell, ws_trim
+from ..schema import col, cut_lineage, is_blank, is_empty_cell, ws_trim
 
 
 @dataclass(frozen=True)
 class DedupRules:
     """Weights of the parts of a score of 0 to 100; when two titles are alike: by the shares of their words that they have in
-    common (Jaccard), or, of titles of up to short letters, by edits; how many titles may have a word before it is crowded; and
-    the two thresholds of a decision."""
+    common (Jaccard), or, of titles of up to short letters, by edits; how many pairs may share a signature before it is crowded;
+    and the two thresholds of a decision."""
 
     title: float = 0.6
     author: float = 0.3
@@ -44,17 +44,51 @@ def year_likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.abs(a - b) <= 1, 0.5).when(a.isNotNull() & b.isNotNull(), 0.0)
 
 
-def _word_signatures(titles: DataFrame, frequency: DataFrame, rules: DedupRules) -> DataFrame:
-    """(sig, tid, n): what a title can share with any that is alike by words. In the order of rarity, two such titles share one of
-    the first n - ceil(words * n) + 1 words of each; and, unless they are equal, two of one word more. So a word that is not
-    crowded is a signature by itself, and crowded ones are signatures in pairs."""
-    words = titles.select("tid", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
-    ranked = words.join(frequency, "word").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w")).withColumn("n", F.size("w"))
-    prefix = F.col("n") - F.ceil(F.lit(rules.words) * F.col("n") - 1e-9).cast("int") + 1
-    rare = F.transform(F.filter(F.slice("w", 1, prefix), lambda x: x["df"] <= rules.crowd), lambda x: F.xxhash64(x["word"]))
-    common = F.filter(F.slice("w", 1, prefix + 1), lambda x: x["df"] > rules.crowd)
-    pairs = F.flatten(F.transform(common, lambda x, i: F.transform(F.slice(common, i + 2, F.size(common)), lambda y: F.xxhash64(x["word"], y["word"]))))
-    return ranked.select(F.explode(F.array_union(rare, pairs)).alias("sig"), "tid", "n")
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded in binary, half up: Spark's own round goes by the decimal digits that a double prints, so it turns some halves that
+    are none in binary the other way."""
+    return F.round(c * F.lit(float(10**digits))) / F.lit(float(10**digits))
+
+
+#: Words of a signature at most. Titles that still crowd it are met by it nonetheless: it only leaves more pairs to check.
+DEPTH = 5
+
+
+def _word_pairs(left: DataFrame, right: DataFrame, rules: DedupRules) -> DataFrame:
+    """(a, b): all pairs that can be alike by words, and few others. Of titles of n and m words, o at least are in both, so in the
+    order of rarity the k-th of these is one of the first n - o + k words. A signature is the first shared word; where too many
+    pairs have it, it goes on with the two sizes (these make o greater), and then with the second shared word, and so on."""
+    share = rules.words / (1 + rules.words)
+    both = left.select("tid", "title", F.lit(True).alias("l")).unionByName(right.select("tid", "title", F.lit(False).alias("l")))
+    words = both.groupBy("tid").agg(F.first("title").alias("title"), F.collect_set("l").alias("sides")).select("tid", "sides", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
+    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = words.join(frequency, "word").groupBy("tid").agg(F.first("sides").alias("sides"), F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    ranked = ranked.select("tid", F.explode("sides").alias("l"), F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x["word"])).alias("w"))
+    n, m = F.col("n"), F.col("m")
+    rows = ranked.withColumn("last", F.explode(F.sequence(F.lit(0), n - F.ceil(F.lit(rules.words) * n - 1e-9).cast("int"))))
+    rows = rows.select("tid", "l", "n", "w", F.lit(0).alias("m"), F.lit(0).alias("o"), "last", F.get("w", F.col("last")).alias("sig"))
+    found, depth = [], 1
+    while True:
+        counts = rows.groupBy("sig").agg((F.count_if("l") * F.count_if(~F.col("l"))).alias("pairs")).where("pairs > 0")
+        rows = cut_lineage(rows.join(counts, "sig"))
+        full = (F.col("o") == depth) if depth < DEPTH else F.lit(True)
+        done = rows.where((F.col("pairs") <= rules.crowd) | full)
+        own = done.where("l").select("sig", F.col("tid").alias("a"), n.alias("na"))
+        other = done.where("not l").select("sig", F.col("tid").alias("b"), n.alias("nb"))
+        sized = (F.col("nb") >= rules.words * F.col("na") - 1e-9) & (F.col("na") >= rules.words * F.col("nb") - 1e-9)
+        found.append(own.join(other, "sig").where(sized).select("a", "b"))
+        rows = rows.where((F.col("pairs") > rules.crowd) & ~full).drop("pairs")
+        if rows.isEmpty():
+            return reduce(lambda x, y: x.union(y), found)
+        if depth == 1 and len(found) == 1:
+            rows = rows.withColumn("m", F.explode(F.sequence(F.ceil(F.lit(rules.words) * n - 1e-9).cast("int"), F.floor(n / rules.words + 1e-9).cast("int"))))
+            rows = rows.withColumn("o", F.ceil(share * (n + m) - 1e-9).cast("int")).where("last <= n - o")
+            sizes = F.when(F.col("l"), F.xxhash64("sig", "n", "m")).otherwise(F.xxhash64("sig", "m", "n"))
+            rows = rows.withColumn("sig", sizes)
+        else:
+            depth += 1
+            rows = rows.where(F.col("last") < n - F.col("o") + depth - 1).withColumn("last", F.explode(F.sequence(F.col("last") + 1, n - F.col("o") + depth - 1)))
+            rows = rows.withColumn("sig", F.xxhash64("sig", F.get("w", F.col("last"))))
 
 
 def _segments(n: Column, rules: DedupRules) -> tuple[Column, Column]:
@@ -101,24 +135,22 @@ def alike(a: Column, b: Column, rules: DedupRules = DedupRules()) -> Column:
 def alike_titles(left: DataFrame, right: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
     """All pairs of distinct titles (tid, title) of two tables that are alike: a, b and near, their likeness. Signatures are joined
     by numbers alone; titles are fetched for the pairs that share one, each pair once."""
-    words = left.select("title").union(right.select("title")).distinct().select(F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
-    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
-    one, other = (_word_signatures(t, frequency, rules) for t in (left, right))
-    one, other = one.withColumnRenamed("tid", "a").withColumnRenamed("n", "na"), other.withColumnRenamed("tid", "b").withColumnRenamed("n", "nb")
-    sized = (F.col("nb") >= rules.words * F.col("na") - 1e-9) & (F.col("na") >= rules.words * F.col("nb") - 1e-9)
-    by_words = one.join(other, "sig").where(sized).select("a", "b")
-    equal = left.select(F.col("tid").alias("a"), "title").join(right.select(F.col("tid").alias("b"), "title"), "title").select("a", "b")
-    pairs = by_words.union(equal).union(_edit_pairs(left, right, rules)).distinct()
+    by_words = _word_pairs(left, right, rules)
+    pairs = by_words.union(_edit_pairs(left, right, rules)).where("a != b").distinct()
     held = pairs.join(left.select(F.col("tid").alias("a"), F.col("title").alias("ta")), "a").join(right.select(F.col("tid").alias("b"), F.col("title").alias("tb")), "b")
-    return held.where(alike(F.col("ta"), F.col("tb"), rules)).select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("near"))
+    found = held.where(alike(F.col("ta"), F.col("tb"), rules)).select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("near"))
+    equal = left.join(right.select("tid"), "tid", "left_semi").select(F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("near"))
+    return found.union(equal)
 
 
 def _sides(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct rows of a table without their titles, and its distinct titles by number."""
+    """The distinct rows of a table without their titles, and its distinct titles by number. What is compared is kept, since the
+    join reads it several times."""
     title, doi = folded(col("title")), F.when(~is_blank(col("doi")), F.lower(F.trim(col("doi"))))
-    tid = F.when(title != "", F.xxhash64(title))
-    rows = df.select(col("id").alias(f"{side}_id"), tid.alias(f"{side}_tid"), folded(col("author")).alias(f"{side}_author"), least_year(F.substring(col("date"), 1, 4)).alias(f"{side}_year"), doi.alias(f"{side}_doi")).distinct()
-    return rows, df.select(title.alias("title")).where("title != ''").distinct().select(F.xxhash64("title").alias("tid"), "title")
+    named = df.select(col("id").alias(f"{side}_id"), title.alias("title"), folded(col("author")).alias(f"{side}_author"), least_year(F.substring(col("date"), 1, 4)).alias(f"{side}_year"), doi.alias(f"{side}_doi"))
+    named = cut_lineage(named.distinct().withColumn(f"{side}_tid", F.when(F.col("title") != "", F.xxhash64("title"))))
+    rows = named.select(*(f"{side}_{c}" for c in ("id", "tid", "author", "year", "doi")))
+    return rows, named.where("title != ''").select(F.col(f"{side}_tid").alias("tid"), "title").distinct()
 
 
 def candidate_pairs(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
@@ -135,14 +167,48 @@ def candidate_pairs(repository: DataFrame, source: DataFrame, rules: DedupRules
     return by_title.select(columns).union(only.select(columns))
 
 
+def _score(rules: DedupRules, near: Column, author: Column, date: Column) -> Column:
+    """0 to 100. Parts that one side lacks carry no weight; weights are added in an order in which the usual ones make 0.7 and 1."""
+    total = reduce(lambda a, b: a + b, (F.coalesce(w * x, F.lit(0.0)) for w, x in ((rules.title, near), (rules.author, author), (rules.date, date))))
+    weight = reduce(lambda a, b: a + b, (F.when(x.isNotNull(), w).otherwise(0.0) for w, x in ((rules.title, near), (rules.date, date), (rules.author, author))))
+    return rounded(F.when(weight > 0, 100 * total / weight).otherwise(0.0), 4)
+
+
 def duplicate_edges(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
     """id_document1 (repository), id_document2 (source) and similarity (0 to 100). Parts that one side lacks carry no weight."""
     pairs = candidate_pairs(repository, source, rules)
-    parts = [(rules.title, F.col("near")), (rules.author, likeness(F.col("r_author"), F.col("s_author"))), (rules.date, year_likeness(F.col("r_year"), F.col("s_year")))]
-    total = reduce(lambda a, b: a + b, (F.coalesce(w * x, F.lit(0.0)) for w, x in parts))
-    weight = reduce(lambda a, b: a + b, (F.when(x.isNotNull(), w).otherwise(0.0) for w, x in parts))
-    score = F.when(weight > 0, 100 * total / weight).otherwise(0.0)
-    return pairs.select(F.col("r_id").alias("id_document1"), F.col("s_id").alias("id_document2"), F.round(score, 4).alias("similarity"))
+    score = _score(rules, F.col("near"), likeness(F.col("r_author"), F.col("s_author")), year_likeness(F.col("r_year"), F.col("s_year")))
+    return pairs.select(F.col("r_id").alias("id_document1"), F.col("s_id").alias("id_document2"), score.alias("similarity"))
+
+
+def unmatched(source: DataFrame, repository: DataFrame, threshold: float = 10.0, rules: DedupRules = DedupRules()) -> DataFrame:
+    """without_duplicates(source, duplicate_edges(repository, source), threshold=threshold), without making the edges: rows that are
+    alike in all that is compared are compared once, and not at all where their titles alone decide."""
+    (r_rows, r_titles), (s_rows, s_titles) = _sides(repository, "r"), _sides(source, "s")
+    r_kinds, s_kinds = (t.select(*(f"{x}_{c}" for c in ("tid", "author", "year", "doi"))).distinct() for x, t in (("r", r_rows), ("s", s_rows)))
+    near = alike_titles(r_titles, s_titles, rules)
+    whole = rules.title + rules.author + rules.date
+    # The least score of a pair is that of authors and dates that differ, the greatest that of equal ones.
+    near = near.withColumn("low", 100 * rules.title * F.col("near") / whole).withColumn("high", 100 * (rules.title * F.col("near") + rules.author + rules.date) / whole)
+    near = cut_lineage(near.where(F.col("high") >= threshold - 1e-3))
+    sure = near.where(F.col("low") >= threshold + 1e-3).select("b").union(near.where((F.col("near") == 1) & F.lit(100 * rules.title / whole >= threshold - 1e-9)).select("b")).distinct()
+    open_ = near.join(sure, "b", "left_anti")
+    scored = _score(rules, F.col("near"), likeness(F.col("r_author"), F.col("s_author")), year_likeness(F.col("r_year"), F.col("s_year")))
+    known = ["s_tid", "s_author", "s_year", "s_doi"]
+    plain = [c for c in known if c != "s_doi"]
+    by_title = open_.join(r_kinds.select("r_tid", "r_author", "r_year").distinct(), F.col("a") == F.col("r_tid")).join(s_kinds.select(plain).distinct(), F.col("b") == F.col("s_tid"))
+    by_title = by_title.where(scored >= threshold).select(plain).distinct()
+    met = r_kinds.join(s_kinds, F.col("r_doi") == F.col("s_doi"))
+    met = met.join(r_titles.select(F.col("tid").alias("r_tid"), F.col("title").alias("ta")), "r_tid", "left").join(s_titles.select(F.col("tid").alias("s_tid"), F.col("title").alias("tb")), "s_tid", "left")
+    by_doi = met.withColumn("near", likeness(F.col("ta"), F.col("tb"))).where(scored >= threshold).select(known).distinct()
+
+    def same(by: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, (s_rows[c].eqNullSafe(by[c]) for c in by.columns))
+
+    bad = s_rows.join(sure, F.col("s_tid") == F.col("b"), "left_semi").select("s_id")
+    for by in (by_title, by_doi):
+        bad = bad.union(s_rows.join(by, same(by), "left_semi").select("s_id"))
+    return without_duplicates(source, bad.select(F.col("s_id").alias("id_document2"), F.lit(100.0).alias("similarity")), threshold=threshold)
 
 
 def decision(score: Column, rules: DedupRules = DedupRules()) -> Column:

@@ -125,7 +125,7 @@ hits as (select name, author_id, max(round(100 * {_like('o.f', 'v.f')}, 4)) as s
 good as (select *, case when score >= 100 then 'PERFECT' when score >= 90 then 'GOOD' when score >= 75 then 'REGULAR' else 'MMM' end as label from hits where score >= 60)
 select n.id, coalesce(string_agg(pos || ':' || author_id || ':' || printf('%.2f', round(score, 2)) || ':' || label, ';' order by pos, score desc, author_id), '') as coincidences from names n left join good g on n.name = g.name group by n.id""",
 )
-add("f3_anti_reconcile", "source_records repository_records", lambda s, r: join.without_duplicates(s, join.duplicate_edges(r, s), threshold=60.0).select("id"), _edges + "select id from source_records where id not in (select id_document2 from edges where similarity >= 60)")
+add("f3_anti_reconcile", "source_records repository_records", lambda s, r: join.unmatched(s, r, threshold=60.0).select("id"), _edges + "select id from source_records where id not in (select id_document2 from edges where similarity >= 60)")
 add("f4_semi_reconcile", "records", lambda r: join.below_threshold(r, r.select("id", F.when(C("percent") % 9 == 0, "bad").otherwise(C("percent").cast("string")).alias("total"))).select("id"), "select id from records where percent < 10 or percent % 9 = 0")
 add("e5_below_threshold", "records", lambda r: join.below_threshold(r, r.select("id", C("percent").cast("string").alias("total")), threshold=30.0).agg(F.count("*").alias("n")), "select count(*) as n from records where percent < 30")
 add("f5_fill_blank", "records", lambda r: join.fill_blank(r.select("row_id", "id", "author", "type", "place"), r.select(C("row_id").alias("_row_id"), "id", C("title").alias("author"), C("language").alias("type")), "id", ["author", "type"], {"type": "place"}).select("row_id", "author", "type", "place"), "select row_id, " + ", ".join(f"case when coalesce({c}, '') in ('', 'nan', 'None') and {g} not in ('', 'nan', 'None') then {g} else {c} end as {c}" for c, g in (("author", "title"), ("type", "language"), ("place", "language"))) + " from records")
