@@ -308,31 +308,35 @@ def _person(name: Column, mode: str) -> tuple[Column, Column, Column]:
 
 
 def _deletions(surname: Column) -> Column:
-    """The surname and all that it is without one letter: two surnames one edit apart have one of these in common."""
+    """Hashes of the surname and of all that it is without one letter: two surnames one edit apart have one of these in common."""
     each = F.transform(F.sequence(F.lit(1), F.length(surname)), lambda i: F.concat(F.substring(surname, F.lit(1), i - 1), F.substring(surname, i + 1, F.length(surname))))
-    return F.array_distinct(F.concat(F.array(surname), F.when(F.length(surname) > 0, each).otherwise(F.array())))
+    return F.transform(F.array_distinct(F.concat(F.array(surname), F.when(F.length(surname) > 0, each).otherwise(F.array()))), lambda x: F.xxhash64(x))
+
+
+def _near_surnames(one: DataFrame, other: DataFrame) -> DataFrame:
+    """name_surname, variant_surname: all pairs of distinct surnames at most one edit apart. They meet by numbers, of the surname
+    and of what it is without a letter."""
+    mine, theirs = (t.select(f"{c}_surname", F.explode(_deletions(F.col(f"{c}_surname"))).alias("deleted")) for c, t in (("name", one), ("variant", other)))
+    met = mine.join(theirs, "deleted").where(F.levenshtein("name_surname", "variant_surname") <= 1)
+    return met.select("name_surname", "variant_surname").distinct()
 
 
 def matched_names(names: DataFrame, authors: DataFrame, variants: str = "|||", least: float = 60.0, mode: str = "comma") -> DataFrame:
     """name, author_id, score and label for all distinct names whose surname is at most one edit from that of a variant, whose
-    initial agrees (or is lacking on either side), with a score of least or more: the best variant of each author. Both sides
-    are indexed by surnames with a letter deleted, so they meet by equality; the second key is the initial."""
+    initial agrees (or is lacking on either side), with a score of least or more: the best variant of each author. Distinct surnames
+    are compared first; only names and variants of those that are near are sent to meet."""
 
-    def indexed(df: DataFrame, c: str) -> DataFrame:
+    def parted(df: DataFrame, c: str) -> DataFrame:
         surname, initial, whole = _person(F.col(c), mode)
-        rows = df.select("*", surname.alias(f"{c}_surname"), initial.alias(f"{c}_initial"), whole.alias(f"{c}_whole")).where(F.col(f"{c}_surname") != "")
-        # one that lacks an initial meets every initial
-        keys = F.when(F.col(f"{c}_initial") == "", F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col(f"{c}_initial")))
-        return rows.withColumn("deleted", F.explode(_deletions(F.col(f"{c}_surname")))).withColumn("initial", F.explode(keys))
-
-    known = authors.select("author_id", F.explode(F.split("variants", "\\Q" + variants + "\\E")).alias("variant")).where("trim(variant) != ''").distinct()
-    met = indexed(names.select("name").where("trim(name) != ''").distinct(), "name").join(indexed(known, "variant"), ["deleted", "initial"])
-    # of the two initial keys a pair shares just one that counts: its own, or the empty one if either side has none
-    both = (F.col("name_initial") != "") & (F.col("variant_initial") != "")
-    own = F.when(both, F.col("initial") == F.col("name_initial")).otherwise(F.col("initial") == "")
-    near = met.where(own & (F.levenshtein("name_surname", "variant_surname") <= 1))
-    score = F.round(100 * likeness(F.col("name_whole"), F.col("variant_whole")), 4)
-    best = near.groupBy("name", "author_id").agg(F.max(score).alias("score")).where(F.col("score") >= least)
+        return df.select("*", surname.alias(f"{c}_surname"), initial.alias(f"{c}_initial"), whole.alias(f"{c}_whole")).where(F.col(f"{c}_surname") != "")
+
+    known = authors.select("author_id", F.explode(F.split("variants", "\\Q" + variants + "\\E")).alias("variant")).where("trim(variant) != ''")
+    mine, theirs = parted(names.select("name").where("trim(name) != ''").distinct(), "name"), parted(known, "variant").drop("variant").distinct()
+    near = _near_surnames(mine.select("name_surname").distinct(), theirs.select("variant_surname").distinct())
+    met = theirs.join(mine.join(near, "name_surname"), "variant_surname")
+    either = (F.col("name_initial") == "") | (F.col("variant_initial") == "") | (F.col("name_initial") == F.col("variant_initial"))
+    score = rounded(100 * likeness(F.col("name_whole"), F.col("variant_whole")), 4)
+    best = met.where(either).groupBy("name", "author_id").agg(F.max(score).alias("score")).where(F.col("score") >= least)
     label = F.when(F.col("score") >= 100, "PERFECT").when(F.col("score") >= 90, "GOOD").when(F.col("score") >= 75, "REGULAR").otherwise("MMM")
     return best.withColumn("label", label)
 

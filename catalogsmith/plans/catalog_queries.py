@@ -117,7 +117,7 @@ _surname, _initial = lambda c: f"trim(lower(split_part({c}, ',', 1)))", lambda c
 add(
     "f2_authority",
     "authored authors",
-    lambda d, a: join.authority(d, a).select("id", F.array_join(F.transform("coincidences", lambda x: F.concat_ws(":", x["pos"], x["author_id"], F.round(x["score"], 2).cast("decimal(9,2)"), x["label"])), ";").alias("coincidences")),
+    lambda d, a: join.authority(d, a).select("id", F.array_join(F.transform("coincidences", lambda x: F.concat_ws(":", x["pos"], x["author_id"], join.rounded(x["score"], 2).cast("decimal(9,2)"), x["label"])), ";").alias("coincidences")),
     f"""+names as (select id, pos, name from (select id, unnest(string_split(author, '|')) as name, unnest(range(len(string_split(author, '|')))) as pos from authored)),
 one as (select distinct name, {_surname('name')} as s, {_initial('name')} as i, {_whole('name')} as f from names where trim(name) <> ''),
 variants as (select distinct author_id, {_surname('v')} as s, {_initial('v')} as i, {_whole('v')} as f from (select author_id, unnest(string_split(variants, '|||')) as v from authors)),
