@@ -153,7 +153,7 @@ scalar("k31_author_display", "records", lambda: t.author_display(C("place"), C("
 _months = " ".join(f"when '{k}' then '{v}'" for k, v in t.SPANISH_MONTHS.items())
 _m = "case percent % 4 when 0 then 'Marzo' when 1 then cast(percent % 12 + 1 as string) when 2 then 'diciembre' else 'x' end"
 scalar("k32_month", "records", lambda: t.month_number(F.expr(_m)), f"coalesce(case lower(trim({_m})) {_months} end, case when regexp_matches({_m}, '^\\d{{1,2}}$') then lpad({_m}, 2, '0') end, '')")
-QUERIES["k33_ascii_fold"] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.ascii_fold("text").alias("value"))
+QUERIES["k33_ascii_fold"] = lambda spark, d: t.small_batches(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", t.ascii_fold("text").alias("value"))
 _msg = "'ValueError: could not convert ''' || place || ''' at ' || id"
 add("k34_error_parts", "records", lambda df: df.select("row_id", t.error_parts(F.expr("concat('ValueError: could not convert ', chr(39), place, chr(39), ' at ', id)")).alias("x")).select("row_id", "x.error_class", F.array_join("x.literals", "|").alias("literals")), f"select row_id, regexp_extract({_msg}, '\\b([A-Z]\\w+Error)\\b', 1) as error_class, coalesce(array_to_string(regexp_extract_all({_msg}, '''([^'']{{1,49}})''', 1), '|'), '') as literals from records")
 scalar("k35_query_text", "records", lambda: t.query_text(C("title"), C("author"), C("citation")), "concat_ws('. ', nullif(title, ''), nullif(author, ''), nullif(citation, ''))")
