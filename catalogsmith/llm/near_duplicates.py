@@ -17,7 +17,8 @@ samples (four bits of each: a pair at the least similarity falls through with a
 text (in later rounds, of each text and bucket) is verified: by weighted Jaccard similarity of the whole texts' shingles, which
 are made once for each text concerned and sent as 32-bit hashes and levels (two different shingles of a pair agree by chance
 once in 2**32 over their number). Texts found alike join in classes. Rounds end with one that
-brings next to none (``Likeness.settled``; at 0, none). Nothing about
+brings next to none (``Likeness.settled``; at 0, none). Then every pair of a bucket's texts that still are of different classes
+passes the sieve and, if it does, is verified, so rounds only spare work. Nothing about
 documents is gathered on the driver, and no pair is dropped for crowding.
 
 Null texts and texts without a word are classes of their own. Copies of a row (same id) share its class; of an id with several
@@ -354,6 +355,22 @@ def _near_by(left: DataFrame, turn: int) -> DataFrame:
     return likely.select("a", (-F.col("best.b")).alias("b")).distinct()
 
 
+def _unlike(left: DataFrame) -> DataFrame:
+    """(a, b): every pair of a bucket's texts that are of different classes and that enough samples agree on, each once. One of the
+    two is outside the bucket's largest class, so these texts meet all; a bucket is dealt to cells of CROWD by CROWD texts."""
+    sizes = left.groupBy("band", "class").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("band").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    deal = lambda n: F.greatest(F.ceil(n / CROWD), F.lit(1)).cast("int")
+    rows = left.join(largest, "band").withColumn("rows", deal(F.col("all") - F.col("most"))).withColumn("columns", deal(F.col("all")))
+    place = F.xxhash64("id")
+    outer = rows.where(F.col("class") != F.col("main")).select("band", F.pmod(place, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.col("id").alias("a"), F.col("class").alias("class_a"), F.col("sieve").alias("sieve_a"))
+    every = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "columns").alias("j"), F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("sieve").alias("sieve_b"), (F.col("class") == F.col("main")).alias("in_main"))
+    cell = [F.xxhash64("band", F.col("i").cast("long"), F.col("j").cast("long")).alias("cell"), F.col("j").cast("long").alias("j")]
+    outer, every = outer.select("band", *cell, "a", "class_a", "sieve_a"), every.select("band", *cell, "b", "class_b", "sieve_b", "in_main")
+    met = outer.hint("merge").join(every, ["cell", "band", "j"]).where((F.col("class_a") != F.col("class_b")) & (F.col("in_main") | (F.col("a") > F.col("b"))))
+    return met.where(_agreeing(F.col("sieve_a"), F.col("sieve_b")) >= AGREE).select("a", "b").distinct()
+
+
 def _together(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -418,6 +435,16 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", liken
     removed(grouped)
     grouped = components(_together(links), "near")
 
+    # What the rounds left out: all pairs of a bucket that still are of different classes.
+    past = _together(tested).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    chosen = written(_unlike(with_classes(left)).join(past, (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti"), "near-pairs")
+    found = written(_verified(chosen, sets, likeness.similarity), "near-links")
+    tested.append(chosen)
+    links.append(found)
+    if not found.isEmpty():
+        removed(grouped)
+        grouped = components(_together(links), "near")
+
     numbers = grouped.withColumnRenamed("class", "class_id")
     ends = _together(links)
     degree = ends.union(ends.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
