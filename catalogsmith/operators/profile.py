@@ -95,13 +95,15 @@ def curate(df: DataFrame, fields: Sequence[str], decisions: DataFrame | None = N
     from .join import merge_decisions
 
     labelled = triage(analyse(df, fields), fields)
+    # What is empty shows without an analysis.
+    empty = df.where(reduce(lambda a, b: a & b, (is_blank(col(f)) for f in fields if f != "id")))
     # Both outputs branch on what is left after the fixes: these rows are computed once and kept (on disk where memory is short).
     repaired = fix_fields(labelled.where("triage = 'suspicious'"), fields).persist()
     left = reduce(lambda a, b: a + b, (F.size(residual(f, F.col("anomalies")[f])) for f in fields if f != "id"))
     repaired = repaired.withColumn("left", fence(left))
     clean = labelled.where("triage = 'clean'").select(*df.columns)
     fine, open_ = repaired.where("left = 0").select(*df.columns), repaired.where("left > 0").select(*df.columns)
-    review = open_.unionByName(labelled.where("triage = 'empty'").select(*df.columns))
+    review = open_.unionByName(empty)
     if decisions is not None:
         decided = merge_decisions(open_, decisions, "id", [f for f in fields if f in decisions.columns and f != "id"])
         covered = decisions.select("id").distinct()

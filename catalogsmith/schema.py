@@ -33,7 +33,7 @@ def ws_trim(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Null, empty, white space, or the words that stand for missing values, in any case."""
-    return F.coalesce(F.lower(ws_trim(c)).isin("", "nan", "none"), F.lit(True))
+    return F.coalesce(c.rlike(r"(?U)^\s*+(?:(?i)nan|none)?+\s*+\z"), F.lit(True))  # ends at the first letter of a text
 
 
 def is_empty_cell(c: Column) -> Column:
