@@ -18,7 +18,7 @@ text (in later rounds, of each text and bucket) is verified: by weighted Jaccard
 are made once for each text concerned and sent as 32-bit hashes and levels (two different shingles of a pair agree by chance
 once in 2**32 over their number). Texts found alike join in classes. Rounds end with one that
 brings next to none (``Likeness.settled``; at 0, none). Then every pair of a bucket's texts that still are of different classes
-passes the sieve and, if it does, is verified, so rounds only spare work. Nothing about
+is compared, in cells of CELL by CELL texts to which each text's shingles are sent once, so rounds only spare work. Nothing about
 documents is gathered on the driver, and no pair is dropped for crowding.
 
 Null texts and texts without a word are classes of their own. Copies of a row (same id) share its class; of an id with several
@@ -48,6 +48,8 @@ BANDS, ROWS = 20, 5
 SIEVE, SIEVE_WORDS, AGREE = 96, 6, 60
 #: Texts of a bucket that share one leader.
 CROWD = 2000
+#: Texts on either side of a cell in which what the rounds left is compared.
+CELL = 500
 #: Places that a text is compared over in the later rounds.
 REACH = 48
 #: See Likeness.settled.
@@ -355,20 +357,67 @@ def _near_by(left: DataFrame, turn: int) -> DataFrame:
     return likely.select("a", (-F.col("best.b")).alias("b")).distinct()
 
 
-def _unlike(left: DataFrame) -> DataFrame:
-    """(a, b): every pair of a bucket's texts that are of different classes and that enough samples agree on, each once. One of the
-    two is outside the bucket's largest class, so these texts meet all; a bucket is dealt to cells of CROWD by CROWD texts."""
+def _dealt(left: DataFrame) -> DataFrame:
+    """cell, side, id, class, in_main: the texts of buckets that hold several classes, dealt to cells so that every pair of a bucket's
+    texts of different classes meets in one. One of the two is outside the bucket's largest class; such texts are side 0, at most
+    about CELL of them to a cell, and side 1 holds all, at most about CELL too. So a text is sent to a cell once, not once a pair."""
     sizes = left.groupBy("band", "class").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("band").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count("*").alias("classes")).where("classes > 1")
-    deal = lambda n: F.greatest(F.ceil(n / CROWD), F.lit(1)).cast("int")
-    rows = left.join(largest, "band").withColumn("rows", deal(F.col("all") - F.col("most"))).withColumn("columns", deal(F.col("all")))
-    place = F.xxhash64("id")
-    outer = rows.where(F.col("class") != F.col("main")).select("band", F.pmod(place, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.col("id").alias("a"), F.col("class").alias("class_a"), F.col("sieve").alias("sieve_a"))
-    every = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "columns").alias("j"), F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("sieve").alias("sieve_b"), (F.col("class") == F.col("main")).alias("in_main"))
-    cell = [F.xxhash64("band", F.col("i").cast("long"), F.col("j").cast("long")).alias("cell"), F.col("j").cast("long").alias("j")]
-    outer, every = outer.select("band", *cell, "a", "class_a", "sieve_a"), every.select("band", *cell, "b", "class_b", "sieve_b", "in_main")
-    met = outer.hint("merge").join(every, ["cell", "band", "j"]).where((F.col("class_a") != F.col("class_b")) & (F.col("in_main") | (F.col("a") > F.col("b"))))
-    return met.where(_agreeing(F.col("sieve_a"), F.col("sieve_b")) >= AGREE).select("a", "b").distinct()
+    deal = lambda n: F.greatest(F.ceil(n / CELL), F.lit(1)).cast("int")
+    rows = left.join(largest, "band").withColumn("in_main", F.col("class") == F.col("main")).withColumn("rows", deal(F.col("all") - F.col("most"))).withColumn("columns", deal(F.col("all")))
+    place, upto = F.xxhash64("id"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.where("not in_main").select("band", F.pmod(place, "rows").alias("i"), upto("columns").alias("j"), F.lit(0).alias("side"), "id", "class", "in_main")
+    every = rows.select("band", upto("rows").alias("i"), F.pmod(place, "columns").alias("j"), F.lit(1).alias("side"), "id", "class", "in_main")
+    cell = F.xxhash64("band", F.col("i").cast("long"), F.col("j").cast("long")).alias("cell")
+    return outer.select(cell, "side", "id", "class", "in_main").union(every.select(cell, "side", "id", "class", "in_main"))
+
+
+class Held:
+    """Weighted sets (id, class, hashes, weights), with which another is compared all at once: their shingles in order of hashes."""
+
+    def __init__(self, outer: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        self.sets = outer
+        self.ids, self.classes = (np.array([t[k] for t in outer], np.int64) for k in (0, 1))
+        self.total = np.array([t[3].sum() for t in outer])
+        hashes = np.concatenate([t[2] for t in outer])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.weights = hashes[order], np.concatenate([t[3] for t in outer])[order]
+        self.owner = np.repeat(np.arange(len(outer)), [len(t[2]) for t in outer])[order]
+
+    def alike(self, found: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+        """The numbers of the sets that are at least so similar."""
+        low, high = np.searchsorted(self.hashes, found[0], "left"), np.searchsorted(self.hashes, found[0], "right")
+        many = high - low
+        at = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+        both = np.bincount(self.owner[at], np.minimum(self.weights[at], np.repeat(found[1], many)), len(self.sets))
+        near = np.flatnonzero(both >= (similarity - 1e-9) * (self.total + found[1].sum() - both))
+        return np.array([k for k in near if weighted_jaccard(self.sets[k][2:], found) >= similarity], np.int64)  # the same sum as elsewhere
+
+
+def _across(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a bucket's texts that are of different classes and at least so similar. A cell's side 0 is held, side 1
+    is read as a stream and compared with all that is held, without a sieve."""
+    sent = _dealt(left).join(sets, "id").repartition("cell").sortWithinPartitions("cell", "side", "id", "digest")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, last, outer, held = None, None, [], None
+        for batch in batches:
+            kept: list[tuple[int, int]] = []
+            for here, side, i, group, main, hashes, levels_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if here != cell:
+                    cell, last, outer, held = here, None, [], None
+                if (side, i) == last:
+                    continue  # a repeated row
+                last = (side, i)
+                found = np.frombuffer(hashes, np.uint32), weights(np.frombuffer(levels_, np.uint16))
+                if side == 0:
+                    outer.append((i, group, *found))
+                elif outer:
+                    held = held or Held(outer)
+                    kept += [(int(held.ids[k]), i) for k in held.alike(found, similarity) if held.classes[k] != group and (main or held.ids[k] > i)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=["a", "b"])
+
+    return mapped(sent.select("cell", "side", "id", "class", "in_main", "hashes", "levels"), step, "a long, b long").distinct()
 
 
 def _together(tables: list[DataFrame]) -> DataFrame:
@@ -436,10 +485,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", liken
     grouped = components(_together(links), "near")
 
     # What the rounds left out: all pairs of a bucket that still are of different classes.
-    past = _together(tested).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-    chosen = written(_unlike(with_classes(left)).join(past, (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti"), "near-pairs")
-    found = written(_verified(chosen, sets, likeness.similarity), "near-links")
-    tested.append(chosen)
+    found = written(_across(with_classes(left), sets, likeness.similarity), "near-links")
     links.append(found)
     if not found.isEmpty():
         removed(grouped)

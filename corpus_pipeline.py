@@ -41,10 +41,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates.classes(docs.where("doc_id is not null"))
     first = written(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "pipeline-first")
     kept = docs.join(first.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(first.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    out = kept.select(*map(quoted, docs.columns)).unionByName(docs.where("doc_id is null"))
+    if (twice := first.where("rows > 1").select("doc_id")).isEmpty():
+        return out  # texts meet the list of ids once only
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
-    one = repeated.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), place.alias("place")).where("place = 1").select("row.*")
-    return kept.select(*map(quoted, docs.columns)).unionByName(one).unionByName(docs.where("doc_id is null"))
+    repeated = docs.join(twice, "doc_id", "left_semi").select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), place.alias("place"))
+    return out.unionByName(repeated.where("place = 1").select("row.*"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,3 +100,26 @@ def test_no_pair_of_a_bucket_is_dropped(spark, monkeypatch):
     true = components(len(texts), links)
     assert len(links) > 20 and [(a, b) for a, b in links if got[a] != got[b]] == []
     assert all(true[got[i]] == true[i] for i in got)
+
+
+def test_texts_of_a_crowded_bucket_are_sent_once_a_cell(spark, monkeypatch):
+    """Near misses are no rows: a cell gets each text once, and its pairs are compared there; links are those of all pairs."""
+    monkeypatch.setattr(near_duplicates, "CELL", 40)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(100):
+        words = base[:]
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(150)] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketch, n = near_duplicates.document_frequencies(df)
+    everyone = df.selectExpr("7L as band", "doc_id as id", "if(doc_id < 60, 0, doc_id) as class")
+    sent = near_duplicates._dealt(everyone)
+    # 100 texts in 3 columns and 1 row of cells: 40 outside the largest class go to each column, all to one row
+    assert sent.count() == 40 * 3 + 100 and sent.groupBy("cell").count().agg({"count": "max"}).first()[0] < 100
+    sets = near_duplicates._sets(df, df.selectExpr("doc_id as id"), spark.sparkContext.broadcast(sketch), n)
+    found = {(max(r), min(r)) for r in near_duplicates._across(everyone, sets, 0.8).collect()}
+    want = {(a, b) for a, b in plain_links(texts, sketch, n) if a >= 60}
+    assert want and found == want
