@@ -39,11 +39,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of near-duplicates the document of least id; rows without an id stay. Of rows with one id the one of
     least text stays (a null text before all)."""
     found = near_duplicates.classes(docs.where("doc_id is not null"))
-    first = written(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "pipeline-first")
-    kept = docs.join(first.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    own = F.count_if(F.col("doc_id") == F.col("class_id")).alias("rows")
+    # the ids to drop, and those of several rows: fewer than the ids that stay, so texts are seldom shuffled to meet them
+    others = written(found.groupBy("doc_id").agg(own).where("rows != 1"), "pipeline-others")
+    kept = docs.where("doc_id is not null").join(others.select("doc_id"), "doc_id", "left_anti")
     out = kept.select(*map(quoted, docs.columns)).unionByName(docs.where("doc_id is null"))
-    if (twice := first.where("rows > 1").select("doc_id")).isEmpty():
-        return out  # texts meet the list of ids once only
+    if (twice := others.where("rows > 1").select("doc_id")).isEmpty():
+        return out
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
     repeated = docs.join(twice, "doc_id", "left_semi").select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), place.alias("place"))
     return out.unionByName(repeated.where("place = 1").select("row.*"))

@@ -142,6 +142,17 @@ def test_stages_against_plain_versions(spark, data, pipeline):
     assert ids(pipeline.deduplicate(spark, told, data)) == sorted(i for i in least if top(i) == i)
 
 
+def test_texts_meet_the_dropped_ids_only(spark, pipeline, monkeypatch):
+    """The ids that go, not those that stay, are joined to the texts, and once if no id has several rows."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 3, 0)], "doc_id long, class_id long, n_links long")
+    monkeypatch.setattr(pipeline.near_duplicates, "classes", lambda df: found)
+    kept = pipeline.deduplicate(spark, docs, "")
+    assert sorted(r.text for r in kept.collect()) == ["a", "c", "d"]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and "Join LeftSemi" not in plan
+
+
 def test_stages_on_odd_tables(spark, data, pipeline):
     schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, row string, p string"
     docs = spark.read.parquet(f"{data}/documents.parquet").select("*", F.lit("x").alias("a.b"), F.lit("y").alias("row"), F.lit("z").alias("p"))
