@@ -313,11 +313,17 @@ def _deletions(surname: Column) -> Column:
     return F.transform(F.array_distinct(F.concat(F.array(surname), F.when(F.length(surname) > 0, each).otherwise(F.array()))), lambda x: F.xxhash64(x))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df, for a join by shuffle. Spark takes the size of rows that explode makes from the file they come from, so it would send
+    tables through the driver, as broadcasts, that are many times what it expects."""
+    return df.hint("merge")
+
+
 def _near_surnames(one: DataFrame, other: DataFrame) -> DataFrame:
     """name_surname, variant_surname: all pairs of distinct surnames at most one edit apart. They meet by numbers, of the surname
     and of what it is without a letter."""
     mine, theirs = (t.select(f"{c}_surname", F.explode(_deletions(F.col(f"{c}_surname"))).alias("deleted")) for c, t in (("name", one), ("variant", other)))
-    met = mine.join(theirs, "deleted").where(F.levenshtein("name_surname", "variant_surname") <= 1)
+    met = mine.join(_shuffled(theirs), "deleted").where(F.levenshtein("name_surname", "variant_surname") <= 1)
     return met.select("name_surname", "variant_surname").distinct()
 
 
@@ -333,7 +339,7 @@ def matched_names(names: DataFrame, authors: DataFrame, variants: str = "|||", l
     known = authors.select("author_id", F.explode(F.split("variants", "\\Q" + variants + "\\E")).alias("variant")).where("trim(variant) != ''")
     mine, theirs = parted(names.select("name").where("trim(name) != ''").distinct(), "name"), parted(known, "variant").drop("variant").distinct()
     near = _near_surnames(mine.select("name_surname").distinct(), theirs.select("variant_surname").distinct())
-    met = theirs.join(mine.join(near, "name_surname"), "variant_surname")
+    met = theirs.join(_shuffled(mine.join(_shuffled(near), "name_surname")), "variant_surname")
     either = (F.col("name_initial") == "") | (F.col("variant_initial") == "") | (F.col("name_initial") == F.col("variant_initial"))
     score = rounded(100 * likeness(F.col("name_whole"), F.col("variant_whole")), 4)
     best = met.where(either).groupBy("name", "author_id").agg(F.max(score).alias("score")).where(F.col("score") >= least)
@@ -346,7 +352,7 @@ def authority(documents: DataFrame, authors: DataFrame, variants: str = "|||", l
     first, as structs of pos, name, author_id, score and label. Names are compared once each, however many documents have them."""
     names = documents.select("id", F.posexplode(F.split(F.coalesce("author", F.lit("")), r"\|")).alias("pos", "name"))
     found = matched_names(names, authors, variants, least, mode)
-    held = names.join(found.withColumnRenamed("name", "known"), F.col("name") == F.col("known"), "left")
+    held = names.join(_shuffled(found.withColumnRenamed("name", "known")), F.col("name") == F.col("known"), "left")
     entry = F.struct("pos", (-F.col("score")).alias("by"), "author_id", "name", "score", "label")
     lists = held.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("author_id").isNotNull(), entry))).alias("found"))
     return lists.select("id", F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), x["name"].alias("name"), x["author_id"].alias("author_id"), x["score"].alias("score"), x["label"].alias("label"))).alias("coincidences"))
