@@ -153,18 +153,53 @@ def _sides(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     return rows, named.where("title != ''").select(F.col(f"{side}_tid").alias("tid"), "title").distinct()
 
 
-def candidate_pairs(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
-    """All pairs with alike titles or an equal DOI, once each: r_id, r_author, r_year, the same of s, and near (the likeness of their
-    titles, null if either has none). Distinct titles are compared, and rows meet only in pairs that are in the result, so a title
-    that many rows share costs its output. Both sides need id, title, author, date, doi."""
+#: Ids of a lot, about, and pairs of rows that a task makes of lots, about.
+LOT, TASK = 512, 2_000_000
+_KIND = ("tid", "author", "year")
+
+
+def _lots(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """Kinds: the rows of a title that have the same author and year, with their number and that of their lots; and the lots, to
+    which ids are dealt by hash, so that no list grows with its kind."""
+    kind = [f"{side}_{c}" for c in _KIND]
+    rows = rows.where(F.col(f"{side}_tid").isNotNull())
+    kinds = rows.groupBy(*kind).agg(F.count("*").alias(f"{side}_n")).withColumn(f"{side}_lots", F.ceil(F.col(f"{side}_n") / LOT).cast("int"))
+    named = kinds.select(*(F.col(c).alias(f"k_{c}") for c in kind), f"{side}_lots")
+    dealt = rows.join(named, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in kind)))
+    lot = F.pmod(F.xxhash64(f"{side}_id"), F.col(f"{side}_lots")).cast("int").alias(f"{side}_lot")
+    return kinds, dealt.groupBy(*kind, lot).agg(F.collect_list(F.struct(f"{side}_id")).alias(f"{side}_ids"))
+
+
+def _expanded(near: DataFrame, r_rows: DataFrame, s_rows: DataFrame, made: Sequence[Column]) -> DataFrame:
+    """r_id, s_id and made of all pairs of rows whose titles are in near. made is computed once for two kinds; then their lots meet by
+    numbers, and the pairs of lots are dealt to tasks by how many rows they make, before any row is made, so that a title that
+    most rows have is spread over all of them."""
+    (r_kinds, r_lots), (s_kinds, s_lots) = _lots(r_rows, "r"), _lots(s_rows, "s")
+    met = near.join(r_kinds, F.col("a") == F.col("r_tid")).join(s_kinds, F.col("b") == F.col("s_tid"))
+    values = F.struct(*made).alias("made")
+    met = cut_lineage(met.select(*(f"{x}_{c}" for x in "rs" for c in (*_KIND, "n", "lots")), values))
+    total = met.agg(F.sum(F.col("r_n").cast("double") * F.col("s_n"))).first()[0] or 0
+    pairs = met.drop("r_n", "s_n")
+    for x, lots in (("r", r_lots), ("s", s_lots)):
+        pairs = pairs.withColumn(f"{x}_lot", F.explode(F.sequence(F.lit(0), F.col(f"{x}_lots") - 1))).drop(f"{x}_lots")
+        key = [f"{x}_{c}" for c in (*_KIND, "lot")]
+        lots = lots.select(*(F.col(c).alias(f"l_{c}") for c in key), f"{x}_ids")
+        pairs = pairs.join(lots, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in key))).drop(*lots.columns[:-1])
+    spread = pairs.repartition(int(total // TASK) + 1, *(f"{x}_{c}" for x in "rs" for c in (*_KIND, "lot"))).select("r_ids", "s_ids", "made")
+    return spread.select(F.inline("r_ids"), "s_ids", "made").select("r_id", F.inline("s_ids"), "made").select("r_id", "s_id", "made.*")
+
+
+def candidate_pairs(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules(), made: Sequence[Column] | None = None) -> DataFrame:
+    """All pairs with alike titles or an equal DOI, once each: r_id, s_id and made, which is computed of r_author, r_year, the same of
+    s, and near (the likeness of their titles, null if either has none), and is these if not given. Distinct titles are compared,
+    and rows meet only in pairs that are in the result. Both sides need id, title, author, date, doi."""
     (r_rows, r_titles), (s_rows, s_titles) = _sides(repository, "r"), _sides(source, "s")
-    near = alike_titles(r_titles, s_titles, rules)
-    by_title = near.join(r_rows, F.col("a") == F.col("r_tid")).join(s_rows, F.col("b") == F.col("s_tid"))
+    made = made or [F.col(c) for c in ("r_author", "s_author", "r_year", "s_year", "near")]
+    by_title = _expanded(alike_titles(r_titles, s_titles, rules), r_rows, s_rows, made)
     by_doi = r_rows.join(s_rows, F.col("r_doi") == F.col("s_doi"))
     by_doi = by_doi.join(r_titles.select(F.col("tid").alias("r_tid"), F.col("title").alias("ta")), "r_tid", "left").join(s_titles.select(F.col("tid").alias("s_tid"), F.col("title").alias("tb")), "s_tid", "left")
     only = by_doi.where(F.col("ta").isNull() | F.col("tb").isNull() | ~alike(F.col("ta"), F.col("tb"), rules)).withColumn("near", likeness(F.col("ta"), F.col("tb")))
-    columns = ["r_id", "s_id", "r_author", "s_author", "r_year", "s_year", "near"]
-    return by_title.select(columns).union(only.select(columns))
+    return by_title.union(only.select("r_id", "s_id", *made))
 
 
 def _score(rules: DedupRules, near: Column, author: Column, date: Column) -> Column:
@@ -174,11 +209,12 @@ def _score(rules: DedupRules, near: Column, author: Column, date: Column) -> Col
     return rounded(F.when(weight > 0, 100 * total / weight).otherwise(0.0), 4)
 
 
-def duplicate_edges(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
-    """id_document1 (repository), id_document2 (source) and similarity (0 to 100). Parts that one side lacks carry no weight."""
-    pairs = candidate_pairs(repository, source, rules)
+def duplicate_edges(repository: DataFrame, source: DataFrame, rules: DedupRules = DedupRules(), digits: int | None = None) -> DataFrame:
+    """id_document1 (repository), id_document2 (source) and similarity (0 to 100), rounded to four digits and then to so many as are
+    asked. Parts that one side lacks carry no weight."""
     score = _score(rules, F.col("near"), likeness(F.col("r_author"), F.col("s_author")), year_likeness(F.col("r_year"), F.col("s_year")))
-    return pairs.select(F.col("r_id").alias("id_document1"), F.col("s_id").alias("id_document2"), score.alias("similarity"))
+    score = score if digits is None else rounded(score, digits)
+    return candidate_pairs(repository, source, rules, [score.alias("similarity")]).select(F.col("r_id").alias("id_document1"), F.col("s_id").alias("id_document2"), "similarity")
 
 
 def unmatched(source: DataFrame, repository: DataFrame, threshold: float = 10.0, rules: DedupRules = DedupRules()) -> DataFrame:

@@ -111,7 +111,7 @@ edges as (select i1 as id_document1, i2 as id_document2,
     round(100 * (0.6::double * {_like('t1', 't2')} + coalesce(0.3::double * {_like("nullif(a1, '')", "nullif(a2, '')")}, 0) + 0.1::double * case when d = 0 then 1 when d <= 1 then 0.5 else 0 end) / (0.7::double + case when a1 <> '' and a2 <> '' then 0.3::double else 0 end), 4) as similarity
   from met where n >= 0.6 * (m - n) - 1e-9 or length(t1) <= 40 and length(t2) <= 40 and {_like('t1', 't2')} >= 0.9 - 1e-9)
 """
-add("f1_dup_edges", "repository_records source_records", lambda r, s: join.duplicate_edges(r, s).select("id_document1", "id_document2", join.rounded(C("similarity"), 2).alias("similarity")), _edges + "select id_document1, id_document2, round(similarity, 2) as similarity from edges")
+add("f1_dup_edges", "repository_records source_records", lambda r, s: join.duplicate_edges(r, s, digits=2), _edges + "select id_document1, id_document2, round(similarity, 2) as similarity from edges")
 _whole = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 _surname, _initial = lambda c: f"trim(lower(split_part({c}, ',', 1)))", lambda c: f"substr(trim(lower(split_part({c}, ',', 2))), 1, 1)"
 add(
